@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spoolmark.functions.keys import graphic_key, uci_key
-from spoolmark.operators import orphans, rejects
+from spoolmark.operators import hierarchy, nested, orphans, rejects
 from spoolmark.sources.tables import table
 
 
@@ -36,7 +36,23 @@ def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.orphan_counts(p2_found(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_counts": p2_counts}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    owned = hierarchy.ownership(table(spark, sf_dir, "composites"), "drawing_id", "parent_ref", "children", "child_ref")
+    return hierarchy.hierarchies(owned).select(
+        F.col("domain").alias("drawing_id"), F.col("node").alias("node_ref"), "verdict", F.col("root").alias("root_ref"),
+        "depth", F.col("path").alias("node_path"), "n_below",
+    )
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = nested.flatten_pages(table(spark, sf_dir, "dxf_pages"), "page_id", "page_json")
+    return items.select("page_id", "item_kind", "item_id", "parent_id", "val")
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found,
+    "p6_found": p6_found,
+}
 
 _LINES = r"""
 WITH lines AS (
@@ -90,4 +106,57 @@ SQL = {
     FROM judged WHERE reason IS NULL AND (line_no NOT BETWEEN 1 AND 10)""",
     "p2_found": _ORPHANS + "SELECT DISTINCT * FROM orphans",
     "p2_counts": _ORPHANS + "SELECT src_table, ref_month, verdict, count(*) AS n_orphans FROM (SELECT DISTINCT * FROM orphans) GROUP BY ALL",
+    "p4_found": """
+    WITH RECURSIVE named AS (
+      SELECT drawing_id, parent_ref AS node, NULL::BIGINT AS owner FROM composites
+      UNION ALL SELECT drawing_id, c.child_ref, parent_ref FROM (SELECT drawing_id, parent_ref, unnest(children) AS c FROM composites)
+    ), owned AS (
+      SELECT drawing_id, node, min(owner) AS owner FROM named WHERE node IS NOT NULL AND drawing_id IS NOT NULL GROUP BY ALL
+    ), up AS (
+      SELECT drawing_id, node, owner AS above, 1 AS hops FROM owned WHERE owner IS NOT NULL
+      UNION SELECT u.drawing_id, u.node, o.owner, 1 FROM up u JOIN owned o ON o.drawing_id = u.drawing_id AND o.node = u.above WHERE o.owner IS NOT NULL
+    ), cyc AS (SELECT DISTINCT drawing_id, node FROM up WHERE node = above),
+    bad AS (SELECT DISTINCT u.drawing_id, u.node FROM up u JOIN cyc c ON c.drawing_id = u.drawing_id AND c.node = u.above),
+    down AS (
+      SELECT drawing_id, node, node AS root, 0 AS depth, node::VARCHAR AS path FROM owned WHERE owner IS NULL
+      UNION ALL SELECT o.drawing_id, o.node, d.root, d.depth + 1, d.path || '/' || o.node FROM down d JOIN owned o ON o.drawing_id = d.drawing_id AND o.owner = d.node
+    ), below AS (SELECT drawing_id, above AS node, count(DISTINCT node) AS n FROM up GROUP BY ALL)
+    SELECT o.drawing_id, o.node AS node_ref,
+      CASE WHEN c.node IS NOT NULL THEN 'cycle' WHEN b.node IS NOT NULL THEN 'below_cycle' ELSE 'tree' END AS verdict,
+      CASE WHEN c.node IS NULL AND b.node IS NULL THEN d.root ELSE -1 END AS root_ref,
+      CASE WHEN c.node IS NULL AND b.node IS NULL THEN d.depth ELSE -1 END AS depth,
+      CASE WHEN c.node IS NULL AND b.node IS NULL THEN d.path ELSE '' END AS node_path,
+      CASE WHEN c.node IS NULL AND b.node IS NULL THEN coalesce(n.n, 0) ELSE -1 END AS n_below
+    FROM owned o LEFT JOIN cyc c USING (drawing_id, node) LEFT JOIN bad b USING (drawing_id, node)
+      LEFT JOIN down d USING (drawing_id, node) LEFT JOIN below n USING (drawing_id, node)""",
+    "p6_found": """
+    WITH pages AS (SELECT DISTINCT page_id, CASE WHEN json_valid(page_json) THEN page_json::JSON END AS j FROM dxf_pages),
+    page AS (SELECT page_id, j FROM pages WHERE json_type(j) = 'OBJECT'),
+    pipe AS (
+      SELECT page_id, 'P' || lpad((i - 1)::VARCHAR, greatest(3, len((i - 1)::VARCHAR))::INT, '0') AS id, p FROM (
+        SELECT page_id, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS p FROM (
+          SELECT page_id, CASE WHEN json_type(j -> 'pipes') = 'ARRAY' THEN (j -> 'pipes')::JSON[] END AS ps FROM page))
+      WHERE coalesce(json_type(p), 'NULL') <> 'NULL'
+    ), comp AS (
+      SELECT page_id, 'C' || lpad((i - 1)::VARCHAR, greatest(3, len((i - 1)::VARCHAR))::INT, '0') AS id, p FROM (
+        SELECT page_id, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS p FROM (
+          SELECT page_id, CASE WHEN json_type(j -> 'components') = 'ARRAY' THEN (j -> 'components')::JSON[] END AS ps FROM page))
+      WHERE coalesce(json_type(p), 'NULL') <> 'NULL'
+    ), ann AS (
+      SELECT page_id, id, i, p FROM (
+        SELECT page_id, id, unnest(range(len(ps))) AS i, unnest(ps) AS p FROM (
+          SELECT page_id, id, CASE WHEN json_type(p -> 'endpoint_annotations') = 'ARRAY' THEN (p -> 'endpoint_annotations')::JSON[] END AS ps FROM pipe))
+      WHERE coalesce(json_type(p), 'NULL') <> 'NULL'
+    ), seg AS (
+      SELECT page_id, id, i, p FROM (
+        SELECT page_id, id, unnest(range(len(ps))) AS i, unnest(ps) AS p FROM (
+          SELECT page_id, id, CASE WHEN json_type(p -> 'source_vector_segments') = 'ARRAY' THEN (p -> 'source_vector_segments')::JSON[] END AS ps FROM pipe))
+      WHERE coalesce(json_type(p), 'NULL') <> 'NULL'
+    )
+    SELECT page_id, 'pipe' AS item_kind, id AS item_id, '' AS parent_id, coalesce(p ->> 'kind', '') AS val FROM pipe
+    UNION ALL SELECT page_id, 'component', id, '', coalesce(p ->> 'kind', '') FROM comp
+    UNION ALL SELECT page_id, 'endpoint_annotation', id || ':E' || i, id,
+      CASE WHEN p ->> 'support' = 'true' AND p ->> 'weld' = 'true' THEN 'both' WHEN p ->> 'support' = 'true' THEN 'support'
+        WHEN p ->> 'weld' = 'true' THEN 'weld' ELSE 'empty' END FROM ann
+    UNION ALL SELECT page_id, 'source_vector_segment', id || ':V' || i, id, coalesce(p ->> 'handle', '') FROM seg""",
 }
