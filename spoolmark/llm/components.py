@@ -74,10 +74,13 @@ def group_ids(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node_id, group_id) of every node of an edge with both ends, group_id being the smallest node of the group."""
     ends = edges.select(_clean(F.col(a)).alias("a"), _clean(F.col(b)).alias("b")).where("a is not null and b is not null")
     pairs = cut(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    names = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-    nodes = cut(names.repartitionByRange("name").sortWithinPartitions("name").select("name", F.monotonically_increasing_id().alias("id")), "nodes")
-    ids = lambda end, to: nodes.select(F.col("name").alias(end), F.col("id").alias(to))
-    state_of = cut(pairs.where("a != b").join(ids("a", "v"), "a").join(ids("b", "u"), "b").select("u", "v"), "edges")
+    names = pairs.select(F.col("a").alias("name")).unionAll(pairs.select("b")).groupBy("name").agg(F.count("*").alias("d"))
+    nodes = cut(
+        names.repartitionByRange("name").sortWithinPartitions("name").select("name", "d", F.monotonically_increasing_id().alias("id")), "nodes"
+    )
+    proper, codes, n_pairs = pairs.where("a != b"), nodes.select(F.col("name").alias("u"), F.col("id").alias("m"), "d"), pairs.count()
+    half = _with_minimum(proper.select(F.col("b").alias("u"), F.col("a").alias("v")), codes, n_pairs, "d").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    state_of = cut(_with_minimum(half, codes, n_pairs, "d").select(F.col("v").alias("u"), F.col("m").alias("v")), "edges")
     before = _state(state_of)
     for _ in range(MAX_ROUNDS):
         large = cut(large_star(state_of, before[0]), "large")
@@ -91,8 +94,6 @@ def group_ids(edges: DataFrame, a: str, b: str) -> DataFrame:
         before = after
     else:
         raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
-    # A group has one row for each node but its smallest, so its names are joined by number.
-    root = nodes.select(F.col("id").alias("v"), F.col("name").alias("group_id"))
-    grouped = nodes.join(state_of.withColumnRenamed("u", "id"), "id", "left").withColumn("v", F.coalesce("v", "id"))
-    roots = state_of.select("v").distinct().join(root, "v")
-    return grouped.join(roots, "v", "left").select(F.col("name").alias("node_id"), F.coalesce("group_id", "name").alias("group_id"))
+    grouped = nodes.join(state_of.withColumnRenamed("u", "id"), "id", "left").select(F.coalesce("v", "id").alias("u"), F.col("name").alias("v"))
+    roots = grouped.groupBy("u").agg(F.count("*").alias("d")).join(nodes.select(F.col("id").alias("u"), F.col("name").alias("m")), "u")
+    return _with_minimum(grouped, roots, n_pairs, "d").select(F.col("v").alias("node_id"), F.col("m").alias("group_id"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spoolmark.llm import components, topn
+from spoolmark.llm import components, leakage, mixing, topn
 from spoolmark.sources.tables import table
 
 
@@ -17,7 +17,39 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("line_key", "idf_pipe", "rnk", "dxf_pipe")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found}
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "bench_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("item_id", "doc_id")
+
+
+def p7_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir)
+
+
+def p7_clean_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return leakage.clean_corpus(docs, _leaks(spark, sf_dir)).select("doc_id", "source", "n_chars")
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+QUERIES = {
+    "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p7_matches": p7_matches, "p7_clean_docs": p7_clean_docs,
+    "p8_mix": p8_mix, "p8_shares": p8_shares,
+}
 
 SQL = {
     "p3_found": """
