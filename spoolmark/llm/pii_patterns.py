@@ -1,0 +1,180 @@
+"""Surface patterns of personal information.
+
+They propose spans: as observations of the random field, as weak labels of its
+training sample, and as the exact boundaries of what the field decides.  All
+work on ``fold(text)``, which has the length of the text.
+"""
+
+from __future__ import annotations
+
+import re
+
+KINDS = ("person", "email", "phone", "identity", "address")
+
+_WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {0x3000: 0x20, 0xA0: 0x20, 0x2009: 0x20, 0x202F: 0x20, 0x2011: 0x2D, 0x2013: 0x2D, 0x2019: 0x27}
+
+
+def fold(text: str) -> str:
+    """Full-width signs and odd blanks as ASCII, one character for one."""
+    return text.translate(_WIDE)
+
+
+# Words that the written forms of addresses, names and numbers are made of.
+STREET_TYPES = (
+    "Street St Road Rd Avenue Ave Lane Ln Close Court Ct Boulevard Blvd Drive Dr Way Place Pl Terrace Crescent Square Sq Row Walk Hill Parade Quay Mews"
+).split()
+UNITS = "Suite Apt Apartment Unit Flat Room Floor Rm Ste".split()
+PARTICLES = "van von der den de di da del la le ten ter zu".split()
+
+_NOT_IN_WORD = r"(?<![A-Za-z0-9_À-ɏ])"
+_END = r"(?![A-Za-z0-9_À-ɏ])"
+_DOT = r"(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?|\sdot\s)"
+_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+# Reserved and frequent top-level names, which end an address even where text follows without a blank.
+_TOP = rf"(?:(?i:example|invalid|test|com|org|net|info|edu|gov)(?![a-z-])|[A-Za-z]{{2,}}{_END})"
+EMAIL = re.compile(
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*(?:\s?@\s?|\s?\(at\)\s?|\s?\[at\]\s?)(?:{_LABEL}{_DOT})+{_TOP}"
+    rf"|(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*\sat\s(?:{_LABEL}(?:\sdot\s|\s?\[dot\]\s?))+{_TOP}"
+    rf"|(?<![A-Za-z0-9._%+-])[A-Za-z0-9]*[._+-][A-Za-z0-9._%+-]*\sat\s(?:{_LABEL}\.)+{_TOP}"
+)
+
+# A number may be followed at once by a tag such as W12, but is no part of a word.
+_STICKS = r"[a-z0-9_]|[A-Z](?![A-Z]{0,2}[0-9])"
+_S = r"[ .\-/]?"
+_COUNTRY = r"(?:(?:\+|00)[1-9][0-9]{0,2}[ .\-]?)"
+PHONE = re.compile(
+    rf"(?<![A-Za-z0-9_+.,-])(?:"
+    rf"{_COUNTRY}?\([2-9][0-9]{{2}}\)\s?[0-9]{{3}}[ .-]?[0-9]{{4}}"
+    rf"|{_COUNTRY}\(0\)\s?[0-9]{{1,4}}{_S}[0-9]{{2,8}}(?:{_S}[0-9]{{1,6}}){{0,3}}"
+    rf"|(?:\+1[ .-]?|1[ .-]?)?[2-9][0-9]{{2}}[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}"
+    rf"|{_COUNTRY}[0-9]{{1,5}}(?:[ .\-/][0-9]{{2,8}}){{0,4}}"
+    rf"|(?:\+|00)[1-9][0-9]{{9,13}}"
+    rf"|\(?0[1-9][0-9]{{1,4}}\)?[ /-][0-9]{{3,8}}(?:[ -][0-9]{{2,6}}){{0,3}}"
+    rf"|0[1-9](?:[ .-]?[0-9]{{2}}){{4}}"
+    rf"|0[1-9][0-9]{{8,10}}"
+    rf"|1[3-9][0-9](?:[ -]?[0-9]{{4}}){{2}}"
+    rf"|0[0-9]{{2}} [0-9]{{4}} [0-9]{{4}}"
+    rf")(?!{_STICKS}|[.,-][0-9]|-[A-Z])"
+)
+
+IDENTITY = re.compile(
+    r"(?<![A-Za-z0-9_{.,+/#-])(?:"
+    r"[1-9][0-9]{5}\s?(?:19|20)[0-9]{6}\s?[0-9]{3}[0-9Xx]"
+    r"|9[0-9]{2}[- ]?[0-9]{2}[- ]?[0-9]{4}"
+    r"|[A-Z]{2}\s?[0-9]{2}\s?[0-9]{2}\s?[0-9]{2}\s?[A-D]"
+    r"|ZX\s?[0-9]{7}|Z[0-9]{8}|[A-Z]{1,2}[0-9]{7,8}"
+    rf")(?!{_STICKS}|[.,/-][0-9A-Za-z])"
+)
+
+_SEP = r"(?:,[ \t]*\n?(?:> ?)?[ \t]*|[ \t]*\n(?:> ?)?[ \t]*)"
+_POST = r"(?:(?i:[A-Z]{1,2}[0-9][0-9A-Z]?\s[0-9][A-Z]{2})|[0-9]{5}(?:-[0-9]{4})?)"
+
+
+def _town(word: str, end: str = "") -> str:
+    return rf"(?:{word}(?:[ ]{word})?,?\s{_POST}\b|{word}(?:[ ]{word})?{end})"
+
+
+_TOWN = rf"(?:{_SEP}(?:{_town(r"[A-ZÀ-Þ][a-zß-ɏ'-]{2,}")}|{_town(r"[A-ZÀ-Þ][A-ZÀ-Þ'-]{3,}")}|{_town(r"[a-zß-ɏ'-]{3,}", r"(?=[,.;。，\n]|$| by )")}))"
+_TYPES = "|".join(sorted(STREET_TYPES, key=len, reverse=True))
+_UNIT = rf"(?:(?i:{'|'.join(UNITS)})\.?\s#?[0-9]+[A-Za-z]?,\s*)"
+ADDRESS = re.compile(
+    rf"(?<![A-Za-z0-9_À-ɏ.,+-])(?:"
+    rf"{_UNIT}?[0-9]{{1,5}}[A-Za-z]?\s(?:[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ'-]*[ ]){{1,3}}(?i:{_TYPES})(?:\.|\b)"
+    rf"{_TOWN}?"
+    rf"|(?i:P\.?\s?O\.?\s?Box)\s[0-9]+{_TOWN}?"
+    rf"|(?:(?:[A-ZÄÖÜ][a-zäöüß]+er[ ])?(?:[A-ZÄÖÜ][A-Za-zäöüß]*(?:[Ss]traße|[Ss]trasse|[Ss]tr\.|[Ww]eg|[Pp]latz|[Gg]asse|[Aa]llee|[Rr]ain|[Rr]ing|[Uu]fer|[Dd]amm|[Hh]of|[Ss]teig|[Mm]arkt))"
+    rf"|(?:Am|An der|Im|Auf der|Zum|Zur)\s[A-ZÄÖÜ][a-zäöüß]+)\s[0-9]{{1,4}}\s?[a-z]?,\s*\n?(?:> ?)?[0-9]{{5}}\s[A-ZÄÖÜ][A-Za-zäöüß-]+(?:\s(?:am\s)?[A-ZÄÖÜ][a-zäöüß]+)?"
+    r")"
+    r"|(?:(?<![一-鿿])[一-鿿]{3}[市县]|[一-鿿]{2}[市县])(?:[一-鿿]{2,3}[区镇])?[一-鿿]{1,6}?(?:大道|路|街|巷|道|弄)[0-9]{1,5}号(?:[0-9]{1,4}(?:栋|幢|号楼|座))?(?:[0-9]{1,3}单元)?(?:[0-9]{1,5}(?:室|房)?)?"
+)
+
+_W = r"(?:[A-ZÀ-Þ][a-zß-ɏ]+|[A-ZÀ-Þ]['][A-ZÀ-Þ][a-zß-ɏ]+)"
+_U = r"(?:[A-ZÀ-Þ]{2,}|[A-ZÀ-Þ]['][A-ZÀ-Þ]+)"
+_L = r"(?:[a-zß-ɏ]+|[a-z]['][a-zß-ɏ]+)"
+
+
+def _name(word: str, particle: str, initial: str) -> str:
+    one = rf"{word}(?:-{word})?"
+    gap = r"(?:[ \t]+|[ \t]*\n(?:> ?)?)"
+    family = rf"(?:(?:{particle}){gap})*{one}"
+    return rf"(?:{family},{gap}(?:{one}|{initial})|(?:{one}|{initial})(?:{gap}{initial})*{gap}{family})"
+
+
+_PART = "|".join(PARTICLES)
+_MIXED = rf"(?:(?:{_PART.upper()})[ ])*{_U}(?:-{_U})?,[ ](?:{_W}(?:-{_W})?|[A-ZÀ-Þ][.])"
+NAME = rf"(?:{_MIXED}|{_name(_W, _PART, r'[A-ZÀ-Þ][.]')}|{_name(_U, _PART.upper(), r'[A-ZÀ-Þ][.]')})"
+LOOSE_NAME = rf"(?:{NAME}|{_name(_L, _PART, r'[a-z][.]')})"
+SHAPED_NAME = re.compile(rf"(?<![A-Za-z0-9_À-ɏ@.-]){NAME}(?![A-Za-z0-9_À-ɏ@-])")
+HAN_NAME = r"[一-鿿]{2,4}"
+
+# What precedes or follows a person in running text, in signatures and in title blocks.
+STRONG = (
+    r"(?:Mrs|Mr|Ms|Dr|Prof|Herr|Frau)\.?\s|[Ss]igned by\s|[Cc]hecked by\s|[Cc]leared by\s|[Rr]edlined by\s|[Cc]ountersigned by\s|[Aa]pproved by\s|[Dd]rawn by:?\s|DRN BY:\s|CHK BY:\s"
+    r"|Drawn:\s|Author=|\"author\":\s?\"|[Aa]ttention\s|HOLD ASK\s|From:\s|To:\s|Cc:\s|According to\s|told by\s|Sat with\s|rack with\s|[Dd]own with\s|Welder card:\s|Stamp holder\s"
+    r"|Rückfragen an\s|Schriftfeld steht\s|Geprüft von\s|Freigegeben von\s|Gezeichnet von\s|Laut\s|(?:checker|designer|inspector|welder|设计|校对|审核|检查)\s\|\s|swap was\s"
+)
+WEAK = r"[Ss]igned\s|Thanks\s|cc:?\s|Per\s|Page\s|Find\s|Reach\s|Call\s|(?:regards|Grüßen|Cheers|Best|Thanks|Regards|Sincerely),?\n|-- ?\n|\(|left the [a-z ]+ to\s"
+HAN_BEFORE = r"签名:\n?|联系人|由|图签上写的是|抄送:|夜班找|昨天和"
+AFTER = (
+    r"(?:'s idea|,? now works from|\scould not say|\sasked why|\swants to know|\sand moved on|\ssaw it differently|\son site|\son Monday|\slate on|\sshowed\s|;\s[0-9QZ]"
+    r"|\s<|,\s[0-9QZ][0-9A-Z -]{6,}|\sbefore the sheet|\son the second pass|已搬到|想知道|询问|\([+0-9])"
+)
+_START = r"(?:(?<=[\s{(\[|,。;:>!?.一-鿿])|^)"
+_NAME_END = r"(?![A-Za-z0-9_À-ɏ@])"
+NAMED = (
+    re.compile(rf"{_START}(?:{STRONG}|{HAN_BEFORE})(?P<name>{LOOSE_NAME}){_NAME_END}"),
+    re.compile(rf"{_START}(?:{WEAK})(?P<name>{LOOSE_NAME}){_NAME_END}"),
+    re.compile(rf"(?<![A-Za-z0-9_À-ɏ@.-])(?P<name>{LOOSE_NAME})(?={AFTER})"),
+)
+HAN_NAMED = re.compile(
+    r"(?:签名:\n?|联系人|图签上写的是|抄送:|夜班找|(?:设计|校对|审核|检查) \| )(?P<a>[一-鿿]{2,4}?)(?=[,。;!.\n |、(]|$)"
+    r"|由(?P<b>[一-鿿]{2,4}?)(?=(?:复核|校对|确认|审核|检查|放行))"
+    r"|(?:昨天|今天|上午|下午)和(?P<c>[一-鿿]{2,4}?)一起"
+    r"|(?:(?<=[。!\n,. :})|0-9])|^)(?P<d>[一-鿿]{2,4}?)(?=已搬到|想知道|询问|\([+0-9])"
+)
+#: What tells a number that only looks like one of a person.
+NOT_PHONE = re.compile(r"(?:pages?:|[Ee]levation|\bto|[Tt]ag|[Ii]tem|[Nn]umber|stack|[Rr]ow|[Cc]oordinates)\s$")
+NOT_IDENTITY = re.compile(r"(?:[Ii]tem|(?:Trace|Heat|trace|heat|serial|batch) number|lot)\s$")
+
+
+def _trim(text: str, start: int, end: int) -> tuple[int, int]:
+    while end > start and text[end - 1] in " \t\n,;:":
+        end -= 1
+    return start, end
+
+
+def candidates(folded: str) -> dict[str, list[tuple[int, int]]]:
+    """Spans that each pattern proposes, by name of the pattern."""
+    spans = {
+        "email": [m.span() for m in EMAIL.finditer(folded)],
+        "phone": [m.span() for m in PHONE.finditer(folded) if 9 <= sum(c.isdigit() for c in m.group()) <= 15],
+        "identity": [m.span() for m in IDENTITY.finditer(folded)],
+        "address": [_trim(folded, *m.span()) for m in ADDRESS.finditer(folded)],
+        "shaped": [m.span() for m in SHAPED_NAME.finditer(folded)],
+        "named": [m.span("name") for pattern in NAMED for m in pattern.finditer(folded)],
+        "han": [m.span(m.lastgroup) for m in HAN_NAMED.finditer(folded)],
+    }
+    return spans
+
+
+#: Words that stand alone, not inside an address of the net.
+PLAIN_WORD = re.compile(r"(?<![A-Za-z0-9._+@À-ɏ-])[A-Za-zÀ-ɏ]{2,}(?![A-Za-z0-9_+@À-ɏ]|[.-][A-Za-z0-9])")
+
+
+def weak_labels(folded: str, proposed: dict[str, list[tuple[int, int]]], common: set[str]) -> list[tuple[str, int, int]]:
+    """What the patterns alone would call personal, without overlaps; names of common words only are none."""
+    before = lambda s: folded[max(0, s - 16) : s]
+    ranked = [("email", *x) for x in proposed["email"]]
+    ranked += [("identity", *x) for x in proposed["identity"] if not NOT_IDENTITY.search(before(x[0]))]
+    ranked += [("phone", *x) for x in proposed["phone"] if not NOT_PHONE.search(before(x[0]))]
+    ranked += [("address", *x) for x in proposed["address"]]
+    for s, e in sorted(set(proposed["named"]), key=lambda x: x[0] - x[1]):
+        parts = re.findall(r"[A-Za-zÀ-ɏ]{2,}", folded[s:e])
+        if not any(p.lower() in common and p.lower() not in PARTICLES for p in parts):
+            ranked.append(("person", s, e))
+    ranked += [("person", *x) for x in proposed["han"]]
+    taken: list[tuple[str, int, int]] = []
+    for kind, s, e in ranked:
+        if s < e and not any(a < e and s < b for _, a, b in taken):
+            taken.append((kind, s, e))
+    return sorted(taken, key=lambda x: x[1])

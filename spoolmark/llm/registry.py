@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from spoolmark.llm import components, leakage, mixing, topn
+from spoolmark.llm import components, leakage, mixing, pii, topn
 from spoolmark.sources.tables import table
 
 
@@ -46,9 +46,18 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+def p9_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.mask_pii(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p7_matches": p7_matches, "p7_clean_docs": p7_clean_docs,
     "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p9_found": p9_found, "p9_masked": p9_masked,
 }
 
 SQL = {
