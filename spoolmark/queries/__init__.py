@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spoolmark.queries import data_quality
+from spoolmark.queries import data_quality, links
 
-MODULES = [data_quality]
+MODULES = [data_quality, links]
 
 
 def core_queries() -> dict:
