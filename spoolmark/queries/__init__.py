@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spoolmark.queries import data_quality, links
+from spoolmark.queries import data_quality, links, measures
 
-MODULES = [data_quality, links]
+MODULES = [data_quality, links, measures]
 
 
 def core_queries() -> dict:

@@ -147,6 +147,7 @@ def j17_tolerance_pairs(spark, d):
 def j18_shared_points(spark, d):
     g = _idf(spark, d)
     dec = lambda c: F.col(c).cast("decimal(18,3)")
+    g = g.where(F.abs(F.col("ax") + F.col("ay") + F.col("az") + F.col("bx") + F.col("by") + F.col("bz")) < 1e12)
     ends = g.select("file", "row", "code", dec("ax").alias("x"), dec("ay").alias("y"), dec("az").alias("z")).union(g.select("file", "row", "code", dec("bx"), dec("by"), dec("bz")))
     shared = ends.groupBy("file", "x", "y", "z").agg(F.countDistinct("row").alias("n_rows"), F.countDistinct("code").alias("n_codes")).where("n_rows >= 2 and n_codes >= 2")
     return shared.groupBy("file").agg(F.count("*").alias("n_points"), F.sum("n_rows").alias("n_rows"), F.max("n_codes").alias("most_codes"))
@@ -259,7 +260,7 @@ SQL = {
       JOIN (SELECT DISTINCT drawing_id, {_KEY} AS k FROM dynamic_attributes) a USING (k) GROUP BY ALL""",
     "j17_tolerance_pairs": """SELECT a.p_brand, a.p_type, a.p_partkey AS id_a, b.p_partkey AS id_b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey
       AND abs(a.p_retailprice - b.p_retailprice) <= greatest(0.1::DOUBLE, 0.02::DOUBLE * greatest(a.p_retailprice, b.p_retailprice))""",
-    "j18_shared_points": f"""WITH {IDF_SQL}, e AS (SELECT file, row, code, ax::DECIMAL(18,3) AS x, ay::DECIMAL(18,3) AS y, az::DECIMAL(18,3) AS z FROM g UNION ALL SELECT file, row, code, bx::DECIMAL(18,3), "by"::DECIMAL(18,3), bz::DECIMAL(18,3) FROM g),
+    "j18_shared_points": f"""WITH {IDF_SQL}, h AS (SELECT * FROM g WHERE abs(ax + ay + az + bx + "by" + bz) < 1e12 AND NOT isnan(ax + ay + az + bx + "by" + bz)), e AS (SELECT file, row, code, ax::DECIMAL(18,3) AS x, ay::DECIMAL(18,3) AS y, az::DECIMAL(18,3) AS z FROM h UNION ALL SELECT file, row, code, bx::DECIMAL(18,3), "by"::DECIMAL(18,3), bz::DECIMAL(18,3) FROM h),
       s AS (SELECT file, x, y, z, count(DISTINCT row) AS n_rows, count(DISTINCT code) AS n_codes FROM e GROUP BY ALL HAVING count(DISTINCT row) >= 2 AND count(DISTINCT code) >= 2)
       SELECT file, count(*) AS n_points, sum(n_rows)::BIGINT AS n_rows, max(n_codes) AS most_codes FROM s GROUP BY file""",
     "j19_chained_lookup": "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
