@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spoolmark.queries import data_quality, links, measures
+from spoolmark.queries import data_quality, links, measures, structures
 
-MODULES = [data_quality, links, measures]
+MODULES = [data_quality, links, measures, structures]
 
 
 def core_queries() -> dict:
