@@ -421,12 +421,16 @@ def places(field: Field, ids: list[int], texts: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=FOUND.names).astype({"start_pos": "int32", "end_pos": "int32"})
 
 
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 
 def _fit(docs: DataFrame) -> bytes:
     """The field trained on the bounded sample, as bytes of bounded size."""
-    sample = docs.select("text").where(F.length(F.trim("text")) > 0).distinct().orderBy(F.xxhash64("text"), "text").limit(TRAIN_DOCS)
+    texts = docs.select("text").where(F.length(F.trim("text")) > 0)
+    # Only texts below a hash threshold are compared and ordered; four times the sample leaves room for copies.
+    share = min(1.0, 4 * TRAIN_DOCS / max(1, texts.count()))
+    below = texts.where(F.xxhash64("text") / 2.0**64 + 0.5 < share)
+    sample = below.distinct().orderBy(F.xxhash64("text"), "text").limit(TRAIN_DOCS)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = [x for pdf in batches for x in pdf["text"].tolist()]
