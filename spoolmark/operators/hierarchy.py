@@ -169,7 +169,7 @@ def _solve(nodes: DataFrame, part_nodes: int, level: int, spread: bool) -> DataF
         "quotient",
     )
     first = quotient.agg(F.count("*")).first()[0]
-    root = F.split("segment", "/")[0].cast("long")
+    root = F.split("segment", "/")[0].try_cast("long")
     if first == 0:
         return local.select(
             "domain", "node", F.when(F.col("state") == TREE, root).alias("root"), F.col("length").alias("depth"),

@@ -28,6 +28,7 @@ HEADER_LINES = 10
 HEADER_FIELDS = 14
 GEOMETRY_FIELDS = 10
 MAX_BORE = 3000.0
+MOST_COLUMNS = 20_000
 
 INTEGER = r"^[+-]?[0-9]+\z"
 NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[Ee][+-]?[0-9]+)?\z"
@@ -55,8 +56,18 @@ def _line(raw: Column) -> Column:
     return F.btrim(text, F.lit(" \t"))
 
 
+def _inner(parts: Column) -> Column:
+    """The pieces but the first and the last.
+
+    Lambdas below see these elements only: a lambda that refers to the whole
+    array would evaluate it again for every element of a long line.
+    """
+    return F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
+
+
 def _outside(i: Column) -> Column:
-    return i % 2 == 0
+    """Whether the inner piece at place ``i`` lies outside quotes."""
+    return i % 2 == 1
 
 
 def well_quoted(parts: Column) -> Column:
@@ -65,39 +76,36 @@ def well_quoted(parts: Column) -> Column:
     Pieces at even places lie outside quotes.  Between two quotes an outside
     piece is either empty (a doubled quote) or starts and ends with a separator.
     """
-    last = F.size(parts) - 1
-    return (last % 2 == 0) & F.forall(
-        F.transform(
-            parts,
-            lambda s, i: ~_outside(i)
-            | (s == "")
-            | (((i == 0) | s.rlike("^[ \t]")) & ((i == last) | s.rlike("[ \t]\\z"))),
-        ),
-        lambda ok: ok,
+    first, last = F.get(parts, F.lit(0)), F.element_at(parts, -1)
+    inner = F.transform(_inner(parts), lambda s, i: ~_outside(i) | (s == "") | (s.rlike("^[ \t]") & s.rlike("[ \t]\\z")))
+    return (F.size(parts) == 1) | (
+        (F.size(parts) % 2 == 1) & ((first == "") | first.rlike("[ \t]\\z")) & ((last == "") | last.rlike("^[ \t]")) & F.forall(inner, lambda ok: ok)
     )
 
 
+def _ends(parts: Column, piece) -> tuple[Column, Column]:
+    """The first and the last piece rewritten; a single piece is first and has no last."""
+    return piece(F.get(parts, F.lit(0))), F.when(F.size(parts) > 1, piece(F.element_at(parts, -1))).otherwise("")
+
+
 def _fields(parts: Column) -> Column:
     """Unquoted field values of a well quoted line."""
-    last = F.size(parts) - 1
-    joined = F.array_join(
-        F.transform(
-            parts,
-            lambda s, i: F.when(
-                _outside(i),
-                F.when((s == "") & (i > 0) & (i < last), F.lit('"')).otherwise(F.regexp_replace(s, "[ \t]+", "\u0000")),
-            ).otherwise(F.translate(s, "\u0000", "�")),
-        ),
-        "",
+    plain = lambda s: F.translate(s, "\u0000", "\ufffd")
+    cut = lambda s: F.regexp_replace(plain(s), "[ \t]+", "\u0000")
+    first, last = _ends(parts, cut)
+    inner = F.transform(
+        _inner(parts), lambda s, i: F.when(_outside(i), F.when(s == "", F.lit('"')).otherwise(cut(s))).otherwise(plain(s))
     )
-    return F.split(joined, "\u0000", -1)
+    return F.split(F.concat(first, F.array_join(inner, ""), last), "\u0000", -1)
 
 
 def _reader_text(parts: Column) -> Column:
     """The line with every run of separators outside quotes made one tab, for the permissive reader."""
-    return F.array_join(
-        F.transform(parts, lambda s, i: F.when(_outside(i), F.regexp_replace(s, "[ \t]+", "\t")).otherwise(s)), '"'
-    )
+    tab = lambda s: F.regexp_replace(s, "[ \t]+", "\t")
+    first, last = _ends(parts, tab)
+    inner = F.transform(_inner(parts), lambda s, i: F.when(_outside(i), tab(s)).otherwise(s))
+    body = F.array_join(F.concat(F.array(first), inner, F.array(last)), '"')
+    return F.when(F.size(parts) == 1, first).otherwise(body)
 
 
 def _finite(text: Column) -> Column:
@@ -109,7 +117,8 @@ def read_lines(lines: DataFrame, raw: str = "raw_line", line_no: str = "line_no"
     """``lines`` plus ``is_header``, ``geometry``, ``switches`` and ``reason`` (null for a valid line).
 
     ``geometry`` and ``switches`` come from the permissive reader and hold the
-    raw text of a line it rejected in ``corrupt_raw``.
+    raw text of a line it rejected in ``corrupt_raw``; they are null for a line
+    of more than ``MOST_COLUMNS`` fields, whose text stays in its own column.
     """
     taken = {"is_header", "geometry", "switches", "reason"}
     keep = lines.select([F.col(f"`{c}`").alias(f"src_{c}" if c in taken else c) for c in lines.columns])
@@ -139,12 +148,14 @@ def read_lines(lines: DataFrame, raw: str = "raw_line", line_no: str = "line_no"
         .when(~(_finite(at(7)) & (bore > 0) & (bore <= MAX_BORE)), "bad_bore")
         .when((at(0).try_cast("int") == 100) & ~F.contains(at(9), F.lit(",")), "bad_tail")
     )
+    # The reader refuses more columns than it has room for; such a line is rejected by its count below.
+    text = F.when(F.length("__text") - F.length(F.replace("__text", F.lit("\t"), F.lit(""))) < MOST_COLUMNS, F.col("__text"))
     reason = F.when(~F.col("__quoted"), "quoting").otherwise(F.when(F.col("is_header"), header).otherwise(geometry))
     return d.select(
         *keep.columns,
         "is_header",
-        F.when(~F.col("is_header"), F.from_csv("__text", F.lit(GEOMETRY.simpleString()), READER)).alias("geometry"),
-        F.when(F.col("is_header"), F.from_csv("__text", F.lit(SWITCHES.simpleString()), READER)).alias("switches"),
+        F.when(~F.col("is_header"), F.from_csv(text, F.lit(GEOMETRY.simpleString()), READER)).alias("geometry"),
+        F.when(F.col("is_header"), F.from_csv(text, F.lit(SWITCHES.simpleString()), READER)).alias("switches"),
         reason.alias("reason"),
     )
 

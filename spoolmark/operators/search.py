@@ -40,10 +40,13 @@ def cover(candidates: DataFrame, universe: DataFrame, by: str, beam: int = 4000,
         cut_any = False
         for page, g in c.sort_values(["page", "score", "first", "last"], ascending=[True, False, True, True]).groupby("page", sort=True):
             grown = []
+            choices = [
+                (s, ((1 << (int(last) - int(first) + 1)) - 1) << (int(first) - 1), (int(page), int(first), int(last)))
+                for first, last, s in g[["first", "last", "score"]].head(per_page).itertuples(index=False)
+            ]
             for score, covered, twice, picks in states:
-                for first, last, s in g[["first", "last", "score"]].head(per_page).itertuples(index=False):
-                    bits = ((1 << (int(last) - int(first) + 1)) - 1) << (int(first) - 1)
-                    grown.append((score + s, covered | bits, twice | (covered & bits), (*picks, (int(page), int(first), int(last)))))
+                for s, bits, pick in choices:
+                    grown.append((score + s, covered | bits, twice | (covered & bits), (*picks, pick)))
             grown.sort(key=lambda x: (-x[0] + 1000 * x[2].bit_count(), -x[1].bit_count(), x[3]))
             cut_any |= len(grown) > beam
             states = grown[:beam]
