@@ -2,8 +2,9 @@
 
 Every line is read once with Spark's permissive CSV reader under an explicit
 schema, which keeps the raw text of what it cannot fit.  What the reader
-rejects, or accepts only because it is laxer than the record grammar, is then
-classified again: quoting first, then the number of fields, then the casts.
+rejects, and what it accepts though it is not plainly of the record grammar, is
+classified again from its pieces: quoting first, then the number of fields,
+then the casts.
 Everything is a built-in expression, so the operator is one narrow pass over
 the input without a shuffle, whatever its size or skew.
 
@@ -34,6 +35,13 @@ INTEGER = r"^[+-]?[0-9]+\z"
 NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[Ee][+-]?[0-9]+)?\z"
 CODE = r"^[0-9]{1,3}\z"
 
+_PLAIN = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[Ee][+-]?[0-9]+)?"
+_FIELD = r"(?:[^\t\"]+|\"[^\"]*(?:\"\"[^\"]*)*\")"
+#: Lines up to this length are compared with a whole-line pattern; longer ones go straight to the classification.
+SHORT = 1_000
+PLAIN_HEADER = r"^[+-]?[0-9]+(?:\t[+-]?[0-9]+){13}\z"
+PLAIN_GEOMETRY = rf"^[0-9]{{1,3}}(?:\t{_PLAIN}){{7}}\t{_FIELD}\t{_FIELD}\z"
+
 COORDS = ("ax", "ay", "az", "bx", "by", "bz")
 GEOMETRY = T.StructType(
     [T.StructField("code", T.IntegerType())]
@@ -113,6 +121,17 @@ def _finite(text: Column) -> Column:
     return F.coalesce(text.rlike(NUMBER) & (F.abs(value) < float("inf")), F.lit(False))
 
 
+def _once(d: DataFrame, **columns: Column) -> DataFrame:
+    """``d`` with further columns that are evaluated once per row.
+
+    They pass through a one-element generator, which predicates and projections
+    are not merged across; a filter on the last of a chain of columns would
+    otherwise be rewritten to the expressions of all of them, many times over.
+    """
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("__one")
+    return d.select("*", one).select(*d.columns, *[F.col(f"__one.{n}").alias(n) for n in columns])
+
+
 def read_lines(lines: DataFrame, raw: str = "raw_line", line_no: str = "line_no") -> DataFrame:
     """``lines`` plus ``is_header``, ``geometry``, ``switches`` and ``reason`` (null for a valid line).
 
@@ -123,15 +142,31 @@ def read_lines(lines: DataFrame, raw: str = "raw_line", line_no: str = "line_no"
     taken = {"is_header", "geometry", "switches", "reason"}
     keep = lines.select([F.col(f"`{c}`").alias(f"src_{c}" if c in taken else c) for c in lines.columns])
     d = keep.withColumn("__raw", F.coalesce(F.col(raw), F.lit("")))
-    d = d.withColumn("__line", _line(F.col("__raw"))).withColumn("__parts", F.split("__line", '"', -1))
-    parts, blank = F.col("__parts"), F.col("__line") == ""
-    d = d.select(
-        "*",
-        F.coalesce((F.col(line_no) >= 1) & (F.col(line_no) <= HEADER_LINES), F.lit(False)).alias("is_header"),
-        well_quoted(parts).alias("__quoted"),
-        F.when(blank, F.array().cast("array<string>")).otherwise(_fields(parts)).alias("__f"),
-        _reader_text(parts).alias("__text"),
+    d = _once(d, __line=_line(F.col("__raw")))
+    d = _once(d, __parts=F.split("__line", '"', -1))
+    header_line = F.coalesce((F.col(line_no) >= 1) & (F.col(line_no) <= HEADER_LINES), F.lit(False))
+    d = _once(d, is_header=header_line, __text=_reader_text(F.col("__parts")))
+    # The reader refuses more columns than it has room for; such a line is rejected by its count below.
+    text = F.when(F.length("__text") - F.length(F.replace("__text", F.lit("\t"), F.lit(""))) < MOST_COLUMNS, F.col("__text"))
+    d = _once(
+        d, geometry=F.when(~F.col("is_header"), F.from_csv(text, F.lit(GEOMETRY.simpleString()), READER)),
+        switches=F.when(F.col("is_header"), F.from_csv(text, F.lit(SWITCHES.simpleString()), READER)),
+    )
+
+    # What the reader accepted and the grammar does too: plain numbers in their places, values in their bounds.
+    g = F.col("geometry")
+    in_bounds = (g.code > 0) & (g.bore > 0) & (g.bore <= MAX_BORE) & ((g.code != 100) | F.contains(g.tail, F.lit(",")))
+    for c in COORDS:
+        in_bounds = in_bounds & (F.abs(g[c]) < float("inf"))
+    short = F.length("__text") <= SHORT
+    accepted = F.when(F.col("is_header"), F.col("switches.corrupt_raw").isNull() & short & F.col("__text").rlike(PLAIN_HEADER)).otherwise(
+        g.corrupt_raw.isNull() & short & F.col("__text").rlike(PLAIN_GEOMETRY) & in_bounds
     )
+    # Everything else is classified again from its pieces; for accepted lines these are null and cost nothing.
+    d = _once(d, __accepted=F.coalesce(accepted, F.lit(False)))
+    d = _once(d, __again=F.when(~F.col("__accepted"), F.col("__parts")))
+    again, blank = F.col("__again"), F.col("__line") == ""
+    d = _once(d, __quoted=well_quoted(again), __f=F.when(blank, F.array().cast("array<string>")).otherwise(_fields(again)))
     f = F.col("__f")
     at = lambda i: F.get(f, F.lit(i))
     header = (
@@ -148,16 +183,9 @@ def read_lines(lines: DataFrame, raw: str = "raw_line", line_no: str = "line_no"
         .when(~(_finite(at(7)) & (bore > 0) & (bore <= MAX_BORE)), "bad_bore")
         .when((at(0).try_cast("int") == 100) & ~F.contains(at(9), F.lit(",")), "bad_tail")
     )
-    # The reader refuses more columns than it has room for; such a line is rejected by its count below.
-    text = F.when(F.length("__text") - F.length(F.replace("__text", F.lit("\t"), F.lit(""))) < MOST_COLUMNS, F.col("__text"))
-    reason = F.when(~F.col("__quoted"), "quoting").otherwise(F.when(F.col("is_header"), header).otherwise(geometry))
-    return d.select(
-        *keep.columns,
-        "is_header",
-        F.when(~F.col("is_header"), F.from_csv(text, F.lit(GEOMETRY.simpleString()), READER)).alias("geometry"),
-        F.when(F.col("is_header"), F.from_csv(text, F.lit(SWITCHES.simpleString()), READER)).alias("switches"),
-        reason.alias("reason"),
-    )
+    judged = F.when(~F.col("__quoted"), "quoting").otherwise(F.when(F.col("is_header"), header).otherwise(geometry))
+    d = _once(d, reason=F.when(~F.col("__accepted"), judged))
+    return d.select(*keep.columns, "is_header", "geometry", "switches", "reason")
 
 
 def split_lines(lines: DataFrame, raw: str = "raw_line", line_no: str = "line_no") -> tuple[DataFrame, DataFrame]:
