@@ -246,3 +246,26 @@ def leader_trace(segments: DataFrame, anchors: DataFrame, by: str, ident: str, s
         return pd.DataFrame(rows, columns=schema.names)
 
     return anchors.groupBy(by).cogroup(segments.groupBy(by)).applyInPandas(trace, schema)
+
+
+def connectors(incidence: DataFrame, by: Sequence[str], pipe_code: int = 100) -> DataFrame:
+    """Connected groups of records other than pipes: (by..., connector, codes, n_records, n_pipes), with the pipes that touch them.
+
+    ``incidence`` is the output of ``ends``; its ident column is ``row``.
+    """
+    rest = incidence.where(F.col("code") != pipe_code)
+    hub = rest.groupBy(*by, "point").agg(F.min("row").alias("hub"))
+    label = components(rest.join(hub, [*by, "point"]).select(*by, "row", "hub"), by, "row", "hub").withColumnRenamed("node", "row")
+    own = rest.join(label, [*by, "row"])
+    touch = own.select(*by, "component", "point").distinct().join(incidence.where(F.col("code") == pipe_code).select(*by, "point", F.col("row").alias("pipe")), [*by, "point"])
+    pipes = touch.groupBy(*by, "component").agg(F.countDistinct("pipe").alias("n_pipes"))
+    groups = own.select(*by, "component", "row", "code").distinct().groupBy(*by, "component").agg(
+        F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"), F.count("*").alias("n_records")
+    )
+    return groups.join(pipes, [*by, "component"], "left").withColumn("n_pipes", F.coalesce("n_pipes", F.lit(0))).withColumnRenamed("component", "connector")
+
+
+def elbow_links(connected: DataFrame) -> DataFrame:
+    """``connected`` with its kind: one 35 and one 36 between two pipes is an ``elbow``, one record between two pipes ``direct``, else null."""
+    two = F.col("n_pipes") == 2
+    return connected.withColumn("kind", F.when(two & (F.col("codes") == "35,36"), "elbow").when(two & (F.col("n_records") == 1), "direct"))

@@ -76,3 +76,21 @@ def smallest_frame(points: DataFrame, frames: DataFrame, by: Sequence[str], iden
         inside.join(busy, [*by, frame_id]).groupBy(*by, ident)
         .agg(F.min(F.struct(area.alias("area"), F.col(frame_id))).alias("m")).select(*by, ident, f"m.{frame_id}", "m.area")
     )
+
+
+def rectangles(segments: DataFrame, by: Sequence[str], least: tuple[float, float] = (40, 40), most: tuple[float, float] = (1500, 500)) -> DataFrame:
+    """Boxes closed by two horizontal and two vertical segments (x1, y1, x2, y2) whose corners are equal.
+
+    Horizontals meet only those of the same left and right end, and each box
+    asks for its two sides by key.
+    """
+    lo = lambda a, b: F.least(a, b)
+    s = segments.where(_finite("x1", "y1", "x2", "y2"))
+    h = s.where("y1 = y2 and x1 != x2").select(*by, lo("x1", "x2").alias("l"), F.greatest("x1", "x2").alias("r"), F.col("y1").alias("y")).distinct()
+    v = s.where("x1 = x2 and y1 != y2").select(*by, F.col("x1").alias("x"), lo("y1", "y2").alias("b"), F.greatest("y1", "y2").alias("t")).distinct()
+    box = h.withColumnRenamed("y", "b").join(h.withColumnRenamed("y", "t"), [*by, "l", "r"]).where("b < t")
+    w, k = F.col("r") - F.col("l"), F.col("t") - F.col("b")
+    box = box.where((w >= least[0]) & (w <= most[0]) & (k >= least[1]) & (k <= most[1]))
+    for side in ("l", "r"):
+        box = box.join(v.withColumnRenamed("x", side), [*by, side, "b", "t"], "left_semi")
+    return box.select(*by, F.col("l").alias("box_left"), F.col("b").alias("box_bottom"), F.col("r").alias("box_right"), F.col("t").alias("box_top"))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F, types as T
 
 from spoolmark.functions import geometry as geo, text as tx
-from spoolmark.operators import graph, linking, reports, search, sets
+from spoolmark.operators import graph, linking, reports, search, sets, spatial
 from spoolmark.queries.links import _KEY, IDF_SQL, _idf, _keyed
 from spoolmark.sources import pcf, records, sinks
 from spoolmark.sources.tables import table
@@ -280,6 +280,33 @@ def g1_components(spark, d):
     return graph.components(links, ["file"], "row", "hub")
 
 
+_CONNECTED = _G + f""", {_E}, n AS (SELECT * FROM e WHERE code <> 100), l AS (SELECT DISTINCT a.file, a.row AS x, b.row AS y FROM n a JOIN n b ON a.file = b.file AND a.point = b.point),
+  m AS (SELECT file, node AS row, min(g) AS connector FROM (WITH RECURSIVE reach AS (SELECT file, x AS node, x AS g FROM l UNION SELECT l.file, l.y, reach.g FROM reach JOIN l ON l.file = reach.file AND l.x = reach.node WHERE reach.g < l.y) SELECT * FROM reach) GROUP BY 1, 2),
+  p AS (SELECT m.file, connector, count(DISTINCT e.row) AS n_pipes FROM m JOIN n ON n.file = m.file AND n.row = m.row JOIN e ON e.file = n.file AND e.point = n.point AND e.code = 100 GROUP BY 1, 2),
+  k AS (SELECT m.file, connector, string_agg(code::VARCHAR, ',' ORDER BY code) AS codes, count(*) AS n_records FROM m JOIN (SELECT DISTINCT file, row, code FROM n) USING (file, row) GROUP BY 1, 2),
+  c AS (SELECT k.*, coalesce(n_pipes, 0) AS n_pipes FROM k LEFT JOIN p USING (file, connector))"""
+
+
+@query(_CONNECTED + " SELECT * FROM c")
+def g2_connectors(spark, d):
+    return graph.connectors(_ends(spark, d), ["file"])
+
+
+@query(_CONNECTED + " SELECT kind, count(*) AS n FROM (SELECT CASE WHEN n_pipes = 2 AND codes = '35,36' THEN 'elbow' WHEN n_pipes = 2 AND n_records = 1 THEN 'direct' END AS kind FROM c) GROUP BY 1")
+def g3_elbow_links(spark, d):
+    return graph.elbow_links(graph.connectors(_ends(spark, d), ["file"])).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT DISTINCT drawing_id, box_left::DOUBLE AS box_left, box_bottom::DOUBLE AS box_bottom, box_right::DOUBLE AS box_right, box_top::DOUBLE AS box_top FROM psm_envelopes
+  WHERE graphic_ref IS NOT NULL AND box_right - box_left BETWEEN 40 AND 1500 AND box_top - box_bottom BETWEEN 40 AND 500""")
+def fm10_rectangles(spark, d):
+    b = table(spark, d, "psm_envelopes").select("drawing_id", "graphic_ref", *[F.col(f"box_{s}").cast("double").alias(s[0]) for s in ("left", "bottom", "right", "top")]).distinct()
+    side = lambda *c: F.struct(*[F.col(x).alias(n) for x, n in zip(c, ("x1", "y1", "x2", "y2"))])
+    # A box without a reference lacks its right side and must not be found.
+    sides = F.array_compact(F.array(side("l", "b", "r", "b"), side("r", "t", "l", "t"), side("l", "b", "l", "t"), F.when(F.col("graphic_ref").isNotNull(), side("r", "t", "r", "b"))))
+    return spatial.rectangles(b.select("drawing_id", F.explode(sides).alias("s")).select("drawing_id", "s.*"), ["drawing_id"])
+
+
 @query(_G + f", {_E} SELECT file, point, count(DISTINCT row)::INT AS degree FROM e WHERE code <> 100 GROUP BY 1, 2 HAVING count(DISTINCT row) >= 2")
 def g5_hyperedges(spark, d):
     return graph.hyperedges(_ends(spark, d).where("code != 100"), ["file"], "point", "row").select("file", "point", "degree")
