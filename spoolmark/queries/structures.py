@@ -132,7 +132,7 @@ def s22_text_scan(spark, d):
 
 @query("""SELECT doc_id, CASE WHEN regexp_matches(text, '^[0-9 .-]+$') THEN 'number' WHEN regexp_matches(text, '(WELD|PIPE|ELBOW)\\n') THEN 'extract' WHEN regexp_matches(text, '\\[[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'log'
   WHEN regexp_matches(text, '\\|.*\\|') THEN 'table' WHEN trim(text) = '' THEN 'blank' ELSE 'prose' END AS category FROM documents WHERE text IS NOT NULL""".replace("\\\\", "\\"))
-def p5_text_category(spark, d):
+def pred5_text_category(spark, d):
     t = F.col("text")
     c = F.when(t.rlike(r"\A[0-9 .-]+\z"), "number").when(t.rlike("(WELD|PIPE|ELBOW)\n"), "extract").when(t.rlike(r"\[[0-9]{4}-[0-9]{2}-[0-9]{2}"), "log").when(t.rlike(r"\|.*\|"), "table").when(F.trim(t) == "", "blank").otherwise("prose")
     return table(spark, d, "documents").where("text is not null").select("doc_id", c.alias("category"))
@@ -140,7 +140,7 @@ def p5_text_category(spark, d):
 
 @query("""SELECT candidate_id, CASE WHEN evidence_kind LIKE 'independent%' THEN 'direct' WHEN evidence_kind = 'matched_frame_incidence' THEN 'derived' WHEN score > 10 AND NOT isnan(score) THEN 'candidate' ELSE 'unresolved' END AS basis
   FROM (SELECT DISTINCT candidate_id, evidence_kind, score FROM pipe_candidates)""")
-def p4_evidence_basis(spark, d):
+def pred4_evidence_basis(spark, d):
     k = F.col("evidence_kind")
     basis = F.when(k.like("independent%"), "direct").when(k == "matched_frame_incidence", "derived").when((F.col("score") > 10) & ~F.isnan("score"), "candidate").otherwise("unresolved")
     return table(spark, d, "pipe_candidates").select("candidate_id", "evidence_kind", "score").distinct().select("candidate_id", basis.alias("basis"))
@@ -148,7 +148,7 @@ def p4_evidence_basis(spark, d):
 
 @query("""WITH k AS (SELECT DISTINCT edge_id, CASE WHEN kind = 'in_page_exact_endpoint' THEN 'endpoint' WHEN kind LIKE 'cross_page%' THEN 'crossing' END AS category FROM graph_edges)
   SELECT a.category, count(*) AS n_pairs FROM k a JOIN k b ON a.category = b.category AND b.edge_id = a.edge_id + 1 GROUP BY 1""")
-def p6_frame_category(spark, d):
+def pred6_frame_category(spark, d):
     c = F.when(F.col("kind") == "in_page_exact_endpoint", "endpoint").when(F.col("kind").like("cross_page%"), "crossing")
     k = table(spark, d, "graph_edges").select("edge_id", c.alias("category")).distinct()
     nxt = k.select((F.col("edge_id") - 1).alias("edge_id"), F.col("category").alias("next"))
@@ -156,7 +156,7 @@ def p6_frame_category(spark, d):
 
 
 @query("""SELECT DISTINCT envelope_id, box_right - box_left AS width, box_top - box_bottom AS height FROM psm_envelopes WHERE box_top - box_bottom > 320 OR box_right - box_left > (box_top - box_bottom) * 2 * 2.2::DOUBLE""")
-def p7_containers(spark, d):
+def pred7_containers(spark, d):
     w, h = F.col("box_right") - F.col("box_left"), F.col("box_top") - F.col("box_bottom")
     e = table(spark, d, "psm_envelopes").select("envelope_id", w.alias("width"), h.alias("height")).distinct()
     return e.where((F.col("height") > 320) | (F.col("width") > F.col("height") * 2 * 2.2))
@@ -166,20 +166,20 @@ _FM = "(SELECT DISTINCT envelope_id, box_left::DOUBLE AS l, box_bottom::DOUBLE A
 
 
 @query(f"SELECT envelope_id, greatest(0, least(r, 9000) - greatest(l, 4000)) * greatest(0, least(t, 9000) - greatest(b, 4000)) AS area, l <= 9000 AND 4000 <= r AND b <= 9000 AND 4000 <= t AS meets, l >= 3950 AND b >= 3950 AND r <= 9050 AND t <= 9050 AS inside FROM {_FM}")
-def p8_box_predicates(spark, d):
+def pred8_box_predicates(spark, d):
     e = table(spark, d, "psm_envelopes").select("envelope_id", *[F.col(f"box_{s}").cast("double").alias(s) for s in ("left", "bottom", "right", "top")]).distinct()
     own, fix = [F.col(s) for s in ("left", "bottom", "right", "top")], [F.lit(x) for x in (4000.0, 4000.0, 9000.0, 9000.0)]
     return e.select("envelope_id", geo.overlap_area(own, fix).alias("area"), geo.boxes_overlap(own, fix).alias("meets"), geo.box_contains(fix, own, 50).alias("inside"))
 
 
 @query("SELECT weld_id, len(description) > 0 AND len(description) <= 120 AS valid, regexp_full_match(coalesce(uci, ''), '\\{[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\\}') AS guid FROM (SELECT DISTINCT weld_id, description, uci FROM weld_blocks) WHERE description IS NOT NULL".replace("\\\\", "\\"))
-def p9_text_and_guid_validity(spark, d):
+def pred9_text_and_guid_validity(spark, d):
     w = table(spark, d, "weld_blocks").where("description is not null").select("weld_id", "description", "uci").distinct()
     return w.select("weld_id", tx.printable(F.col("description")).alias("valid"), tx.is_guid(F.col("uci")).alias("guid"))
 
 
 @query("SELECT DISTINCT attr_id, tag FROM dynamic_attributes a WHERE NOT EXISTS (SELECT 1 FROM weld_blocks w WHERE upper(w.description) LIKE '%' || a.tag || '%') OR tag IS NULL")
-def p11_suppressed_titles(spark, d):
+def pred11_suppressed_titles(spark, d):
     labels = table(spark, d, "weld_blocks").where("description is not null").select(F.upper("description").alias("label")).distinct()
     tags = table(spark, d, "dynamic_attributes").select("tag").where("tag is not null").distinct()
     # Both sides are reduced to their few distinct spellings before the theta join.
