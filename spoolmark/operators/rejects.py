@@ -198,3 +198,16 @@ def split_lines(lines: DataFrame, raw: str = "raw_line", line_no: str = "line_no
     )
     bad = read.where(F.col("reason").isNotNull()).select(*own, "reason")
     return good, bad
+
+
+def header_lines(lines: DataFrame, raw: str = "raw_line", line_no: str = "line_no") -> DataFrame:
+    """Valid header records with typed switches; with ``split_lines`` they account for every line.
+
+    A switch beyond 64 bits is null, and ``corrupt_raw`` then holds the line's text.
+    """
+    read = read_lines(lines, raw, line_no)
+    own = [c for c in read.columns if c not in ("is_header", "geometry", "switches", "reason")]
+    names = SWITCHES.names
+    return read.where(F.col("reason").isNull() & F.col("is_header")).select(
+        *[F.col(f"`{c}`").alias(f"src_{c}" if c in names else c) for c in own], *[F.col(f"switches.{n}") for n in names]
+    )

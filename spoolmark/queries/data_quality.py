@@ -19,6 +19,10 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.drop("raw_line")
 
 
+def p1_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rejects.header_lines(table(spark, sf_dir, "idf_lines").select("row_id", "idf_file", "line_no", "raw_line")).drop("raw_line")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     attributes = table(spark, sf_dir, "dynamic_attributes")
@@ -50,8 +54,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found,
-    "p6_found": p6_found,
+    "p1_found": p1_found, "p1_records": p1_records, "p1_headers": p1_headers, "p2_found": p2_found, "p2_counts": p2_counts,
+    "p4_found": p4_found, "p6_found": p6_found,
 }
 
 _LINES = r"""

@@ -4,7 +4,7 @@ import re
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import types as T
 
-from spoolmark.operators.rejects import read_lines, split_lines
+from spoolmark.operators.rejects import header_lines, read_lines, split_lines
 
 LINES = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("line_no", T.IntegerType()), T.StructField("raw_line", T.StringType()), T.StructField("code", T.StringType()), T.StructField("reason", T.StringType())])
 NUMBER = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[Ee][+-]?[0-9]+)?")
@@ -94,3 +94,15 @@ def test_agrees_with_a_character_scan(spark):
 def test_empty_table(spark):
     fine, bad = split_lines(spark.createDataFrame([], LINES))
     assert fine.count() == 0 and bad.count() == 0
+
+
+def test_every_line_comes_out_once(spark):
+    wide = "9" * 20
+    cases = [(1, "\t ".join(str(i) for i in range(14))), (10, '"+7" -8 ' + " ".join(["0"] * 12) + "\r"), (2, " ".join([wide] + ["5"] * 13)), (3, "1 2"), (11, '100 1 2 3 4 5 6 20 {A} "a, b"'), (11, "x")]
+    d = spark.createDataFrame([(i, n, raw, "c", "r") for i, (n, raw) in enumerate(cases)], LINES)
+    heads = {r.row_id: r for r in header_lines(d).collect()}
+    assert [heads[0][f"s{i:02d}"] for i in range(14)] == list(range(14)) and heads[0].corrupt_raw is None
+    assert [heads[1][f"s{i:02d}"] for i in range(14)] == [7, -8] + [0] * 12
+    assert heads[2].s00 is None and heads[2].s13 == 5 and wide in heads[2].corrupt_raw
+    fine, bad = split_lines(d)
+    assert sorted([*heads, *[r.row_id for r in fine.collect()], *[r.row_id for r in bad.collect()]]) == list(range(6))
