@@ -17,7 +17,7 @@ weight matrix of fixed size, is what is broadcast.  All documents are read
 whole, in one narrow pass without a shuffle.
 
 A predicted span takes the exact boundaries of the pattern of its kind where
-one overlaps it.
+one overlaps it, else those of its tokens.
 
 Defined results: null, empty and blank texts have no places; offsets count
 characters of the text as stored; places of a document do not overlap; rows of
@@ -131,12 +131,22 @@ class Tokens:
         return out
 
     def skips(self) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of tokens of one document with the same word that may be part of a name, each with the previous one."""
+        """Pairs of tokens of one document with the same word that may be part of a name, each with the previous one; Han names as a whole."""
         at = np.flatnonzero(self.named & (self.shape != np.uint64(zlib.crc32(b"a"))))
         key = self.word[at] + (self.doc[at].astype(np.uint64) << np.uint64(32))
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
-        return at[order[:-1][same]], at[order[1:][same]]
+        han = sorted({x for d in range(len(self.folded)) for x in self._han_pairs(d)})
+        a, b = np.array(han, np.int64).reshape(-1, 2).T
+        return np.concatenate([at[order[:-1][same]], a]), np.concatenate([at[order[1:][same]], b])
+
+    def _han_pairs(self, doc: int) -> Iterator[tuple[int, int]]:
+        """Every place of a proposed Han name linked with its previous one, character by character, whatever stands around it."""
+        f = self.folded[doc]
+        for name in {f[s:e] for s, e in self.proposed[doc]["han"]}:
+            spots = list(self.cover(doc, [m.span() for m in re.finditer(re.escape(name), f)]))
+            for (i, k), (j, _) in zip(spots, spots[1:]):
+                yield from zip(range(i, k), range(j, j + k - i))
 
 
 def _mix(tag: int, *parts: np.ndarray) -> np.ndarray:
@@ -392,15 +402,13 @@ def _spans(t: Tokens, y: np.ndarray) -> Iterator[tuple[int, str, int, int]]:
                 break
         if best:
             s, e = best
-        elif kind in ("email", "phone", "identity", "address"):
-            continue
         else:
             f = t.folded[d]
             while s < e and f[s] in _OPEN + ".-":
                 s += 1
             while e > s and f[e - 1] in _OPEN + ")-" or (e - s > 2 and f[e - 1] == "." and f[e - 2].isalpha() and f[e - 3].isalpha()):
                 e -= 1
-            if not _is_name(f[s:e]):
+            if kind == "person" and not _is_name(f[s:e]):
                 continue
         if s < e and not any(a < e and s < b for a, b in taken.get(d, ())):
             taken.setdefault(d, []).append((s, e))

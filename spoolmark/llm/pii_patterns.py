@@ -61,6 +61,7 @@ IDENTITY = re.compile(
     r"(?<![A-Za-z0-9_{.,+/#-])(?:"
     r"[1-9][0-9]{5}\s?(?:19|20)[0-9]{6}\s?[0-9]{3}[0-9Xx]"
     r"|9[0-9]{2}[- ]?[0-9]{2}[- ]?[0-9]{4}"
+    r"|(?!000|666)[0-8][0-9]{2}(?P<by>[- ]?)(?!00)[0-9]{2}(?P=by)(?!0000)[0-9]{4}"
     r"|[A-Z]{2}\s?[0-9]{2}\s?[0-9]{2}\s?[0-9]{2}\s?[A-D]"
     r"|ZX\s?[0-9]{7}|Z[0-9]{8}|[A-Z]{1,2}[0-9]{7,8}"
     rf")(?!{_STICKS}|[.,/-][0-9A-Za-z])"
@@ -147,7 +148,7 @@ def candidates(folded: str) -> dict[str, list[tuple[int, int]]]:
     """Spans that each pattern proposes, by name of the pattern."""
     spans = {
         "email": [m.span() for m in EMAIL.finditer(folded)],
-        "phone": [m.span() for m in PHONE.finditer(folded) if 9 <= sum(c.isdigit() for c in m.group()) <= 15],
+        "phone": [m.span() for m in PHONE.finditer(folded) if 7 <= sum(c.isdigit() for c in m.group()) <= 15],
         "identity": [m.span() for m in IDENTITY.finditer(folded)],
         "address": [_trim(folded, *m.span()) for m in ADDRESS.finditer(folded)],
         "shaped": [m.span() for m in SHAPED_NAME.finditer(folded)],

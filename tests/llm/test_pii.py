@@ -102,3 +102,22 @@ def test_table_with_odd_texts(spark, field):
 def test_folding_keeps_places():
     text = "Ａ　‑１２３ – ’"
     assert len(patterns.fold(text)) == len(text)
+
+
+def test_numbers_beyond_the_usual_ranges(field):
+    text = "Id no: 123-45-6789 W12 moved by 33.5 mm."
+    assert [(r.pii_kind, text[r.start_pos : r.end_pos]) for r in pii.places(field, [0], [text]).itertuples()] == [("identity", "123-45-6789")]
+    assert patterns.candidates("Tel. 030 12345.")["phone"] == [(5, 14)]
+
+
+def test_decided_span_without_a_pattern_stands():
+    t = pii.Tokens(["Write to marla at host, now."])
+    y = np.zeros(t.size, np.int64)
+    y[2:5] = 1 + 2 * pii.KINDS.index("email"), *[2 + 2 * pii.KINDS.index("email")] * 2
+    assert not t.proposed[0]["email"]
+    assert list(pii._spans(t, y)) == [(0, "email", 9, 22)]
+
+
+def test_han_names_have_skip_edges():
+    a, b = pii.Tokens(["签名:亓砚舟。图纸由于亓砚舟的意见修改。"]).skips()
+    assert [(i, j) for i, j in zip(a.tolist(), b.tolist())] == [(3, 11), (4, 12), (5, 13)]
