@@ -80,24 +80,27 @@ def simple_paths(edges: DataFrame, by: Sequence[str], a: str, b: str, length: in
     return paths.where(F.array_join("path", "\x00") <= F.array_join(back, "\x00"))
 
 
-def landmark_reach(edges: DataFrame, landmarks: DataFrame, by: Sequence[str], a: str, b: str, hops: int) -> DataFrame:
-    """(by..., source, target, hops): landmarks reached from landmarks through other nodes only, fewest hops, at most ``hops``.
+def landmark_reach(edges: DataFrame, landmarks: DataFrame, by: Sequence[str], a: str, b: str, hops: int | None = None) -> DataFrame:
+    """(by..., source, target, hops): landmarks reached from landmarks through other nodes only, fewest hops, at most ``hops`` if given.
 
-    The front holds each (source, node) once, so it never outgrows sources times nodes met.
+    The front holds each (source, node) once, so it never outgrows sources times nodes met.  Links have no
+    direction, so a node met before is in one of the last two fronts; landmarks met again lose by their hops.
     """
     e = edges.select(*by, F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x != y")
     both = cut(e.union(e.select(*by, "y", "x")).distinct(), "links")
     mark = landmarks.select(*by, F.col("node")).distinct().withColumn("is_mark", F.lit(True))
     front = mark.select(*by, F.col("node").alias("source"), "node")
-    seen, found = front, None
-    for k in range(1, hops + 1):
-        step = front.join(both.withColumnRenamed("x", "node"), [*by, "node"]).select(*by, "source", F.col("y").alias("node")).distinct()
-        step = cut(step.join(seen, [*by, "source", "node"], "left_anti").join(mark, [*by, "node"], "left"), "front")
+    before, found, k = front.limit(0), None, 0
+    while hops is None or k < hops:
+        k += 1
+        step = front.join(both.withColumnRenamed("x", "node"), [*by, "node"]).select(*by, "source", F.col("y").alias("node")).where("node != source").distinct()
+        step = cut(step.join(front.union(before), [*by, "source", "node"], "left_anti").join(mark, [*by, "node"], "left").select(*by, "source", "node", "is_mark"), "front")
         hit = step.where("is_mark").select(*by, "source", F.col("node").alias("target"), F.lit(k).alias("hops"))
         found = hit if found is None else found.unionAll(hit)
-        front = step.where("is_mark is null").select(*by, "source", "node")
-        seen = seen.unionByName(step.select(*by, "source", "node"))
-    return found
+        before, front = front, step.where("is_mark is null").select(*by, "source", "node")
+        if front.isEmpty():
+            break
+    return found.groupBy(*by, "source", "target").agg(F.min("hops").alias("hops"))
 
 
 def page_path(links: DataFrame, pages: DataFrame, by: Sequence[str], a: str, b: str, page: str) -> DataFrame:

@@ -356,7 +356,7 @@ def g10_simple_paths(spark, d):
 def g8_landmark_reach(spark, d):
     e = _page_edges(spark, d, "true")
     marks = e.select("line_key", F.col("x").alias("node")).union(e.select("line_key", "y")).where("contains(node, ':C')")
-    return graph.landmark_reach(e, marks, ["line_key"], "x", "y", 2)
+    return graph.landmark_reach(e, marks, ["line_key"], "x", "y")
 
 
 _LINKS = "k AS (SELECT DISTINCT line_key, split_part(trim(from_node, ' '), ':', 1) AS a, split_part(trim(to_node, ' '), ':', 1) AS b FROM graph_edges WHERE kind LIKE 'cross_page%' AND line_key IS NOT NULL AND trim(from_node, ' ') <> '' AND trim(to_node, ' ') <> '')"
