@@ -64,12 +64,122 @@ def cover(candidates: DataFrame, universe: DataFrame, by: str, beam: int = 4000,
     return candidates.groupBy(by).cogroup(universe.groupBy(by)).applyInPandas(solve, schema)
 
 
-def assign_directions(left: DataFrame, right: DataFrame, by: str, largest: int = 7) -> DataFrame:
+def _assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The column of each row in an assignment of least cost, by shortest augmenting paths, and the reduced costs."""
+    n = len(cost)
+    u, v = np.zeros(n + 1), np.zeros(n + 1)
+    row_of = np.zeros(n + 1, int)
+    for i in range(1, n + 1):
+        row_of[0] = i
+        at, low, way, done = 0, np.full(n + 1, np.inf), np.zeros(n + 1, int), np.zeros(n + 1, bool)
+        while row_of[at]:
+            done[at] = True
+            slack = cost[row_of[at] - 1] - u[row_of[at]] - v[1:]
+            better = ~done[1:] & (slack < low[1:])
+            low[1:][better], way[1:][better] = slack[better], at
+            open_ = np.where(done, np.inf, low)
+            at_next = int(open_.argmin())
+            step = open_[at_next]
+            u[row_of[done]] += step
+            v[done] -= step
+            low[~done] -= step
+            at = at_next
+        while at:
+            row_of[at] = row_of[way[at]]
+            at = way[at]
+    out = np.zeros(n, int)
+    out[row_of[1:] - 1] = np.arange(n)
+    return out, cost - u[1:, None] - v[None, 1:]
+
+
+def _rematch(allowed: np.ndarray, column: list[int], row: int, free: int, first: int) -> list[int] | None:
+    """``column`` with ``row`` matched anew, ``free`` the column left open; rows before ``first`` keep theirs."""
+    owner = {j: i for i, j in enumerate(column) if i != row}
+    fixed = {column[i] for i in range(first)}
+    came, queue = {}, [row]
+    for i in queue:
+        for j in np.flatnonzero(allowed[i]).tolist():
+            if j in came or j in fixed:
+                continue
+            came[j] = i
+            if j == free:
+                out = list(column)
+                while True:
+                    i = came[j]
+                    out[i], j = j, column[i]
+                    if i == row:
+                        return out
+            queue.append(owner[j])
+    return None
+
+
+def _matching(allowed: np.ndarray) -> list[int] | None:
+    """A column for every row among the allowed pairs, None if there is none."""
+    owner: dict[int, int] = {}
+    for row in range(len(allowed)):
+        came, queue, end = {}, [row], None
+        for i in queue:
+            for j in np.flatnonzero(allowed[i]).tolist():
+                if j not in came:
+                    came[j] = i
+                    if j not in owner:
+                        end = j
+                        break
+                    queue.append(owner[j])
+            if end is not None:
+                break
+        if end is None:
+            return None
+        column = {i: j for j, i in owner.items()}
+        while end is not None:
+            i = came[end]
+            owner[end] = i
+            end = column.get(i) if i != row else None
+    return [j for _, j in sorted((i, j) for j, i in owner.items())]
+
+
+def _first_of_ties(cos: np.ndarray, column: np.ndarray, slack: np.ndarray) -> np.ndarray:
+    """Of the assignments as good as ``column``: the one of highest least cosine, then the first in order."""
+    column, rows = column.tolist(), list(range(len(column)))
+    allowed = slack <= 1e-9
+    while (better := _matching(allowed & (cos > cos[rows, column].min() + 1e-9))) is not None:
+        column = better
+    allowed = allowed & (cos > cos[rows, column].min() - 1e-9)
+    for i in rows:
+        for j in np.flatnonzero(allowed[i, :]).tolist():
+            if j == column[i]:
+                break
+            if j in column[:i]:
+                continue
+            other, tried = column.index(j), list(column)
+            tried[i] = j
+            tried = _rematch(allowed, tried, other, column[i], i + 1)
+            if tried is not None:
+                column = tried
+                break
+    return np.array(column)
+
+
+def _runner_up(cost: np.ndarray, best: np.ndarray) -> float:
+    """Least cost of an assignment other than ``best``: it differs by one cycle, the cheapest of the exchange graph.
+
+    Moving row ``i`` to the column of row ``j`` costs ``gain[i, j]``; the potentials
+    of an optimum leave no negative cycle, so shortest paths are exact.
+    """
+    n = len(cost)
+    gain = cost[:, best] - cost[np.arange(n), best][:, None]
+    np.fill_diagonal(gain, np.inf)
+    for k in range(n):
+        gain = np.minimum(gain, gain[:, k, None] + gain[None, k, :])
+    return float(cost[np.arange(n), best].sum() + max(0.0, gain.diagonal().min()))
+
+
+def assign_directions(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
     """Best one-to-one assignment of unit directions by mean cosine, with its margin over the next.
 
-    ``left`` and ``right`` (by, id, x, y).  Groups of unequal or zero size and
-    vectors of no length give no row, groups over ``largest`` the status
-    ``too_large``.
+    ``left`` and ``right`` (by, id, x, y), of any number.  Groups of unequal or
+    zero size and vectors of no length give no row.  Of assignments of equal
+    mean the one of the highest least cosine is given, then the first in order.
     """
     schema = _schema(left.schema[by], ("pairs", _S), ("mean_cosine", _D), ("min_cosine", _D), ("margin", _D), ("status", _S))
 
@@ -78,19 +188,15 @@ def assign_directions(left: DataFrame, right: DataFrame, by: str, largest: int =
         u, v = a[["x", "y"]].to_numpy(float), b[["x", "y"]].to_numpy(float)
         if len(u) != len(v) or not len(u):
             return pd.DataFrame(columns=schema.names)
-        if len(u) > largest:
-            return pd.DataFrame([(key[0], None, None, None, None, "too_large")], columns=schema.names)
         nu, nv = np.hypot(*u.T), np.hypot(*v.T)
         if not (nu.all() and nv.all()):
             return pd.DataFrame(columns=schema.names)
         cos = (u / nu[:, None]) @ (v / nv[:, None]).T
         ids = b["id"].tolist()
-        ranked = sorted(
-            ((float(np.mean([cos[i, j] for i, j in enumerate(p)])), float(min(cos[i, j] for i, j in enumerate(p))), p) for p in itertools.permutations(range(len(u)))),
-            key=lambda x: (-round(x[0], 9), -round(x[1], 9), x[2]),
-        )
-        mean, least, p = ranked[0]
-        margin = round(mean - ranked[1][0], 5) if len(ranked) > 1 else None
+        p = _first_of_ties(cos, *_assign(-cos))
+        at = cos[np.arange(len(p)), p]
+        mean, least = float(at.mean()), float(at.min())
+        margin = round(mean + _runner_up(-cos, p) / len(p), 5) if len(p) > 1 else None
         status = "accepted" if mean >= 0.9 and (margin is None or margin >= 0.05) else "unresolved"
         text = ";".join(f"{i}={ids[j]}" for i, j in zip(a["id"].tolist(), p))
         return pd.DataFrame([(key[0], text, round(mean, 5), round(least, 5), margin, status)], columns=schema.names)

@@ -419,11 +419,8 @@ def x1_range_cover(spark, d):
 
 @query()
 def x2_direction_assignment(spark, d):
-    from pyspark.sql import Window
-
     g = _finite_idf(spark, d).where("bx != ax or by != ay")
-    w = Window.partitionBy("file").orderBy("line_no", "row")
-    legs = lambda code: g.where(F.col("code") == code).withColumn("r", F.row_number().over(w)).where("r <= 4").select("file", F.col("row").alias("id"), (F.col("bx") - F.col("ax")).alias("x"), (F.col("by") - F.col("ay")).alias("y"))
+    legs = lambda code: g.where(F.col("code") == code).select("file", F.col("row").alias("id"), (F.col("bx") - F.col("ax")).alias("x"), (F.col("by") - F.col("ay")).alias("y"))
     return search.assign_directions(legs(35), legs(36), "file")
 
 
