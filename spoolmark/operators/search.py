@@ -267,13 +267,13 @@ def poses(source: DataFrame, target: DataFrame, by: str, tolerance: float, keep:
     return source.groupBy(by).cogroup(target.groupBy(by)).applyInPandas(solve, schema)
 
 
-def common_subgraph(left: DataFrame, right: DataFrame, by: str, budget: int = 50_000) -> DataFrame:
+def common_subgraph(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
     """Largest order-preserving match of two landmark sequences: (by, pairs, score, truncated).
 
     ``left`` and ``right`` (by, place, id, kind, links).  A pair of one kind
     scores 3 when it has as many links on both sides and -3 otherwise, a
-    skipped landmark costs 2.  Null kinds match nothing.  Backtracking visits at
-    most ``budget`` states, then says so.
+    skipped landmark costs 2.  Null kinds match nothing.  The whole table is
+    filled, so ``truncated`` is never true.  Matches that cross are not sought.
     """
     schema = _schema(left.schema[by], ("pairs", _S), ("score", _I), ("truncated", _B))
 
@@ -281,19 +281,19 @@ def common_subgraph(left: DataFrame, right: DataFrame, by: str, budget: int = 50
         x = a.sort_values(["place", "id"])[["id", "kind", "links"]].values.tolist()
         y = b.sort_values(["place", "id"])[["id", "kind", "links"]].values.tolist()
         n, m = len(x), len(y)
+        kinds, links = np.array([k for _, k, _ in y], object), np.array([c for _, _, c in y], object)
+        gain = lambda i: np.where(links == x[i][2], 3, -3)
+        same = lambda i: kinds == x[i][1] if x[i][1] is not None else np.zeros(m, bool)
         # best[i][j]: best score of the rest; the order constraint makes the search a table.
-        if (n + 1) * (m + 1) > budget:
-            x, y = x[: max(1, budget // (m + 1) - 1)], y
-        n = len(x)
-        best = np.zeros((n + 1, m + 1), np.int64)
+        best = np.zeros((n + 1, m + 1), np.int32)
         best[:, m] = -2 * np.arange(n, -1, -1)
         best[n, :] = -2 * np.arange(m, -1, -1)
+        steps = 2 * np.arange(m + 1, dtype=np.int32)
         for i in range(n - 1, -1, -1):
-            for j in range(m - 1, -1, -1):
-                options = [best[i + 1, j] - 2, best[i, j + 1] - 2]
-                if x[i][1] is not None and x[i][1] == y[j][1]:
-                    options.append(best[i + 1, j + 1] + (3 if x[i][2] == y[j][2] else -3))
-                best[i, j] = max(options)
+            row = best[i]
+            row[:m] = np.maximum(best[i + 1, :m] - 2, np.where(same(i), best[i + 1, 1:] + gain(i), -(1 << 30)))
+            # Skips on the right: the best of all places further on, less 2 for each step there.
+            row[:] = np.maximum.accumulate((row - steps)[::-1])[::-1] + steps
         i = j = 0
         pairs = []
         while i < n and j < m:
@@ -304,7 +304,7 @@ def common_subgraph(left: DataFrame, right: DataFrame, by: str, budget: int = 50
                 i += 1
             else:
                 j += 1
-        return pd.DataFrame([(key[0], ";".join(pairs), int(best[0, 0]), len(a) > len(x))], columns=schema.names)
+        return pd.DataFrame([(key[0], ";".join(pairs), int(best[0, 0]), False)], columns=schema.names)
 
     return left.groupBy(by).cogroup(right.groupBy(by)).applyInPandas(solve, schema)
 

@@ -426,7 +426,7 @@ def x2_direction_assignment(spark, d):
 
 @query()
 def x3_common_subgraph(spark, d):
-    g = _finite_idf(spark, d).where("code in (35, 36, 41, 42, 55, 120) and bore < 1e6").select("file", F.col("line_no").alias("place"), F.col("row").alias("id"), F.col("code").cast("string").alias("kind"), F.round("bore").cast("int").alias("links"))
+    g = _finite_idf(spark, d).where("code in (35, 36, 41, 42, 55, 120) and bore < 1e6").select("file", F.col("line_no").alias("place"), F.col("row").alias("id"), F.col("code").cast("string").alias("kind"), F.round("bore").try_cast("int").alias("links"))
     odd, even = g.where("place % 2 = 1"), g.where("place % 2 = 0")
     return search.common_subgraph(odd, even, "file")
 

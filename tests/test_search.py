@@ -29,3 +29,30 @@ def test_large_and_unequal_groups(spark):
     rows = search.assign_directions(spark.createDataFrame(left, LEGS), spark.createDataFrame(right, LEGS), "file").collect()
     assert [(r.file, r.mean_cosine) for r in rows] == [("even", 1.0)]
     assert rows[0].pairs == ";".join(f"{i}={100 - i}" for i in range(30))
+
+
+def test_long_sequences_are_aligned_whole(spark):
+    rng = random.Random(5)
+    # The sixty left landmarks of ``long`` match only behind 1,500 others.
+    long = [("long", k, k, "other", 1) for k in range(1_500)] + [("long", k, k, f"k{k}", 1) for k in range(1_500, 1_560)]
+    left, right = list(long), [(f, p - 1_500, i, k, c) for f, p, i, k, c in long if k != "other"]
+    for g in range(20):
+        for side in (left, right):
+            side += [(f"g{g}", k, k, rng.choice(["a", "b", None]), rng.choice([1, 2, None])) for k in range(rng.randrange(1, 9))]
+    schema = "file string, place int, id long, kind string, links int"
+    got = {r.file: r for r in search.common_subgraph(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "file").collect()}
+    assert got["long"].score == 60 * 3 - 2 * 1_500 and not got["long"].truncated
+    assert got["long"].pairs == ";".join(f"{k}={k}" for k in range(1_500, 1_560))
+
+    def best(x, y):
+        if not x or not y:
+            return -2 * (len(x) + len(y))
+        (_, _, _, k, c), (_, _, _, q, d) = x[0], y[0]
+        whole = [best(x[1:], y) - 2, best(x, y[1:]) - 2]
+        if k is not None and k == q:
+            whole.append(best(x[1:], y[1:]) + (3 if c == d and c is not None else -3))
+        return max(whole)
+
+    for g in range(20):
+        x, y = ([r for r in side if r[0] == f"g{g}"] for side in (left, right))
+        assert got[f"g{g}"].score == best(x, y)
