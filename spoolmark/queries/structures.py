@@ -196,8 +196,7 @@ def fs1_digit_family(spark, d):
   replace(replace(replace(replace(replace(left(text, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM documents WHERE text IS NOT NULL""")
 def fs4_slug_and_escape(spark, d):
     t = F.col("text")
-    head = lambda n: F.left(t, F.lit(n))
-    return table(spark, d, "documents").where("text is not null").select("doc_id", tx.slug(head(120)).alias("slug"), tx.starts_with_any(head(40), ["LINE", "SHEET"]).alias("labelled"), tx.html_escape(head(200)).alias("escaped"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", tx.slug(t).alias("slug"), tx.starts_with_any(t, ["LINE", "SHEET"]).alias("labelled"), tx.html_escape(t).alias("escaped"))
 
 
 @query("""SELECT candidate_id, try_cast(substr(idf_pipe, 2) AS INT) AS number, 'I' || lpad((try_cast(substr(idf_pipe, 2) AS INT) + 990)::VARCHAR, greatest(3, len((try_cast(substr(idf_pipe, 2) AS INT) + 990)::VARCHAR))::INT, '0') AS shifted
