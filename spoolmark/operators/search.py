@@ -229,39 +229,52 @@ def align(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
     )
 
 
-def poses(source: DataFrame, target: DataFrame, by: str, tolerance: float, keep: int = 12, seeds: int = 12) -> DataFrame:
+def poses(source: DataFrame, target: DataFrame, by: str, tolerance: float, keep: int = 12) -> DataFrame:
     """Similarity poses that carry source segments onto target segments, the best ``keep`` distinct ones.
 
-    Each of the ``seeds`` longest segments of either side is laid onto each of
-    the other, both ways round and mirrored; a pose scores 10 for each source
-    segment with a partner within ``tolerance``, 1 for each further pair, less
-    6 for repeated partners.  ``source`` and ``target`` have (by, id, x1..y2).
+    Each source segment is laid onto each target segment, both ways round and
+    mirrored; a pose scores 10 for each source segment with a partner within
+    ``tolerance``, 1 for each further pair, less 6 for repeated partners.
+    Partners are looked up along one direction in which few ends coincide.
+    ``source`` and ``target`` have (by, id, x1..y2).
     """
     schema = _schema(source.schema[by], ("rank", _I), ("score", _D), ("n_matched", _I), ("scale", _D), ("turn", _D), ("mirrored", _B))
     cols = ["x1", "y1", "x2", "y2"]
+    slant = complex(math.cos(1), -math.sin(1))
 
     def solve(key: tuple, s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        def load(d: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        def load(d: pd.DataFrame) -> np.ndarray:
             v = d.sort_values("id")[cols].to_numpy(float)
             z = v[:, 0] + 1j * v[:, 1], v[:, 2] + 1j * v[:, 3]
-            good = np.isfinite(v).all(axis=1) & (np.abs(z[1] - z[0]) > 1e-9)
-            return np.stack(z, axis=1)[good], np.argsort(-np.abs(z[1] - z[0])[good], kind="stable")[:seeds]
-
-        (a, ia), (b, ib) = load(s), load(t)
-        found = []
-        for i, j, back, mirror in itertools.product(ia.tolist(), ib.tolist(), (False, True), (False, True)):
+            return np.stack(z, axis=1)[np.isfinite(v).all(axis=1) & (np.abs(z[1] - z[0]) > 1e-9)]
+
+        a, b = load(s), load(t)
+        both = np.concatenate([b, b[:, ::-1]])
+        along = (both[:, 0] * slant).real
+        order = np.argsort(along, kind="stable")
+        along, reach = along[order], 2 * tolerance * (1 + 1e-9)
+        found: set[tuple] = set()
+        for i, mirror in itertools.product(range(len(a) if len(b) else 0), (False, True)):
             p = np.conj(a) if mirror else a
-            q = b[j][::-1] if back else b[j]
-            m = (q[1] - q[0]) / (p[i, 1] - p[i, 0])
-            image = q[0] + m * (p - p[i, 0])
-            straight = (np.abs(image[:, None, 0] - b[None, :, 0]) + np.abs(image[:, None, 1] - b[None, :, 1])) / 2
-            swapped = (np.abs(image[:, None, 0] - b[None, :, 1]) + np.abs(image[:, None, 1] - b[None, :, 0])) / 2
-            error = np.minimum(straight, swapped)
-            hit = error.min(axis=1) <= tolerance
-            n = int(hit.sum())
-            unique = len(set(error[hit].argmin(axis=1).tolist()))
-            found.append((10.0 * unique + n - 6 * (n - unique), n, round(abs(m), 4), round(math.degrees(np.angle(m)) % 360, 2), mirror))
-        best = sorted(set(found), key=lambda x: (-x[0], -x[1], x[2:]))[:keep]
+            m = (both[:, 1] - both[:, 0]) / (p[i, 1] - p[i, 0])
+            image = both[:, :1, None] + m[:, None, None] * (p - p[i, 0])[None]
+            image = image.reshape(-1, 2)
+            place = (image[:, 0] * slant).real
+            low, high = np.searchsorted(along, place - reach), np.searchsorted(along, place + reach, "right")
+            which = np.repeat(np.arange(len(image)), high - low)
+            other = order[np.arange(len(which)) - np.repeat(np.cumsum(high - low) - high, high - low)]
+            error = np.abs(image[which] - both[other]).sum(axis=1) / 2
+            near = error <= tolerance
+            which, other, error = which[near], other[near] % len(b), error[near]
+            first = np.lexsort((other, error, which))
+            first = first[np.diff(which[first], prepend=-1) > 0]
+            pose = which[first] // len(a)
+            n = np.bincount(pose, minlength=len(m))
+            unique = np.bincount(np.unique(pose * len(b) + other[first]) // len(b), minlength=len(m))
+            score = 10.0 * unique + n - 6 * (n - unique)
+            turn = np.round(np.degrees(np.angle(m)) % 360, 2)
+            found.update(zip(score.tolist(), n.tolist(), np.round(np.abs(m), 4).tolist(), turn.tolist(), itertools.repeat(mirror)))
+        best = sorted(found, key=lambda x: (-x[0], -x[1], x[2:]))[:keep]
         return pd.DataFrame([(key[0], k + 1, *x) for k, x in enumerate(best)], columns=schema.names)
 
     return source.groupBy(by).cogroup(target.groupBy(by)).applyInPandas(solve, schema)

@@ -56,3 +56,14 @@ def test_long_sequences_are_aligned_whole(spark):
     for g in range(20):
         x, y = ([r for r in side if r[0] == f"g{g}"] for side in (left, right))
         assert got[f"g{g}"].score == best(x, y)
+
+
+def test_short_segments_seed_poses(spark):
+    rng = random.Random(8)
+    at = lambda big: [rng.uniform(-900, 900) for _ in range(2)] + [rng.uniform(-900, 900) * big for _ in range(2)]
+    short, schema = [at(0.3) for _ in range(20)], "file string, id long, x1 double, y1 double, x2 double, y2 double"
+    source = [("f", i, *v) for i, v in enumerate(short + [at(9) for _ in range(14)])]
+    # The short ones stand on the other side turned by a right angle; the long ones have no partner.
+    target = [("f", i, -y1 + 10, x1, -y2 + 10, x2) for i, (x1, y1, x2, y2) in enumerate(short)] + [("f", 20 + i, *at(9)) for i in range(14)]
+    got = search.poses(spark.createDataFrame(source, schema), spark.createDataFrame(target, schema), "file", 0.5).collect()
+    assert len(got) == 12 and (got[0].score, got[0].n_matched, got[0].scale, got[0].turn, got[0].mirrored) == (220.0, 20, 1.0, 90.0, False)
