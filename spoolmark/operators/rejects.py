@@ -37,7 +37,8 @@ CODE = r"^[0-9]{1,3}\z"
 
 _PLAIN = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[Ee][+-]?[0-9]+)?"
 _FIELD = r"(?:[^\t\"]+|\"[^\"]*(?:\"\"[^\"]*)*\")"
-#: Lines up to this length are compared with a whole-line pattern; longer ones go straight to the classification.
+#: Lines up to this length are compared with a whole-line pattern; longer ones, for which a pattern may need a deep
+#: stack, go straight to the classification from pieces, which judges every line alike.
 SHORT = 1_000
 PLAIN_HEADER = r"^[+-]?[0-9]+(?:\t[+-]?[0-9]+){13}\z"
 PLAIN_GEOMETRY = rf"^[0-9]{{1,3}}(?:\t{_PLAIN}){{7}}\t{_FIELD}\t{_FIELD}\z"
@@ -107,6 +108,12 @@ def _fields(parts: Column) -> Column:
     return F.split(F.concat(first, F.array_join(inner, ""), last), "\u0000", -1)
 
 
+def _separators(parts: Column) -> Column:
+    """Number of separators outside quotes."""
+    outside = F.filter(parts, lambda s, i: i % 2 == 0)
+    return F.regexp_count(F.array_join(outside, '"'), F.lit("[ \t]+"))
+
+
 def _reader_text(parts: Column) -> Column:
     """The line with every run of separators outside quotes made one tab, for the permissive reader."""
     tab = lambda s: F.regexp_replace(s, "[ \t]+", "\t")
@@ -136,8 +143,10 @@ def read_lines(lines: DataFrame, raw: str = "raw_line", line_no: str = "line_no"
     """``lines`` plus ``is_header``, ``geometry``, ``switches`` and ``reason`` (null for a valid line).
 
     ``geometry`` and ``switches`` come from the permissive reader and hold the
-    raw text of a line it rejected in ``corrupt_raw``; they are null for a line
-    of more than ``MOST_COLUMNS`` fields, whose text stays in its own column.
+    raw text of a line it rejected in ``corrupt_raw``.  A line of more than
+    ``MOST_COLUMNS`` tabs goes to the reader only if it is well quoted and has
+    no more fields than a record, the other tabs being inside quotes; else they
+    are null, and the line is rejected with its text in its own column.
     """
     taken = {"is_header", "geometry", "switches", "reason"}
     keep = lines.select([F.col(f"`{c}`").alias(f"src_{c}" if c in taken else c) for c in lines.columns])
@@ -146,8 +155,9 @@ def read_lines(lines: DataFrame, raw: str = "raw_line", line_no: str = "line_no"
     d = _once(d, __parts=F.split("__line", '"', -1))
     header_line = F.coalesce((F.col(line_no) >= 1) & (F.col(line_no) <= HEADER_LINES), F.lit(False))
     d = _once(d, is_header=header_line, __text=_reader_text(F.col("__parts")))
-    # The reader refuses more columns than it has room for; such a line is rejected by its count below.
-    text = F.when(F.length("__text") - F.length(F.replace("__text", F.lit("\t"), F.lit(""))) < MOST_COLUMNS, F.col("__text"))
+    # The reader refuses more columns than it has room for; a line that has so many fields is rejected by its count below.
+    few_tabs = F.length("__text") - F.length(F.replace("__text", F.lit("\t"), F.lit(""))) < MOST_COLUMNS
+    text = F.when(few_tabs | (well_quoted(F.col("__parts")) & (_separators(F.col("__parts")) < HEADER_FIELDS)), F.col("__text"))
     d = _once(
         d, geometry=F.when(~F.col("is_header"), F.from_csv(text, F.lit(GEOMETRY.simpleString()), READER)),
         switches=F.when(F.col("is_header"), F.from_csv(text, F.lit(SWITCHES.simpleString()), READER)),

@@ -15,9 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the cluster's setting, else a local one for tests."""
+    """Folder for intermediate tables: the cluster's setting, else a local one where all executors share the driver's disk."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master!r} share")
         named = "file://" + tempfile.mkdtemp(prefix="spoolmark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

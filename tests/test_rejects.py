@@ -106,3 +106,12 @@ def test_every_line_comes_out_once(spark):
     assert heads[2].s00 is None and heads[2].s13 == 5 and wide in heads[2].corrupt_raw
     fine, bad = split_lines(d)
     assert sorted([*heads, *[r.row_id for r in fine.collect()], *[r.row_id for r in bad.collect()]]) == list(range(6))
+
+
+def test_separators_inside_quotes_do_not_count(spark):
+    inside = "\t".join(["x"] * 25_000)
+    cases = [(11, f'100 1 2 3 4 5 6 20 "{inside}" "a, b"'), (11, f'100 1 2 3 4 5 6 20 "{inside}" "a, b" c'), (11, f'100 1 2 3 4 5 6 20 "{inside}"x'), (11, "1\t" * 25_000)]
+    d = spark.createDataFrame([(i, n, raw, "c", "r") for i, (n, raw) in enumerate(cases)], LINES)
+    fine, bad = split_lines(d)
+    assert [(r.code, r.ax, r.bore, r.uci, r.tail) for r in fine.collect()] == [(100, 1.0, 20.0, inside, "a, b")]
+    assert {r.row_id: r.reason for r in bad.collect()} == {1: "column_count", 2: "quoting", 3: "column_count"}
