@@ -46,7 +46,7 @@ def made(seed, n):
     return owner
 
 
-@pytest.mark.parametrize("part_nodes", [250_000, 40, 12])
+@pytest.mark.parametrize("part_nodes", [100_000, 40, 12])
 def test_agrees_with_walking_up(spark, part_nodes):
     rows, want = [], {}
     for d, n in ((1, 150), (2, 60), (3, 7), (None, 20)):
@@ -74,3 +74,24 @@ def test_agrees_with_walking_up(spark, part_nodes):
 def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert hierarchy.hierarchies(hierarchy.ownership(none, "drawing_id", "parent_ref", "children", "child_ref")).count() == 0
+
+
+def test_long_chain_over_many_parts(spark):
+    n = 3_000
+    owned = spark.range(n).selectExpr("1L as domain", "(id * 7919) % 3001 as node", "case when id > 0 then ((id - 1) * 7919) % 3001 end as owner")
+    got = hierarchy.hierarchies(owned, 200).selectExpr("sum(depth) d", "sum(n_below) b", "max(length(path) - length(replace(path, '/', ''))) p", "count(distinct root) r").first()
+    assert (got.d, got.b, got.p, got.r) == (n * (n - 1) // 2, n * (n - 1) // 2, n - 1, 1)
+
+
+def test_paths_of_a_part_are_handed_on_in_pieces():
+    import pandas as pd
+
+    n = 20_000
+    nodes = pd.DataFrame({"part": 0, "domain": 1, "node": range(n), "owner": pd.array([None, *range(n - 1)], "Int64"), "step": [0] + [1] * (n - 1), "label": [str(i) for i in range(n)], "weight": 1, "kind": hierarchy.NODE, "home": None})
+    for c in ("root", "depth", "path", "total", "state"):
+        nodes[c] = None
+    seen, longest = 0, 0
+    for piece in hierarchy._expanded(iter([nodes])):
+        seen += len(piece)
+        longest = max(longest, piece["path"].str.len().sum())
+    assert seen == n and longest < 3 * hierarchy.PIECE_CHARS
