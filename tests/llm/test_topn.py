@@ -32,3 +32,17 @@ def test_ties_nulls_and_a_hot_group(spark):
         got = topn.top_n(d, ["line", "pipe"], "item", "score", n).select("line", "pipe", "rnk", "item").collect()
         assert sorted(map(tuple, got), key=str) == brute(rows, n)
     assert topn.top_n(d.limit(0), ["line", "pipe"], "item", "score", 5).count() == 0
+
+
+def test_heaps_merge_exactly_and_stay_small():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = [("L", rng.choice("pq"), f"i{rng.randrange(40)}", float(rng.randrange(30)), "") for _ in range(4000)]
+    table = lambda part: pa.table({"line": [r[0] for r in part], "pipe": [r[1] for r in part], "item": [r[2] for r in part], "score": [r[3] for r in part]})
+    parts = [topn.heaps(table(rows[k::7]), ["line", "pipe"], "item", "score", 5) for k in range(7)]
+    assert all(p.num_rows == 10 for p in parts)
+    whole = topn.heaps(pa.concat_tables(parts), ["line", "pipe"], "item", "score", 5).to_pylist()
+    seen = {}
+    got = [(r["line"], r["pipe"], seen.setdefault(r["pipe"], []).append(0) or len(seen[r["pipe"]]), r["item"]) for r in whole]
+    assert sorted(got, key=str) == brute(rows, 5)
