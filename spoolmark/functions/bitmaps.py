@@ -36,16 +36,11 @@ def pack(bitmaps: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda b: None if b is None else zlib.compress(bytes(b), 1))
 
 
-def _bits(packed: bytes | None) -> np.ndarray:
-    if packed is None:
-        return np.zeros(RANGE_BITS // 8, np.uint8)
+def unpack(packed: bytes) -> np.ndarray:
+    """The bytes of a packed bitmap."""
     return np.frombuffer(zlib.decompress(packed), np.uint8)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def and_not_bits(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Places of the bits of ``a AND NOT b``; a null bitmap is empty."""
-    for refs, parents in pairs:
-        yield pd.Series(
-            [np.flatnonzero(np.unpackbits(_bits(a) & ~_bits(b), bitorder="little")).astype(np.int32) for a, b in zip(refs, parents)]
-        )
+def set_bits(bits: np.ndarray) -> np.ndarray:
+    """Places of the bits that are set."""
+    return np.flatnonzero(np.unpackbits(bits, bitorder="little"))

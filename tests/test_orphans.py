@@ -41,6 +41,8 @@ def test_agrees_with_brute_force(spark):
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == brute(cites, parents)
     assert sum(r.n_orphans for r in orphan_counts(got).collect()) == len(rows)
+    split = find_orphans([citations(c, "t", "id", key, "at")], [lives(p, key, "created", "deleted")], hot_rows=20)
+    assert {tuple(r) for r in split.collect()} == set(rows)
     none = find_orphans([citations(c, "t", "id", key, "at")], [lives(p.limit(0), key, "created", "deleted")])
     assert {tuple(r) for r in none.collect()} == brute(cites, [])
     assert find_orphans([citations(c.limit(0), "t", "id", key, "at")], [lives(p, key, "created", "deleted")]).count() == 0
