@@ -5,14 +5,15 @@ the smallest number of a group is its smallest name.  A large-star rewrite
 links every larger neighbour of a node to the smallest node of its
 neighbourhood, a small-star rewrite does so for the smaller neighbours; both
 are joins of the edges with a map-side combined minimum per node.  They
-alternate until the edges no longer change, and then every node points at the
-smallest node of its component.
+alternate until neither changes an edge, which each rewrite counts while it is
+written, and then every node points at the smallest node of its component.
 
-A node that a third of all edges touch would send them to one task.  Nodes
-whose degree exceeds ``1 / HEAVY_SHARE`` of all edges, of which there are at
-most ``2 * HEAVY_SHARE``, therefore get their minimum by broadcast, all others
-by a shuffled join.  Every rewrite is written to the shared folder, so a lost
-executor costs no earlier round.
+A node that a third of all edges touch gets its minimum from partial minima of
+all tasks, and the join that hands the minimum out is a plain shuffled join
+followed by another shuffle or a write, which adaptive execution splits when
+one node fills a partition.  Every rewrite is written to the shared folder, so
+a lost executor costs no earlier round, and those of earlier rounds are
+deleted.
 
 Defined results: ends are trimmed of blanks, tabs and line breaks; an edge
 with a null or empty end is no edge, and its other end is no node because of
@@ -23,47 +24,33 @@ rows; further columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from spoolmark.plans.lineage import cut, release
 
-HEAVY_SHARE = 1000
 MAX_ROUNDS = 200
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Number and hash of the edges, to tell whether a rewrite changed them."""
-    row = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x"), F.expr("sum(cast(xxhash64(u, v, 7) as decimal(38, 0)))").alias("s")).first()
-    return row["n"], row["x"], row["s"]
+def _written(edges: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The edges (u, v) as a table, and how many of them are marked as changed."""
+    seen = Observation()
+    table = cut(edges.observe(seen, F.sum(F.col("changed").cast("long")).alias("changed")).select("u", "v"), name)
+    return table, seen.get["changed"] or 0
 
 
-def _with_minimum(edges: DataFrame, minimum: DataFrame, n_edges: int, degree: str) -> DataFrame:
-    """edges(u, v) joined with minimum(u, m); heavy u by broadcast, the rest shuffled."""
-    limit = max(1000, n_edges // HEAVY_SHARE)
-    heavy = F.broadcast(minimum.where(F.col(degree) > limit).select("u", F.col("m").alias("hm")))
-    light = minimum.where(F.col(degree) <= limit).select(F.col("u").alias("lu"), F.col("m").alias("lm"))
-    tagged = edges.join(heavy, "u", "left")
-    hot = tagged.where(F.col("hm").isNotNull()).select("u", "v", F.col("hm").alias("m"))
-    cold = tagged.where(F.col("hm").isNull()).join(light, F.col("u") == F.col("lu")).select("u", "v", F.col("lm").alias("m"))
-    return hot.unionByName(cold)
+def large_star(edges: DataFrame) -> DataFrame:
+    """(u, v, changed) of edges(u > v): every larger neighbour of a node is linked to the smallest of the node and its neighbours."""
+    both = edges.select(F.col("v").alias("x"), F.col("u").alias("y")).union(edges.select("u", "v"))
+    least = both.groupBy("x").agg(F.least("x", F.min("y")).alias("m"))
+    return edges.join(least, F.col("v") == F.col("x")).select("u", F.col("m").alias("v"), (F.col("m") != F.col("v")).alias("changed"))
 
 
-def large_star(edges: DataFrame, n_edges: int) -> DataFrame:
-    """Every larger neighbour v of u is linked to the smallest of u and its neighbours."""
-    both = edges.union(edges.select("v", "u"))
-    minimum = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).select("u", F.least("u", "m").alias("m"), "d")
-    # Only the neighbours larger than u are rewritten.
-    larger = both.where(F.col("v") > F.col("u"))
-    return _with_minimum(larger, minimum, n_edges, "d").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def small_star(edges: DataFrame, n_edges: int) -> DataFrame:
-    """u and every smaller neighbour of u are linked to the smallest of them."""
-    # Edges come from a large star, so u is the larger end.
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v"))
-    minimum = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
-    linked = _with_minimum(down, minimum, n_edges, "d").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.union(minimum.select("u", F.col("m").alias("v"))).distinct()
+def small_star(edges: DataFrame) -> DataFrame:
+    """(u, v, changed) of edges(u > v): a node and every smaller neighbour of it are linked to the smallest of them."""
+    least = edges.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
+    other = F.col("v") != F.col("m")
+    linked = edges.join(least, F.col("u") == F.col("x")).select(F.when(other, F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"), other.alias("changed"))
+    return linked.groupBy("u", "v").agg(F.max("changed").alias("changed"))
 
 
 def _clean(end: Column) -> Column:
@@ -74,26 +61,23 @@ def group_ids(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node_id, group_id) of every node of an edge with both ends, group_id being the smallest node of the group."""
     ends = edges.select(_clean(F.col(a)).alias("a"), _clean(F.col(b)).alias("b")).where("a is not null and b is not null")
     pairs = cut(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    names = pairs.select(F.col("a").alias("name")).unionAll(pairs.select("b")).groupBy("name").agg(F.count("*").alias("d"))
-    nodes = cut(
-        names.repartitionByRange("name").sortWithinPartitions("name").select("name", "d", F.monotonically_increasing_id().alias("id")), "nodes"
-    )
-    proper, codes, n_pairs = pairs.where("a != b"), nodes.select(F.col("name").alias("u"), F.col("id").alias("m"), "d"), pairs.count()
-    half = _with_minimum(proper.select(F.col("b").alias("u"), F.col("a").alias("v")), codes, n_pairs, "d").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    state_of = cut(_with_minimum(half, codes, n_pairs, "d").select(F.col("v").alias("u"), F.col("m").alias("v")), "edges")
-    before = _state(state_of)
+    names = pairs.select(F.col("a").alias("name")).unionAll(pairs.select("b")).distinct()
+    nodes = cut(names.repartitionByRange("name").sortWithinPartitions("name").select("name", F.monotonically_increasing_id().alias("id")), "nodes")
+    number = lambda name, as_: nodes.select(F.col("name").alias(name), F.col("id").alias(as_))
+    coded = pairs.where("a != b").join(number("a", "v"), "a").select("b", "v").join(number("b", "u"), "b").select("u", "v")
+    edges = cut(coded, "edges")
+    release(pairs)
+    forked = 1
     for _ in range(MAX_ROUNDS):
-        large = cut(large_star(state_of, before[0]), "large")
-        small = cut(small_star(large, before[0]), "small")
-        after = _state(small)
-        release(state_of)
-        release(large)
-        state_of = small
-        if after == before:
+        large, moved = _written(large_star(edges), "large")
+        release(edges)
+        if not moved and not forked:
+            edges = large
             break
-        before = after
+        edges, forked = _written(small_star(large), "small")
+        release(large)
     else:
         raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
-    grouped = nodes.join(state_of.withColumnRenamed("u", "id"), "id", "left").select(F.coalesce("v", "id").alias("u"), F.col("name").alias("v"))
-    roots = grouped.groupBy("u").agg(F.count("*").alias("d")).join(nodes.select(F.col("id").alias("u"), F.col("name").alias("m")), "u")
-    return _with_minimum(grouped, roots, n_pairs, "d").select(F.col("v").alias("node_id"), F.col("m").alias("group_id"))
+    grouped = nodes.join(edges.withColumnRenamed("u", "id"), "id", "left").select("name", F.coalesce("v", "id").alias("root"))
+    roots = nodes.select(F.col("id").alias("root"), F.col("name").alias("group_id"))
+    return grouped.join(roots, "root").select(F.col("name").alias("node_id"), "group_id")

