@@ -1,23 +1,26 @@
 """Personal information inside free text: a skip-chain conditional random field.
 
-Tokens of a document form a chain.  Tokens of the same spelling that may be
-part of a name are joined by skip edges to their previous occurrence, so that
-a name recognised from its surroundings in one place is recognised elsewhere
-in the document.  Observations are hashed features of the words around a token
-and of the surface patterns that cover it (``pii_patterns``).  Labels are
-begin and inside of each kind, and none.  Inference is loopy message passing:
-forward-backward over all chains of a batch at once, messages across the skip
-edges, repeated ``ROUNDS`` times, then the best path under the messages.
-
-No table has labels, so the field is trained on a bounded sample of
-``TRAIN_DOCS`` documents, chosen by hash, whose labels come from the patterns;
-in training, patterns and words are hidden at random so that the surroundings
-of a name have to carry it.  Training runs in one task and its result, a
-weight matrix of fixed size, is what is broadcast.  All documents are read
-whole, in one narrow pass without a shuffle.
-
-A predicted span takes the exact boundaries of the pattern of its kind where
-one overlaps it, else those of its tokens.
+Tokens of a document form a chain.  Words that may be part of a name, and pairs
+of Han characters, are joined by skip edges to their previous occurrence in the
+document, so that a name recognised from its surroundings in one place is
+recognised elsewhere.  Observations are hashed features (``pii_tokens``).
+Labels are begin and inside of each kind, and none.  Inference is loopy message
+passing: forward-backward over all chains of a batch at once, messages across
+the skip edges, repeated ``ROUNDS`` times, then the best path under the
+messages.  The field alone decides what is found and where it begins and ends;
+no pattern proposes, vetoes or moves a place.
+
+Tokens whose best label other than none lies more than ``SURE`` (in nats)
+below none, far more than a neighbour or a skip edge can add, are none
+without inference; chains run over the others.
+
+No table has labels, so the field is trained on a bounded sample of at most
+``TRAIN_DOCS`` texts, chosen by hash, whose labels come from distant
+supervision, and on ``TRAIN_MADE`` made-up texts (``pii_labels``).  In
+training, words are hidden at random so that shape and surroundings carry a
+name.  Training runs in one task and its result, a weight matrix of fixed
+size, is what is broadcast.  All documents are read whole, in one narrow pass
+without a shuffle.
 
 Defined results: null, empty and blank texts have no places; offsets count
 characters of the text as stored; places of a document do not overlap; rows of
@@ -28,29 +31,27 @@ every other character and null texts.
 from __future__ import annotations
 
 import io
-import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from spoolmark.llm import pii_patterns as patterns
-from spoolmark.llm.pii_patterns import KINDS
+from spoolmark.llm import pii_labels as labels
+from spoolmark.llm.pii_labels import KINDS
+from spoolmark.llm.pii_tokens import BITS, HAN, LETTER, LOWER_WORD, SIGN, Tokens, features, fold, word_codes
 
-TRAIN_DOCS = 6_000
-TRAIN_WITH = 2_500
-BITS = 16
+TRAIN_DOCS = 3_000
+TRAIN_MADE = 4_000
 ROUNDS = 2
-EPOCHS = 6
+EPOCHS = 4
+SURE = 5.0
+HIDE_UNCOMMON, HIDE_COMMON, HIDE_HAN = 0.6, 0.3, 0.2
+#: Tokens of a training chain, after which it is cut at the next token without a label.
+CHAIN = 24
 LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 N = len(LABELS)
 
-TOKEN = re.compile(r"[A-Za-zÀ-ɏ]+|[0-9]+|[一-鿿]|[^\sA-Za-zÀ-ɏ0-9]")
-PROPOSALS = ("email", "phone", "identity", "address", "shaped", "named", "han")
-
 FOUND = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -61,137 +62,25 @@ FOUND = T.StructType(
 )
 
 
-def _shape(word: str) -> str:
-    c = word[0]
-    if c.isdigit():
-        return "9" * min(len(word), 9)
-    if "一" <= c <= "鿿":
-        return "zh"
-    if not c.isalpha():
-        return c
-    if word.isupper():
-        return "A" if len(word) == 1 else "AA"
-    return "Aa" if c.isupper() else "a"
-
-
-class Tokens:
-    """Tokens of a batch of texts as arrays, documents one after another."""
-
-    _words: dict[str, tuple[int, int, bool]] = {}
-
-    def __init__(self, texts: list[str]):
-        start, end, word, shape, named, gap, first = [], [], [], [], [], [], [0]
-        self.folded = [patterns.fold(t) for t in texts]
-        self.proposed = [patterns.candidates(f) for f in self.folded]
-        known = self._words
-        if len(known) > 1_000_000:
-            known.clear()
-        for f in self.folded:
-            last = 0
-            for m in TOKEN.finditer(f):
-                w = m.group()
-                at = known.get(w)
-                if at is None:
-                    low = w.lower()
-                    is_digit = w[0].isdigit()
-                    code = zlib.crc32(("#" * min(len(w), 9) if is_digit else low).encode())
-                    at = known[w] = (code, zlib.crc32(_shape(w).encode()), not is_digit and len(w) > 1 and w[0].isalpha())
-                s, e = m.span()
-                start.append(s)
-                end.append(e)
-                word.append(at[0])
-                shape.append(at[1])
-                named.append(at[2])
-                gap.append(0 if s == last else 2 if "\n" in f[last:s] else 1)
-                last = e
-            first.append(len(start))
-        self.start, self.end = np.array(start, np.int64), np.array(end, np.int64)
-        self.word, self.shape = np.array(word, np.uint64), np.array(shape, np.uint64)
-        self.named, self.gap, self.first = np.array(named, bool), np.array(gap, np.uint64), np.array(first, np.int64)
-        self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        self.size = len(start)
-
-    def cover(self, doc: int, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-        """Token ranges of character spans of a document."""
-        a, b = self.first[doc], self.first[doc + 1]
-        for s, e in spans:
-            i = a + np.searchsorted(self.start[a:b], s)
-            j = a + np.searchsorted(self.start[a:b], e)
-            if j > i:
-                yield int(i), int(j)
-
-    def marks(self) -> np.ndarray:
-        """For each pattern, 1 on the first token of a proposal, 2 on the others."""
-        out = np.zeros((self.size, len(PROPOSALS)), np.uint64)
-        for d, proposed in enumerate(self.proposed):
-            for k, name in enumerate(PROPOSALS):
-                for i, j in self.cover(d, proposed[name]):
-                    out[i, k] = 1
-                    out[i + 1 : j, k] = 2
-        return out
+def skip_edges(t: Tokens, common: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of tokens (of those marked ``on``) that bear the same uncommon word, or the same pair of Han characters, each with the previous one."""
+    doc = t.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    at = np.flatnonzero(on & (t.kind == LETTER) & (t.length > 1))
+    at = at[~np.isin(t.word[at], common)]
+    a, b = _previous(at, t.word[at] + doc[at])
+    two = np.flatnonzero(on[:-1] & on[1:] & (t.kind[:-1] == HAN) & (t.kind[1:] == HAN) & (t.gap[1:] == 0) & (t.doc[1:] == t.doc[:-1])) if t.size > 1 else np.zeros(0, np.int64)
+    c, d = _previous(two, t.word[two] * np.uint64(3) + t.word[np.minimum(two + 1, max(t.size - 1, 0))] + doc[two])
+    return np.concatenate([a, c, c + 1]), np.concatenate([b, d, d + 1])
 
-    def skips(self) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of tokens of one document with the same word that may be part of a name, each with the previous one; Han names as a whole."""
-        at = np.flatnonzero(self.named & (self.shape != np.uint64(zlib.crc32(b"a"))))
-        key = self.word[at] + (self.doc[at].astype(np.uint64) << np.uint64(32))
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        han = sorted({x for d in range(len(self.folded)) for x in self._han_pairs(d)})
-        a, b = np.array(han, np.int64).reshape(-1, 2).T
-        return np.concatenate([at[order[:-1][same]], a]), np.concatenate([at[order[1:][same]], b])
-
-    def _han_pairs(self, doc: int) -> Iterator[tuple[int, int]]:
-        """Every place of a proposed Han name linked with its previous one, character by character, whatever stands around it."""
-        f = self.folded[doc]
-        for name in {f[s:e] for s, e in self.proposed[doc]["han"]}:
-            spots = list(self.cover(doc, [m.span() for m in re.finditer(re.escape(name), f)]))
-            for (i, k), (j, _) in zip(spots, spots[1:]):
-                yield from zip(range(i, k), range(j, j + k - i))
-
-
-def _mix(tag: int, *parts: np.ndarray) -> np.ndarray:
-    h = np.full(len(parts[0]), 0x9E3779B97F4A7C15 * (tag + 1) & 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for p in parts:
-        h = (h ^ p) * np.uint64(0xFF51AFD7ED558CCD)
-        h ^= h >> np.uint64(29)
-    return ((h >> np.uint64(40)) & np.uint64((1 << BITS) - 1)).astype(np.int32)
-
-
-def features(t: Tokens, hide_words: np.ndarray | None = None, hide_marks: np.ndarray | None = None) -> np.ndarray:
-    """Hashed features of every token; neighbours beyond the document read as 0."""
-    n = t.size
-    marks = t.marks()
-    word = t.word if hide_words is None else np.where(hide_words, np.uint64(1), t.word)
-    if hide_marks is not None:
-        named = [PROPOSALS.index(k) for k in ("shaped", "named", "han")]
-        marks[np.ix_(hide_marks, named)] = 0
-    combined = (marks << (np.arange(len(PROPOSALS), dtype=np.uint64) * np.uint64(2))).sum(axis=1).astype(np.uint64)
-
-    def shifted(values: np.ndarray, by: int) -> np.ndarray:
-        out = np.zeros(n, values.dtype)
-        if abs(by) < n:
-            if by > 0:
-                out[by:] = np.where(t.doc[by:] == t.doc[:-by], values[:-by], 0)
-            elif by < 0:
-                out[:by] = np.where(t.doc[:by] == t.doc[-by:], values[-by:], 0)
-            else:
-                out = values
-        return out
 
-    w = {k: shifted(word, k) for k in range(-3, 5) if k} | {0: word}
-    s = {k: shifted(t.shape, k) for k in range(-2, 3) if k} | {0: t.shape}
-    c = {k: shifted(combined, k) for k in (-1, 1)} | {0: combined}
-    # ``shifted`` by k reads the token k places before.
-    columns = [
-        (w[0],), (w[1],), (w[-1],), (w[2], w[1]), (w[-2],), (s[0], s[1]), (s[0], s[-1]), (s[1], s[0], s[-1]), (t.gap, s[0], c[0]),
-        (c[0],), (c[0], w[1]), (c[0], c[1], c[-1]), (w[2], s[1], s[0]), (w[3], s[2], s[1], s[0]), (s[0], s[-1], w[-2]), (w[0], w[1]), (s[0], s[-1], s[-2], w[-3]),
-        (c[0], w[-1]),
-    ]
-    return np.stack([_mix(i, *parts) for i, parts in enumerate(columns)], axis=1)
+def _previous(at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    return at[order[:-1][same]], at[order[1:][same]]
 
 
 class Chains:
-    """Documents of a batch sorted by length, so that step k of all that reach it is one slice."""
+    """Chains of a batch sorted by length, so that step k of all that reach it is one slice."""
 
     def __init__(self, first: np.ndarray):
         length = np.diff(first)
@@ -249,21 +138,36 @@ def _best_paths(chains: Chains, log_e: np.ndarray, log_move: np.ndarray, log_beg
     return out
 
 
+def _barred() -> tuple[np.ndarray, np.ndarray]:
+    """Transitions and beginnings that may not be: an inside label only follows its begin or itself."""
+    move, begin = np.zeros((N, N)), np.zeros(N)
+    for k in range(len(KINDS)):
+        move[:, 2 + 2 * k] = -12
+        move[[1 + 2 * k, 2 + 2 * k], 2 + 2 * k] = 0
+    begin[2::2] = -12
+    return move, begin
+
+
 class Field:
-    """Weights of features and transitions, and the potential of skip edges."""
+    """Weights of features and transitions, the potential of skip edges, and the common words and name lists that features refer to."""
 
-    def __init__(self, weights: np.ndarray, move: np.ndarray, begin: np.ndarray, skip: np.ndarray, common: list[str]):
+    def __init__(self, weights: np.ndarray, move: np.ndarray, begin: np.ndarray, skip: np.ndarray, common: np.ndarray):
         self.weights, self.move, self.begin, self.skip, self.common = weights, move, begin, skip, common
+        self.known = {
+            "common": common, "given": word_codes([w.lower() for g in labels.GIVEN for w in g.split("-")]), "family": word_codes([f.lower() for f in labels.FAMILY if f.isalpha()]),
+            "han": word_codes(labels.HAN_FAMILY), "street": word_codes([s.lower() for s in labels.STREET_TYPES]), "title": word_codes([s.lower() for s in labels.TITLES]),
+        }
+        self.excess = (weights[:, 1:].max(axis=1) - weights[:, 0]).astype(np.float32) if len(weights) else weights
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez_compressed(out, w=self.weights.astype(np.float32), m=self.move, b=self.begin, s=self.skip)
+        np.savez_compressed(out, w=self.weights.astype(np.float16), m=self.move, b=self.begin, s=self.skip, c=self.common)
         return out.getvalue()
 
     @staticmethod
     def load(data: bytes) -> Field:
         z = np.load(io.BytesIO(data))
-        return Field(z["w"], z["m"], z["b"], z["s"], [])
+        return Field(z["w"].astype(np.float32), z["m"], z["b"], z["s"], z["c"])
 
     def scores(self, f: np.ndarray) -> np.ndarray:
         out = np.zeros((len(f), N), np.float32)
@@ -271,165 +175,166 @@ class Field:
             out += self.weights[f[:, k]]
         return out
 
-    def label(self, t: Tokens) -> np.ndarray:
+    def label(self, t: Tokens, sure: float = SURE) -> np.ndarray:
         """Label of every token by loopy message passing over chains and skip edges."""
+        out = np.zeros(t.size, np.int64)
         if not t.size:
-            return np.zeros(0, np.int64)
-        chains, base = Chains(t.first), self.scores(features(t)).astype(np.float64)
-        a, b = t.skips()
-        into = np.zeros((t.size, N))
-        move, begin = np.exp(self.move), np.exp(self.begin)
+            return out
+        f = features(t, self.known)
+        # The sum of the greatest excesses over none bounds the excess of every label.
+        bound = np.zeros(t.size, np.float32)
+        for k in range(f.shape[1]):
+            bound += self.excess[f[:, k]]
+        open_ = np.flatnonzero(bound > -sure)
+        scores = self.scores(f[open_]).astype(np.float64)
+        keep = scores[:, 1:].max(axis=1) - scores[:, 0] > -sure
+        on, base = open_[keep], scores[keep]
+        if not len(on):
+            return out
+        # Chains of neighbouring open tokens; what lies between them is none.
+        first = np.flatnonzero(np.append(True, (np.diff(on) > 1) | (np.diff(t.doc[on]) > 0)))
+        chains = Chains(np.append(first, len(on)))
+        marked = np.zeros(t.size, bool)
+        marked[on] = True
+        a, b = (np.searchsorted(on, x) for x in skip_edges(t, self.common, marked))
+        into = np.zeros((len(on), N))
+        inner, begin = np.exp(self.move), self.begin + self.move[0]
+        # The token behind a chain is none.
+        base[chains.last] += self.move[:, 0]
         if len(a):
             to_b, to_a = np.full((len(a), N), 1 / N), np.full((len(a), N), 1 / N)
             for _ in range(ROUNDS):
-                fa, ba = forward_backward(chains, _emit(base + into), move, begin)
+                fa, ba = forward_backward(chains, _emit(base + into), inner, np.exp(begin))
                 belief = _normal(fa * ba + 1e-30)
                 # A message leaves out what came back over its own edge.
                 to_b_next = _normal(_normal(belief[a] / np.maximum(to_a, 1e-6)) @ self.skip)
                 to_a_next = _normal(_normal(belief[b] / np.maximum(to_b, 1e-6)) @ self.skip.T)
                 to_a, to_b = to_a_next, to_b_next
-                into = np.zeros((t.size, N))
+                into = np.zeros((len(on), N))
                 np.add.at(into, b, np.log(to_b * N))
                 np.add.at(into, a, np.log(to_a * N))
-        return _best_paths(chains, base + into, self.move, self.begin)
+        out[on] = _best_paths(chains, base + into, self.move, begin)
+        return out
 
 
-def _gold(t: Tokens, common: set[str]) -> np.ndarray:
+def _gold(t: Tokens, places: list[list[tuple[str, int, int]]], unsettled: list[list[tuple[int, int]]]) -> np.ndarray:
+    """Label of every token; -1 where it is not settled."""
     y = np.zeros(t.size, np.int64)
-    for d, f in enumerate(t.folded):
-        for kind, s, e in patterns.weak_labels(f, t.proposed[d], common):
-            for i, j in t.cover(d, [(s, e)]):
-                k = 1 + 2 * KINDS.index(kind)
-                y[i], y[i + 1 : j] = k, k + 1
+    for d, (own, left) in enumerate(zip(places, unsettled)):
+        a, b = t.first[d], t.first[d + 1]
+        start, end = t.start[a:b], t.end[a:b]
+        spans = [(s, e, -1, -1) for s, e in left] + [(s, e, 1 + 2 * KINDS.index(k), 2 + 2 * KINDS.index(k)) for k, s, e in own]
+        for s, e, head, rest in spans:
+            i, j = a + np.searchsorted(end, s, side="right"), a + np.searchsorted(start, e)
+            if i < j:
+                y[i], y[i + 1 : j] = head, rest
     return y
 
 
-def train(texts: list[str], seed: int = 7) -> Field:
-    """The field fitted to the weak labels of ``texts``."""
-    lower, total = Counter(), Counter()
-    for text in texts:
-        for w in patterns.PLAIN_WORD.findall(patterns.fold(text)):
-            total[w.lower()] += 1
-            lower[w.lower()] += w.islower()
-    common = {w for w, n in total.items() if n > 3 and lower[w] > 0.5 * n}
-    rng = np.random.default_rng(seed)
-    field = Field(np.zeros((1 << BITS, N), np.float32), np.zeros((N, N)), np.zeros(N), np.ones((N, N)), sorted(common))
-    if not texts:
+def _segments(t: Tokens, y: np.ndarray, rng: np.random.Generator) -> list[tuple[int, int]]:
+    """Training chains: cut where no place goes on, without unsettled tokens; of those without a place a fifth."""
+    out, begin = [], 0
+    change = np.append(True, t.doc[1:] != t.doc[:-1]) if t.size else np.zeros(0, bool)
+    for i in range(t.size + 1):
+        ends = i == t.size or change[i] or y[i] < 0 or (i - begin >= CHAIN and y[i] == 0 and y[i - 1] <= 0)
+        if ends:
+            if i > begin and ((y[begin:i] > 0).any() or rng.random() < 0.2):
+                out.append((begin, i))
+            begin = i + 1 if i < t.size and y[i] < 0 else i
+    return out
+
+
+def train(texts: list[str], seed: int = 7, made: int = TRAIN_MADE, extra: list[tuple[str, list[tuple[str, int, int]]]] = ()) -> Field:
+    """The field fitted to distantly labelled ``texts``, to made-up ones and to ``extra`` texts with given places."""
+    maker, rng = labels.Maker(seed), np.random.default_rng(seed)
+    invented = [maker.text() for _ in range(made)] + list(extra)
+    folded = [fold(x) for x in texts]
+    common = labels.common_words(folded) | labels.common_words([fold(x) for x, _ in invented], 6)
+    codes = word_codes(common)
+    words = labels.NameWords(folded, common)
+    weak = [labels.weak_labels(x, words) for x in folded]
+    all_texts = [*texts, *[x for x, _ in invented]]
+    move, begin = _barred()
+    field = Field(np.zeros((1 << BITS, N), np.float32), move, begin, np.ones((N, N)), codes)
+    t = Tokens(all_texts)
+    if not t.size:
         return field
-    t = Tokens(texts)
-    y = _gold(t, common)
-    has = np.zeros(len(texts), bool)
-    has[t.doc[y > 0]] = True
-    used = np.concatenate([np.flatnonzero(has)[:TRAIN_WITH], np.flatnonzero(~has)[: TRAIN_WITH // 4]])
-    # An inside label may only follow its begin or itself.
-    barred = np.zeros((N, N))
-    for k in range(len(KINDS)):
-        barred[:, 2 + 2 * k] = -8
-        barred[[1 + 2 * k, 2 + 2 * k], 2 + 2 * k] = 0
-    begin_barred = np.zeros(N)
-    begin_barred[2::2] = -8
-    g_w, g_m = np.full((1 << BITS, N), 1e-4, np.float32), np.full((N, N), 1e-4)
-    rate = 0.5
-    batches = []
-    for batch in np.array_split(rng.permutation(used), max(1, len(used) // 100)):
-        sub = Tokens([texts[d] for d in batch])
-        if sub.size:
-            kept = sub.marks()
-            sub.marks = kept.copy
-            batches.append((batch, sub, Chains(sub.first)))
+    y = _gold(t, [p for p, _ in weak] + [p for _, p in invented], [o for _, o in weak] + [[] for _ in invented])
+    chains = _segments(t, y, rng)
+    # Seen once as they are, once with words hidden at random, by turns: uncommon ones as if never met, some common ones too.
+    chance = np.select([t.kind == HAN, t.kind != LETTER, np.isin(t.word, codes)], [HIDE_HAN, 0.0, HIDE_COMMON], HIDE_UNCOMMON)
+    views = [features(t, field.known, hidden=None if k == 0 else rng.random(t.size) < chance) for k in range(2)]
+    g_w, g_m = np.full((1 << BITS, N), 1e-3, np.float32), np.full((N, N), 1e-3)
+    learnt, seen, slots = np.zeros((N, N)), np.zeros(1 << BITS, bool), np.zeros(1 << BITS, np.int64)
+    width = views[0].shape[1]
     for epoch in range(EPOCHS):
-        for at in rng.permutation(len(batches)):
-            batch, sub, chains = batches[at]
-            gold = np.concatenate([y[t.first[d] : t.first[d + 1]] for d in batch])
-            hide_words = (rng.random(sub.size) < 0.25) & sub.named
-            hide_doc = rng.random(len(batch)) < (0.3 if epoch < EPOCHS - 1 else 0.0)
-            f = features(sub, hide_words, hide_doc[sub.doc])
+        order = rng.permutation(len(chains))
+        for k, batch in enumerate(np.array_split(order, max(1, len(order) // 250))):
+            spans = [chains[i] for i in batch]
+            at = np.concatenate([np.arange(a, b) for a, b in spans]) if spans else np.zeros(0, np.int64)
+            if not len(at):
+                continue
+            first = np.cumsum([0] + [b - a for a, b in spans])
+            own, f = Chains(first), views[(k + epoch) % 2][at]
+            gold = y[at]
+            full = np.exp(learnt + move)
             e = _emit(field.scores(f).astype(np.float64))
-            move = np.exp(field.move + barred)
-            a, b = forward_backward(chains, e, move, np.exp(begin_barred))
+            a, b = forward_backward(own, e, full, np.exp(begin))
             p = _normal(a * b + 1e-30)
             delta = p.astype(np.float32)
-            delta[np.arange(sub.size), gold] -= 1
-            inner = np.flatnonzero(np.diff(sub.doc, prepend=-1) == 0)
-            pair = a[inner - 1][:, :, None] * move * (e[inner] * b[inner])[:, None, :]
+            delta[np.arange(len(at)), gold] -= 1
+            inner = np.setdiff1d(np.arange(len(at)), first[:-1])
+            pair = a[inner - 1][:, :, None] * full * (e[inner] * b[inner])[:, None, :]
             expected = (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
             observed = np.zeros((N, N))
             np.add.at(observed, (gold[inner - 1], gold[inner]), 1)
             step = expected - observed
             g_m += step**2
-            field.move -= rate * step / np.sqrt(g_m)
+            learnt -= 0.5 * step / np.sqrt(g_m)
             flat = f.ravel()
-            grad = np.stack([np.bincount(flat, np.repeat(delta[:, k], f.shape[1]), 1 << BITS) for k in range(N)], axis=1).astype(np.float32)
-            touched = np.flatnonzero(np.bincount(flat, minlength=1 << BITS))
-            grad = grad[touched]
+            seen[flat] = True
+            touched = np.flatnonzero(seen)
+            slots[touched] = np.arange(len(touched))
+            slot = slots[flat]
+            seen[touched] = False
+            grad = np.stack([np.bincount(slot, np.repeat(delta[:, n], width), len(touched)) for n in range(N)], axis=1).astype(np.float32)
             g_w[touched] += grad**2
-            field.weights[touched] -= rate * 0.3 * grad / np.sqrt(g_w[touched])
-    field.move += barred
-    field.begin = begin_barred
+            field.weights[touched] -= 0.3 * grad / np.sqrt(g_w[touched])
     # Potential of a skip edge: how much more often two linked tokens bear two labels than by chance.
-    a, b = t.skips()
+    a, b = skip_edges(t, codes, np.ones(t.size, bool))
+    settled = (y[a] >= 0) & (y[b] >= 0)
     joint = np.full((N, N), 0.5)
-    np.add.at(joint, (y[a], y[b]), 1)
+    np.add.at(joint, (y[a][settled], y[b][settled]), 1)
     joint = (joint + joint.T) / joint.sum() / 2
-    field.skip = np.clip(np.sqrt(joint / np.outer(joint.sum(axis=1), joint.sum(axis=0))), 0.2, 5.0)
-    return field
-
-
-_OPEN = " \t\n,;:|>\"'(<"
+    skip = np.clip(np.sqrt(joint / np.outer(joint.sum(axis=1), joint.sum(axis=0))), 0.2, 5.0)
+    return Field(field.weights, learnt + move, begin, skip, codes)
 
 
 def _spans(t: Tokens, y: np.ndarray) -> Iterator[tuple[int, str, int, int]]:
-    """(document, kind, start, end) of the labelled spans, on exact boundaries."""
-    begins = np.flatnonzero((y > 0) & (y % 2 == 1) | (y > 0) & (y % 2 == 0) & (np.concatenate([[0], y[:-1]]) + 1 < y) | (y > 0) & (np.diff(t.doc, prepend=-1) != 0))
-    begins = sorted(set(begins.tolist()) | {i for i in np.flatnonzero((y > 0) & (y % 2 == 0)).tolist() if i == 0 or (y[i - 1] + 1) // 2 != y[i] // 2})
-    taken: dict[int, list[tuple[int, int]]] = {}
-    for i in begins:
-        kind = KINDS[(y[i] - 1) // 2]
-        inside = 2 + 2 * ((y[i] - 1) // 2)
+    """(document, kind, start, end) of the labelled spans; a name needs a given name or initial beside the family name."""
+    kind = (y + 1) // 2
+    head = (y > 0) & ((y % 2 == 1) | np.append(True, kind[1:] != kind[:-1]) | np.append(True, t.doc[1:] != t.doc[:-1]))
+    for i in np.flatnonzero(head).tolist():
         j = i + 1
-        while j < t.size and t.doc[j] == t.doc[i] and y[j] == inside:
+        while j < t.size and not head[j] and kind[j] == kind[i] and y[j] > 0 and t.doc[j] == t.doc[i]:
             j += 1
-        d = int(t.doc[i])
-        s, e = int(t.start[i]), int(t.end[j - 1])
-        names = ("named", "shaped", "han") if kind == "person" else (kind,)
-        best = None
-        for name in names:
-            over = [(min(e, b) - max(s, a), a, b) for a, b in t.proposed[d][name] if a < e and s < b]
-            if kind == "person" and name != "named":
-                over = [x for x in over if (x[1], x[2]) == (s, e)]
-            if over:
-                best = max(over)[1:]
-                break
-        if best:
-            s, e = best
-        else:
-            f = t.folded[d]
-            while s < e and f[s] in _OPEN + ".-":
-                s += 1
-            while e > s and f[e - 1] in _OPEN + ")-" or (e - s > 2 and f[e - 1] == "." and f[e - 2].isalpha() and f[e - 3].isalpha()):
-                e -= 1
-            if kind == "person" and not _is_name(f[s:e]):
+        # Closing signs are no part of a place, but for the dot of an abbreviation and a bracket opened in it.
+        while j - 1 > i and t.kind[j - 1] == SIGN and chr(int(t.codes[t.at[j - 1]])) in ",;:<>|\"'。，；：、":
+            j -= 1
+        if kind[i] == 1:
+            latin = (t.kind[i:j] == LETTER).sum()
+            if latin == 1 or not latin and not 2 <= (t.kind[i:j] == HAN).sum() <= 4:
                 continue
-        if s < e and not any(a < e and s < b for a, b in taken.get(d, ())):
-            taken.setdefault(d, []).append((s, e))
-            yield d, kind, s, e
-
-
-def _is_name(text: str) -> bool:
-    """A given name or initial and a family name; two to four Han characters."""
-    parts = re.findall(r"[A-Za-zÀ-ɏ]+(?:['-][A-Za-zÀ-ɏ]+)*", text)
-    if parts:
-        return len([p for p in parts if p.lower() not in patterns.PARTICLES]) >= 2 and max(map(len, parts)) > 1
-    return 2 <= len(text) <= 4
+        yield int(t.doc[i]), KINDS[kind[i] - 1], int(t.start[i]), int(t.end[j - 1])
 
 
 def places(field: Field, ids: list[int], texts: list[str]) -> pd.DataFrame:
     t = Tokens(texts)
-    rows = [(ids[d], kind, s, e) for d, kind, s, e in _spans(t, field.label(t))]
+    rows = [(ids[d], kind, s, e) for d, kind, s, e in _spans(t, field.label(t))] if t.size else []
     return pd.DataFrame(rows, columns=FOUND.names).astype({"start_pos": "int32", "end_pos": "int32"})
 
 
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 500_000
 
 
 def _fit(docs: DataFrame) -> bytes:
