@@ -130,23 +130,25 @@ def unique_pairs(pairs: DataFrame, by: Sequence[str], a: str, b: str) -> DataFra
     return distinct.withColumn("__a", na).withColumn("__b", nb).where("__a = 1 and __b = 1").drop("__a", "__b")
 
 
-def propagate_pairs(candidates: DataFrame, by: Sequence[str], a: str, b: str, rounds: int = 20) -> DataFrame:
-    """(by..., a, b, round): one-to-one matches grown from mutual uniqueness.
+def propagate_pairs(candidates: DataFrame, by: Sequence[str], a: str, b: str, most_rounds: int = 1000) -> DataFrame:
+    """(by..., a, b, round): one-to-one matches grown from mutual uniqueness, until no pair is unique any more.
 
     All pairs that are unique for both ends are taken at once; their ends leave
     the candidates; the next round may find new unique pairs.  The outcome does
-    not depend on any order, and both columns stay unique.
+    not depend on any order, and both columns stay unique.  Raises if pairs are
+    still found after ``most_rounds``.
     """
     left = cut(candidates.select(*by, a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct(), "left")
     out = None
-    for k in range(1, rounds + 1):
+    for k in range(1, most_rounds + 1):
         taken = cut(unique_pairs(left, by, a, b).withColumn("round", F.lit(k)), "taken")
         if taken.limit(1).count() == 0:
             return taken if out is None else out
         out = taken if out is None else out.unionByName(taken)
         rest = left.join(taken.select(*by, a), [*by, a], "left_anti").join(taken.select(*by, b), [*by, b], "left_anti")
-        left = cut(rest, "left")
-    return out
+        before, left = left, cut(rest, "left")
+        release(before)
+    raise RuntimeError(f"pairs are still found after {most_rounds} rounds")
 
 
 def seeds(distances: DataFrame, by: Sequence[str], a: str, b: str, gap: str, near: float = 1.0, lead: float = 2.0, exact: float = 0.15) -> DataFrame:

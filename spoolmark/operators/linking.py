@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from spoolmark.plans.lineage import cut
+
 
 def coverage(left: DataFrame, right: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
     """Per group of ``left``: its rows, those with a partner of the same key, and the rest.
@@ -51,17 +53,49 @@ def candidate_distribution(left: DataFrame, right: DataFrame, key: str) -> DataF
 def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, right_at: str, value: Sequence[str]) -> DataFrame:
     """``left`` with the values of the latest row of ``right`` of its group that is not later.
 
-    One sort-based pass: the rows of both sides are merged by time and the last
-    known values are carried forward.  Ties among ``right`` are broken by the
+    The rows of both sides are cut into ranges of (group, time), so a group of
+    any size is spread over tasks.  Inside a range the last known values are
+    carried forward; what a range begins with comes from the ranges before it,
+    of which one row each is kept.  Ties among ``right`` are broken by the
     values themselves; a row of ``right`` at the same instant counts.
     """
     payload = F.struct(F.col(right_at), *[F.col(v) for v in value])
     events = right.where(F.col(right_at).isNotNull()).groupBy(*by, right_at).agg(F.max(payload).alias("__p"))
     a = left.select(*by, F.col(left_at).alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(events.schema["__p"].dataType).alias("__p"))
     b = events.select(*by, F.col(right_at).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), "__p")
-    w = Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    merged = a.unionByName(b).withColumn("__last", F.last("__p", ignorenulls=True).over(w)).where("__side = 1")
-    return merged.select("__row.*", *[F.when(F.col("__t").isNotNull(), F.col(f"__last.{v}")).alias(v) for v in value], F.when(F.col("__t").isNotNull(), F.col(f"__last.{right_at}")).alias(right_at))
+    placed = cut(a.unionByName(b).repartitionByRange(*by, "__t", "__side").withColumn("__range", F.spark_partition_id()), "ranges")
+    lasts = placed.where("__side = 0").groupBy(*by, "__range").agg(F.max_by("__p", "__t").alias("__p"))
+    # One row per group and range with rows of the group: few groups reach over more than one range.
+    spread = placed.select(*by, "__range").distinct().join(lasts.select(*[F.col(x).alias(f"__{x}") for x in by], F.col("__range").alias("__r"), "__p"), _same(by) & (F.col("__range") == F.col("__r")), "left")
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spread.select(*[F.col(x).alias(f"__{x}") for x in by], F.col("__range").alias("__r"), F.last("__p", ignorenulls=True).over(earlier).alias("__carry")).where("__carry is not null")
+    w = Window.partitionBy(*by, "__range").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = placed.withColumn("__own", F.last("__p", ignorenulls=True).over(w)).where("__side = 1")
+    merged = merged.join(carried, _same(by) & (F.col("__range") == F.col("__r")), "left").withColumn("__last", F.coalesce("__own", "__carry"))
+    timed = F.col("__t").isNotNull()
+    return merged.select("__row.*", *[F.when(timed, F.col(f"__last.{v}")).alias(v) for v in value], F.when(timed, F.col(f"__last.{right_at}")).alias(right_at))
+
+
+def _same(by: Sequence[str]) -> Column:
+    same = F.lit(True)
+    for x in by:
+        same = same & F.col(x).eqNullSafe(F.col(f"__{x}"))
+    return same
+
+
+def within_texts(parts: DataFrame, texts: DataFrame, part: str, text: str, width: int = 4) -> DataFrame:
+    """Distinct values of ``part`` that stand inside some ``text``, through an index of the pieces of the texts.
+
+    A part is looked up by its first ``width`` characters (all of a shorter one)
+    among the pieces of that length of every distinct text and then compared,
+    so only pairs that share the piece meet.
+    """
+    p = parts.select(F.col(part).alias("__part")).where("__part is not null").distinct().withColumn("__piece", F.substring("__part", 1, width))
+    t = texts.select(F.col(text).alias("__text")).where("__text is not null").distinct()
+    sizes = F.explode(F.sequence(F.lit(0), F.lit(width))).alias("__w")
+    cuts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("__text") - F.col("__w") + 1, F.lit(1))), lambda i: F.substr("__text", i, F.col("__w"))))
+    index = t.select("__text", sizes).select("__text", F.explode(cuts).alias("__piece")).where("length(__piece) <= length(__text)").distinct()
+    return p.join(index, "__piece").where(F.contains("__text", "__part")).select(F.col("__part").alias(part)).distinct()
 
 
 def set_key(items: Column) -> Column:

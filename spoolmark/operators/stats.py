@@ -8,54 +8,99 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from spoolmark.plans.lineage import cut
 
-def median_mad(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Median and median absolute deviation of each group, exact, with the group's count.
 
-    The deviations need the medians first; their table has one row per group
-    and is joined back by key.
-    """
-    med = rows.groupBy(*by).agg(F.count(value).alias("n"), F.median(value).alias("med"))
+def _same(by: Sequence[str]) -> Column:
+    """Null-safe equality of the group columns with their copies under ``__``."""
     same = F.lit(True)
-    keys = med.select(*[F.col(b).alias(f"__{b}") for b in by], F.col("med").alias("__med")) if by else med.select(F.col("med").alias("__med"))
     for b in by:
         same = same & F.col(b).eqNullSafe(F.col(f"__{b}"))
-    joined = rows.join(keys, same) if by else rows.crossJoin(F.broadcast(keys))  # one row when there are no keys
-    mad = joined.groupBy(*by).agg(F.median(F.abs(F.col(value) - F.col("__med"))).alias("mad"))
+    return same
+
+
+def _copied(by: Sequence[str]) -> list[Column]:
+    return [F.col(b).alias(f"__{b}") for b in by]
+
+
+def _frequencies(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by..., __v, __c): how often each value occurs in its group, combined before the shuffle."""
+    valued = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
+    return valued.groupBy(*by, "__v").agg(F.count("*").alias("__c"))
+
+
+def _middles(freq: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by..., n, lower, upper): rows and the two middle values (equal for an odd count) of each group of frequencies.
+
+    Frequencies are cut into ranges of (group, value), so a group of any size is
+    spread over tasks.  Counts per range tell which range holds a middle place;
+    only the values of those ranges are ranked.
+    """
+    keys = list(by) or ["__all"]
+    f = freq if by else freq.withColumn("__all", F.lit(0))
+    placed = cut(f.repartitionByRange(*keys, "__v").select(*keys, "__v", "__c", F.spark_partition_id().alias("__p")), "ranges")
+    sums = placed.groupBy(*keys, "__p").agg(F.sum("__c").alias("__s"))
+    group = Window.partitionBy(*keys)  # one row per range that holds a part of the group
+    before = F.sum("__s").over(group.orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__s")
+    offsets = sums.select(*keys, "__p", "__s", before.alias("__before"), F.sum("__s").over(group).alias("n"))
+    low, high = F.expr("(n - 1) div 2"), F.expr("n div 2")
+    holds = ((low >= F.col("__before")) & (low < F.col("__before") + F.col("__s"))) | ((high >= F.col("__before")) & (high < F.col("__before") + F.col("__s")))
+    wanted = offsets.where(holds).select(*_copied(keys), F.col("__p").alias("__q"), "__before", "n")
+    near = placed.join(wanted, _same(keys) & (F.col("__p") == F.col("__q")))
+    up_to = F.col("__before") + F.sum("__c").over(Window.partitionBy(*keys, "__p").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    at = near.withColumn("__u", up_to)
+    found = at.groupBy(*keys).agg(
+        F.first("n").alias("n"), F.min(F.when(F.col("__u") > low, F.col("__v"))).alias("lower"), F.min(F.when(F.col("__u") > high, F.col("__v"))).alias("upper")
+    )
+    return found if by else found.drop("__all")
+
+
+def median_mad(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Median and median absolute deviation of each group, exact, with the group's count.
+
+    Both are taken from value frequencies by ``_middles``; the deviations need
+    the medians first, whose table has one row per group.  A group without a
+    value has n = 0 and null medians.
+    """
+    freq = cut(_frequencies(rows, by, value), "frequencies")
+    half = (F.col("lower") + F.col("upper")) / 2
+    med = cut(_middles(freq, by).select(*by, "n", half.alias("med")), "medians")
+    keys = med.select(*_copied(by), F.col("med").alias("__med"))
+    joined = freq.join(keys, _same(by)) if by else freq.crossJoin(F.broadcast(keys))  # one row when there are no keys
+    apart = joined.select(*by, F.abs(F.col("__v") - F.col("__med")).alias("__v"), "__c").groupBy(*by, "__v").agg(F.sum("__c").alias("__c"))
+    mad = _middles(apart, by).select(*_copied(by), half.alias("mad"))
+    both = med.join(mad, _same(by)) if by else med.crossJoin(F.broadcast(mad))
+    both = both.select(*by, "n", "med", "mad")
     if not by:
-        return med.crossJoin(F.broadcast(mad))
-    right = mad.select(*[F.col(b).alias(f"__{b}") for b in by], "mad")
-    return med.join(right, same).drop(*[f"__{b}" for b in by])
+        # Without a value there is no frequency; the answer is still one row.
+        one = rows.sparkSession.range(1).select(F.lit(0).alias("one"))
+        filled = one.join(both, F.lit(True), "left")
+        return filled.select(F.coalesce("n", F.lit(0)).cast("long").alias("n"), "med", "mad")
+    groups = rows.select(*_copied(by)).distinct()
+    return groups.join(both, _same(by), "left").select(*[F.col(f"__{b}").alias(b) for b in by], F.coalesce("n", F.lit(0)).cast("long").alias("n"), "med", "mad")
 
 
 def outliers(rows: DataFrame, by: Sequence[str], value: str, factor: float = 4.0, least: float = 1.0) -> DataFrame:
     """``rows`` marked ``dense`` above median + factor * max(MAD, least) or ``sparse`` below its mirror (not below 0)."""
-    stats = median_mad(rows, by, value).select(*[F.col(b).alias(f"__{b}") for b in by], "med", "mad")
-    same = F.lit(True)
-    for b in by:
-        same = same & F.col(b).eqNullSafe(F.col(f"__{b}"))
+    stats = median_mad(rows, by, value).select(*_copied(by), "med", "mad")
     reach = factor * F.greatest(F.col("mad"), F.lit(least))
     mark = F.when(F.col(value) > F.col("med") + reach, "dense").when(F.col(value) < F.greatest(F.lit(0.0), F.col("med") - reach), "sparse")
-    joined = rows.join(stats, same) if by else rows.crossJoin(F.broadcast(stats))
+    joined = rows.join(stats, _same(by)) if by else rows.crossJoin(F.broadcast(stats))  # one row when there are no keys
     return joined.withColumn("mark", mark).where("mark is not null").drop("mad", *[f"__{b}" for b in by])
 
 
 def upper_median(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """The element at place n/2 of the sorted values, from 0: the upper of the two middle ones for an even count.
+    """The element at place n/2 of the sorted values, from 0: the upper of the two middle ones for an even count."""
+    return _middles(_frequencies(rows, by, value), by).select(*by, F.col("upper").alias("upper_median"), "n")
 
-    Counted from value frequencies, so a large group is combined before the
-    shuffle and its distinct values are ranked, not its rows.
-    """
-    from pyspark.sql import Window
 
-    freq = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
-    up_to = F.sum("__c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    total = F.sum("__c").over(Window.partitionBy(*by))
-    return freq.withColumn("__u", up_to).withColumn("__n", total).where(F.col("__u") > F.floor(F.col("__n") / 2)).groupBy(*by).agg(
-        F.min(value).alias("upper_median"), F.first("__n").alias("n")
-    )
+def pooled_medians(rows: DataFrame, by: Sequence[str], value: str, style: Sequence[str]) -> DataFrame:
+    """Median per style over the medians of its groups (``style`` columns within ``by``): every group counts once, whatever its size."""
+    per_group = _middles(_frequencies(rows, by, value), by).select(*by, ((F.col("lower") + F.col("upper")) / 2).alias("__m"))
+    pooled = _middles(_frequencies(per_group, style, "__m"), style)
+    return pooled.select(*style, F.col("n").alias("n_groups"), ((F.col("lower") + F.col("upper")) / 2).alias("med"))
 
 
 def mode(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:

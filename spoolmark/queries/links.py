@@ -36,7 +36,7 @@ def j3_uci_regions(spark, d):
     first = table(spark, d, "psm_envelopes").groupBy("drawing_id", "graphic_ref").agg(
         F.min(F.struct("envelope_id", "box_left", "box_bottom", "box_right", "box_top")).alias("b")
     )
-    return graphics.join(first, ["drawing_id", "graphic_ref"]).select("drawing_id", "graphic_ref", F.substring("uci_key", 3, 100).alias("uci_key"), "b.*")
+    return graphics.join(first, ["drawing_id", "graphic_ref"]).select("drawing_id", "graphic_ref", F.expr("substring(uci_key, 3)").alias("uci_key"), "b.*")
 
 
 def j4_relation_members(spark, d):
@@ -137,7 +137,7 @@ def j16_source_pairs(spark, d):
 
 
 def x7_recommended_pair(spark, d):
-    return ranking.with_margin(j16_source_pairs(spark, d), ["pcf_file"], "n_shared", "drawing_id").where("rank = 1").select("pcf_file", "drawing_id", "n_shared", "margin")
+    return ranking.best_with_margin(j16_source_pairs(spark, d), ["pcf_file"], "n_shared", "drawing_id").select("pcf_file", "drawing_id", "n_shared", "margin")
 
 
 def j17_tolerance_pairs(spark, d):

@@ -48,11 +48,9 @@ def a4_upper_median(spark, d):
     return stats.upper_median(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice")
 
 
-@query("SELECT p_brand, median(p_size)::DOUBLE AS med, count(*) AS n FROM (SELECT p_brand, p_size FROM part UNION ALL SELECT p_brand, CAST(median(p_size) AS DOUBLE) FROM part GROUP BY 1) GROUP BY 1")
+@query("""WITH g AS (SELECT p_brand, p_type, median(p_size)::DOUBLE AS m FROM part GROUP BY 1, 2) SELECT p_brand, count(*) AS n_groups, median(m) AS med FROM g GROUP BY 1""")
 def a5_pooled_median(spark, d):
-    part = table(spark, d, "part").select("p_brand", F.col("p_size").cast("double").alias("p_size"))
-    pooled = part.unionByName(part.groupBy("p_brand").agg(F.median("p_size").alias("p_size")))
-    return pooled.groupBy("p_brand").agg(F.median("p_size").alias("med"), F.count("*").alias("n"))
+    return stats.pooled_medians(table(spark, d, "part"), ["p_brand", "p_type"], "p_size", ["p_brand"])
 
 
 @query("SELECT l_suppkey, l_returnflag, n FROM (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_returnflag DESC) = 1")
@@ -91,12 +89,21 @@ def a11_type_sequences(spark, d):
     return table(spark, d, "composites").where("children is not null").select(types.alias("signature")).groupBy("signature").agg(F.count("*").alias("n"))
 
 
-@query("""WITH c AS (SELECT composite_id, children, unnest(range(len(children))) AS place FROM (SELECT DISTINCT composite_id, children FROM composites) WHERE len(children) > 2),
-  o AS (SELECT composite_id, place, children[place + 1] AS own, list_filter(children, lambda x, j: j <> place + 1) AS rest FROM c)
-  SELECT composite_id, place::INT AS place FROM o WHERE own.box_left <= list_min(list_transform(rest, lambda x: x.box_left)) AND own.box_bottom <= list_min(list_transform(rest, lambda x: x.box_bottom))""")
+_REST = """WITH c AS (SELECT composite_id, children, unnest(range(len(children))) AS place FROM (SELECT DISTINCT composite_id, children FROM composites) WHERE len(children) > 2),
+  o AS (SELECT composite_id, place, children[place + 1] AS own, list_filter(children, lambda x, j: j <> place + 1) AS rest FROM c)"""
+
+
+@query(_REST + """ SELECT composite_id, place::INT AS place, 'cover' AS relation FROM o WHERE own.box_left <= list_min(list_transform(rest, lambda x: x.box_left)) AND own.box_bottom <= list_min(list_transform(rest, lambda x: x.box_bottom))
+  UNION ALL SELECT composite_id, place::INT, 'equal' FROM o WHERE own.box_left = list_min(list_transform(rest, lambda x: x.box_left)) AND own.box_bottom = list_min(list_transform(rest, lambda x: x.box_bottom))
+  UNION ALL SELECT composite_id, place::INT, 'union' FROM o WHERE own.box_left = list_min(list_transform(rest, lambda x: x.box_left)) AND own.box_bottom = list_min(list_transform(rest, lambda x: x.box_bottom))
+    AND own.box_right = list_max(list_transform(rest, lambda x: x.box_right)) AND own.box_top = list_max(list_transform(rest, lambda x: x.box_top))
+  UNION ALL SELECT composite_id, place::INT, 'left' FROM o WHERE own.box_left = list_min(list_transform(rest, lambda x: x.box_left))""")
 def a12_sibling_union(spark, d):
     c = table(spark, d, "composites").select("composite_id", "children").distinct().where("size(children) > 2")
-    return c.select("composite_id", F.explode(stats.sibling_cover(F.col("children"), ("box_left", "box_bottom"))).alias("place"))
+    corner = ("box_left", "box_bottom")
+    found = [("cover", stats.sibling_cover(F.col("children"), corner)), ("equal", stats.sibling_union(F.col("children"), corner)), ("union", stats.sibling_union(F.col("children"))), ("left", stats.sibling_union(F.col("children"), ("box_left",)))]
+    each = F.array(*[F.struct(F.lit(n).alias("relation"), places.alias("places")) for n, places in found])
+    return c.select("composite_id", F.explode(each).alias("r")).select("composite_id", F.explode("r.places").alias("place"), "r.relation")
 
 
 @query(f"WITH {IDF_SQL} SELECT file, code, round(avg(ax), 6) AS cx, round(avg(ay), 6) AS cy, round(max(az) - min(az), 3) AS rise FROM g WHERE abs(ax) < 1e9 AND abs(ay) < 1e9 AND abs(az) < 1e9 GROUP BY file, code")
@@ -228,7 +235,7 @@ def w9_last_per_key(spark, d):
   WINDOW w AS (PARTITION BY line_key, idf_pipe ORDER BY score DESC, dxf_pipe)) WHERE r = 1""")
 def w10_margin(spark, d):
     best = table(spark, d, "pipe_candidates").where("score is not null and not isnan(score) and dxf_pipe is not null and idf_pipe is not null").groupBy("line_key", "idf_pipe", "dxf_pipe").agg(F.max("score").alias("score"))
-    return ranking.with_margin(best, ["line_key", "idf_pipe"], "score", "dxf_pipe").where("rank = 1").select("line_key", "idf_pipe", "dxf_pipe", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"))
+    return ranking.best_with_margin(best, ["line_key", "idf_pipe"], "score", "dxf_pipe").select("line_key", "idf_pipe", "dxf_pipe", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"))
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_totalprice, o_orderkey) = 1")

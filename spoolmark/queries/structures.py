@@ -182,8 +182,7 @@ def pred9_text_and_guid_validity(spark, d):
 def pred11_suppressed_titles(spark, d):
     labels = table(spark, d, "weld_blocks").where("description is not null").select(F.upper("description").alias("label")).distinct()
     tags = table(spark, d, "dynamic_attributes").select("tag").where("tag is not null").distinct()
-    # Both sides are reduced to their few distinct spellings before the theta join.
-    covered = tags.join(labels, F.expr("label like concat('%', tag, '%')"), "left_semi")
+    covered = linking.within_texts(tags, labels, "tag", "label")
     return table(spark, d, "dynamic_attributes").select("attr_id", "tag").distinct().join(covered, "tag", "left_anti").select("attr_id", "tag")
 
 
@@ -380,7 +379,7 @@ _ROUNDS = ", ".join(f"u{k} AS ({_ROUND.format(c='c' if k == 1 else f'c{k - 1}')}
 @query(f"WITH {_BEST}, {_ROUNDS} " + " UNION ALL ".join(f"SELECT line_key, idf_pipe, dxf_pipe, {k} AS round FROM u{k}" for k in range(1, 7)))
 def g12_propagated_pairs(spark, d):
     c = table(spark, d, "pipe_candidates").where("line_key is not null and score > 15 and not isnan(score)")
-    return graph.propagate_pairs(c, ["line_key"], "idf_pipe", "dxf_pipe", 6)
+    return graph.propagate_pairs(c, ["line_key"], "idf_pipe", "dxf_pipe")
 
 
 @query("""WITH g AS (SELECT line_key, idf_pipe, dxf_pipe, min(40 - score) AS gap FROM pipe_candidates WHERE score IS NOT NULL AND NOT isnan(score) AND idf_pipe IS NOT NULL AND dxf_pipe IS NOT NULL GROUP BY 1, 2, 3),

@@ -34,7 +34,7 @@ def geometry(lines: DataFrame, file: str, line_no: str, raw: str, row: str) -> D
     d = d.where(F.size(f) >= 8).select(
         "file", "line_no", "row", code_of(f).alias("code"),
         *[n(i + 1).alias(c) for i, c in enumerate(("ax", "ay", "az", "bx", "by", "bz", "bore"))],
-        F.exists(F.slice(f, 9, 1_000_000), lambda x: x.contains(",")).alias("comma"),
+        F.exists(F.slice(f, 9, F.greatest(F.size(f), F.lit(0))), lambda x: x.contains(",")).alias("comma"),
     )
     ok = F.col("code").isNotNull()
     for c in ("ax", "ay", "az", "bx", "by", "bz", "bore"):
@@ -63,7 +63,7 @@ def chain_context(lines: DataFrame, file: str, line_no: str, raw: str, row: str)
         (near(F.col("code").isin(150, 151, 152), 1, 4) | F.lead("code").over(w).isNull()).alias("terminal"),
         F.max(F.col("code").isin(41, 42, 55)).over(whole).alias("branched"),
     )
-    pipe = (F.col("code") == PIPE) & (F.size("f") >= 8) & F.exists(F.slice("f", 9, 1_000_000), lambda x: x.contains(","))
+    pipe = (F.col("code") == PIPE) & (F.size("f") >= 8) & F.exists(F.slice("f", 9, F.greatest(F.size("f"), F.lit(0))), lambda x: x.contains(","))
     return d.where(pipe & ~F.col("branched")).select("file", "line_no", "row", "flow", "elbow", "terminal")
 
 
