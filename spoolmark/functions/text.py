@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def digit_family(text: Column) -> Column:
@@ -89,3 +89,49 @@ def clean_sentinels(value: Column, *sentinels) -> Column:
     for s in sentinels:
         out = F.nullif(out, F.lit(s))
     return out
+
+
+def xml_selected(document: Column, path: str, place: int | None = None, back: int = 0, default: Column | None = None) -> Column:
+    """Text of the record at ``place`` from the first (from 0), or ``back`` places from the last; ``default`` when there is none or it is blank."""
+    records = F.xpath(document, F.lit(f"{path}/text()"))
+    found = F.get(records, F.lit(place)) if place is not None else F.try_element_at(records, F.lit(-1 - back))
+    found = F.when(F.trim(found) != "", found)
+    return found if default is None else F.coalesce(found, default)
+
+
+def utc_stamp(at: Column) -> Column:
+    """An instant (UTC) as ISO-8601 text to the second."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def positional_digits(texts: DataFrame, by: list[str], text: str, x: str, y: str, fields: dict[str, tuple[float, float, float]], y_band: tuple[float, float]) -> DataFrame:
+    """Per group the all-digit texts that stand nearest to their fields' places: {name: (from x, to x, nearest x)}, ends of bands excluded.
+
+    A group without one of the fields gives no row; of texts equally near the smaller counts.
+    """
+    d = texts.where(F.col(text).rlike(r"^[0-9]+\z") & (F.col(y) > y_band[0]) & (F.col(y) < y_band[1]))
+    picks = []
+    for name, (low, high, near) in fields.items():
+        inside = (F.col(x) > low) & (F.col(x) < high)
+        key = F.when(inside, F.struct(F.abs(F.col(x) - near).alias("gap"), F.col(text).try_cast("int").alias("value")))
+        picks.append(F.min(key)["value"].alias(name))
+    found = d.groupBy(*by).agg(*picks)
+    whole = F.lit(True)
+    for name in fields:
+        whole = whole & F.col(name).isNotNull()
+    return found.where(whole)
+
+
+def free_text_anchor(text: Column, box: list[Column], anchor: list[Column], direction: list[Column], mapped: Column, adjusted: Column, cutoff: float, labels: str) -> Column:
+    """Whether a text of the left region is free-standing: mapped by its envelope, upright, no label, no container, its envelope left below its anchor.
+
+    ``box`` is (left, bottom, right, top) and ``anchor`` (x, y) in page units;
+    ``labels`` is the pattern of texts that are labels of other kinds.
+    """
+    left, bottom, right, top = box
+    height, width = top - bottom, right - left
+    # Bounds of the anchor's place beside its envelope, and of a container, in page units.
+    beside = (left - anchor[0]).between(-260, -40) & (bottom - anchor[1]).between(-280, -50)
+    container = (height > 320) | (width > height * F.greatest(F.lit(2), F.length(text)) * 2.2)
+    upright = (F.abs(direction[1]) <= 0.1) & (F.abs(direction[0] - 1) <= 0.1)
+    return F.coalesce(mapped & ~adjusted & (anchor[0] < cutoff) & upright & ~text.rlike(labels) & ~container & beside, F.lit(False))

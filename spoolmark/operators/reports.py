@@ -123,3 +123,52 @@ def resource_inventory(streams: DataFrame) -> DataFrame:
         F.count("*").alias("n_streams"), F.bool_or(F.col("stream").endswith("/CONTENTS")).alias("has_contents"),
         F.bool_or(F.substring("data", 1, 2) == F.lit(b"BM")).alias("has_image"), F.sum(F.length("data")).alias("n_bytes"),
     )
+
+
+def counter_map(rows: DataFrame, by: Sequence[str], key: str) -> DataFrame:
+    """(by..., counts): how often each key occurs, as a map; absent keys count 0 by ``try_element_at``'s default."""
+    n = rows.where(F.col(key).isNotNull()).groupBy(*by, key).agg(F.count("*").alias("n"))
+    return n.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias("counts"))
+
+
+def count_in(counts: Column, key: Column) -> Column:
+    return F.coalesce(F.try_element_at(counts, key), F.lit(0))
+
+
+def array_pairs(items: Column) -> Column:
+    """All pairs (first, second) of places i < j of one array."""
+    at = F.sequence(F.lit(0), F.size(items) - 1)
+    pairs = F.transform(at, lambda i: F.transform(F.filter(at, lambda j: j > i), lambda j: F.struct(F.get(items, i).alias("first"), F.get(items, j).alias("second"))))
+    return F.when(F.size(items) > 1, F.flatten(pairs))
+
+
+def named_children(entries: DataFrame, by: Sequence[str], index: str, name: str, children: str) -> DataFrame:
+    """(by..., parent, place, child, child_name) of entries that list their children by index; an index no entry has gives a null name."""
+    e = entries.select(*by, F.col(index).alias("parent"), F.posexplode(children).alias("place", "child"))
+    known = entries.select(*by, F.col(index).alias("child"), F.col(name).alias("child_name")).dropDuplicates([*by, "child"])
+    return e.join(known, [*by, "child"], "left").select(*by, "parent", "place", "child", "child_name")
+
+
+def anchor_comparison(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by..., n_left, n_right, status): whether two sides observe the same number of anchors; it only rejects, and matches nothing."""
+    a = left.groupBy(*by).agg(F.count("*").alias("n_left"))
+    b = right.groupBy(*by).agg(F.count("*").alias("n_right"))
+    d = a.join(b, list(by), "full").fillna(0, ["n_left", "n_right"])
+    same = F.col("n_left") == F.col("n_right")
+    return d.withColumn("status", F.when(same & (F.col("n_left") == 1), "unique_anchor").when(same, "several_anchors").otherwise("anchor_mismatch"))
+
+
+def arm_geometry(arms: DataFrame, by: Sequence[str], parallel: float = 0.98, least: float = 0.90) -> DataFrame:
+    """(by..., cos_left, cos_right, status) of junctions with two open arms on each side.
+
+    ``arms`` (by..., side, arm, dx, dy) has the direction of each open arm away
+    from the junction.  Arms that are parallel on the left but not on the right
+    reject the junction; nothing is matched here.  Junctions with other numbers
+    of arms or an arm without direction give no row.
+    """
+    size = F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2)
+    unit = arms.where(size > 0).withColumn("u", F.struct("arm", (F.col("dx") / size).alias("x"), (F.col("dy") / size).alias("y")))
+    side = unit.groupBy(*by).pivot("side", ["left", "right"]).agg(F.array_sort(F.collect_list("u")))
+    cosine = lambda c: F.abs(F.get(F.col(c), F.lit(0)).x * F.get(F.col(c), F.lit(1)).x + F.get(F.col(c), F.lit(0)).y * F.get(F.col(c), F.lit(1)).y)
+    two = side.where((F.size("left") == 2) & (F.size("right") == 2)).select(*by, cosine("left").alias("cos_left"), cosine("right").alias("cos_right"))
+    return two.withColumn("status", F.when((F.col("cos_left") >= parallel) & (F.col("cos_right") < least), "rejected").otherwise("not_rejected"))

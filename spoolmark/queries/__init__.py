@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spoolmark.queries import data_quality, links, measures, structures
+from spoolmark.queries import data_quality, formats, links, measures, structures
 
-MODULES = [data_quality, links, measures, structures]
+MODULES = [data_quality, links, measures, structures, formats]
 
 
 def core_queries() -> dict:

@@ -327,3 +327,102 @@ def pack_text(refs: tuple[int, int, int, int], text: str, xy: tuple[float, float
 
 def pack_line(refs: tuple[int, int, int, int], xy: tuple[float, float, float, float]) -> bytes:
     return struct.pack("<HIIIIHI4d", 0x18, 50, *refs[:3], 0, refs[3], *xy)
+
+
+def pack_two_point(child: int, ref: int, style: int, xy: tuple[float, float, float, float]) -> bytes:
+    return struct.pack("<I7H4d", child, ref, 0, 1200, 0, 0, style, 0, *xy)
+
+
+def pack_arc(refs: tuple[int, int, int, int], shape: tuple[float, float, float, float, float]) -> bytes:
+    return struct.pack("<HIIIIHI5d", 0x61, 59, *refs[:3], 0, refs[3], *shape) + b"\x00"
+
+
+def pack_circle(refs: tuple[int, int, int, int], shape: tuple[float, float, float]) -> bytes:
+    """A circle and its companion, the next primitive of the same graphic."""
+    companion = bytearray(105)
+    struct.pack_into("<HIII", companion, 0, 0x13, 99, (refs[0] + 1) & 0xFFFFFFFF, refs[1])
+    struct.pack_into("<3d", companion, 35, *shape)
+    return struct.pack("<HIIIIHI3d", 0x59, 0x2B, *refs[:3], 0, refs[3], *shape) + bytes(companion)
+
+
+def pack_attribute(space: int, graphic: int, properties: list[tuple[str, str]]) -> bytes:
+    out = b"PipeLine Info\x00"
+    for key, value in properties:
+        body = key.encode("latin-1") + b"\x00" + value.encode("latin-1", "replace") + b"\x00"
+        out += _TLV + struct.pack("<H", len(body)) + b"\x01" + body
+    return out + b"\x89\x00" + struct.pack("<II", 20, space) + b"\x00" * 8 + struct.pack("<I", graphic) + b"\xff\xff\x00\x00"
+
+
+def pack_nodes(nodes: list[tuple[int, int, int, list[tuple[int, int]]]], prefix: list[int] | None = None) -> bytes:
+    """A node table of (node_id, node_type, repeat, [(ref, relation)]); with a counted list of words first if ``prefix`` is given."""
+    out = b"tseg" + b"\x00" * 8
+    if prefix is not None:
+        out += struct.pack(f"<{1 + len(prefix)}H", len(prefix), *prefix)
+    for node, kind, repeat, refs in nodes:
+        out += struct.pack("<4H", node, kind, len(refs), repeat) + b"".join(struct.pack("<IH", *r) for r in refs)
+    return out
+
+
+def scan_style_widths(data: bytes) -> list[tuple]:
+    """2E/36 line styles: (offset, style_ref, width in page units), references 1..1000, width ratios 0.00001..0.01."""
+    b, at = np.frombuffer(data, np.uint8), _find(data, b"\x2e\x00\x36\x00", 48)
+    if not len(at):
+        return []
+    ref, ratio = _u32(b, at + 20), _f64(b, at + 40)
+    ok = (ref >= 1) & (ref <= 1000) & (ratio >= 0.00001) & (ratio <= 0.01)
+    return list(zip(at[ok].tolist(), ref[ok].tolist(), (ratio[ok] * PAGE_UNITS).tolist()))
+
+
+def pack_style_width(style: int, ratio: float) -> bytes:
+    return b"\x2e\x00\x36\x00" + b"\x00" * 16 + struct.pack("<I", style) + b"\x00" * 16 + struct.pack("<d", ratio)
+
+
+#: The bands of page width, height and upper edge that a sheet's header declares, in shares of the workspace.
+WIDTH_BAND, HEIGHT_BAND, TOP_BAND, HEADER_BYTES = (0.82, 0.86), (0.58, 0.62), (0.68, 0.73), 240
+
+
+def scan_viewbox(data: bytes) -> list[tuple]:
+    """The declared extent of a sheet (left, bottom, width, height) in page units: the greatest double of each band in its header, at any offset."""
+    b = np.frombuffer(data, np.uint8)
+    values = _f64(b, np.arange(max(0, min(len(b) - 8, HEADER_BYTES))))
+    picks = []
+    for low, high in (WIDTH_BAND, HEIGHT_BAND, TOP_BAND):
+        own = values[(values >= low) & (values <= high)]
+        if not len(own):
+            return []
+        picks.append(float(own.max()))
+    width, height, top = picks
+    return [(0.0, max(0.0, top - height) * PAGE_UNITS, width * PAGE_UNITS, height * PAGE_UNITS)]
+
+
+FAMILIES |= {
+    "style_width": (scan_style_widths, _fields(("offset", _L), ("style_ref", _L), ("width", _D))),
+    "viewbox": (scan_viewbox, _fields(("left", _D), ("bottom", _D), ("width", _D), ("height", _D))),
+}
+
+
+def viewboxes(streams: DataFrame, inherits_from: str = "Sheet6") -> DataFrame:
+    """(path, stream, left, bottom, width, height, basis): each sheet's own extent, else that of the file's ``inherits_from``, else the whole workspace."""
+    box = ("left", "bottom", "width", "height")
+    own = scan(streams, "viewbox")
+    shared = own.where(F.col("stream") == inherits_from).select("path", *[F.col(c).alias(f"i_{c}") for c in box])
+    all_ = streams.select("path", "stream").join(own, ["path", "stream"], "left").join(shared, "path", "left")
+    whole = dict(zip(box, (0.0, 0.0, float(PAGE_UNITS), float(PAGE_UNITS))))
+    basis = F.when(F.col("width").isNotNull(), "own").when(F.col("i_width").isNotNull(), "inherited").otherwise("default")
+    return all_.select("path", "stream", *[F.coalesce(c, f"i_{c}", F.lit(whole[c])).alias(c) for c in box], basis.alias("basis"))
+
+
+def styled_lines(lines: DataFrame, styles: DataFrame) -> DataFrame:
+    """18/32 lines with the width of their style in the same file, the last record of a style counting; null without one."""
+    last = styles.groupBy("path", F.col("style_ref").alias("low_ref")).agg(F.max_by("width", "offset").alias("width"))
+    return lines.withColumn("low_ref", F.col("style_ref").bitwiseAND(0xFFFF)).join(last, ["path", "low_ref"], "left").drop("low_ref")
+
+
+def version_history(streams: DataFrame) -> DataFrame:
+    """(path, stream, status, place, module, version, mode, changed_at) of NUL-delimited quadruples; an incomplete sequence is told by its status."""
+    parts = F.filter(F.split(F.decode("data", "ISO-8859-1"), "\u0000"), lambda p: p != "")
+    d = streams.withColumn("parts", parts)
+    whole = (F.size("parts") > 0) & (F.size("parts") % 4 == 0)
+    at = F.when(whole, F.sequence(F.lit(0), F.greatest((F.size("parts") / 4).cast("int") - 1, F.lit(0)))).otherwise(F.array(F.lit(None).cast("int")))
+    rows = d.select("path", "stream", F.when(whole, "whole").otherwise("unvalidated").alias("status"), "parts", F.explode(at).alias("place"))
+    return rows.select("path", "stream", "status", "place", *[F.get("parts", F.col("place") * 4 + k).alias(n) for k, n in enumerate(("module", "version", "mode", "changed_at"))])

@@ -4,7 +4,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from spoolmark.operators import graph, linking, ranking, stats
+from spoolmark.operators import linking, ranking, stats
 
 
 @pytest.fixture()
@@ -55,12 +55,3 @@ def test_margin_and_containment(spark):
     parts = spark.createDataFrame([("W",), ("WELD",), ("EL",), ("zzz",), (None,), ("",), ("LONG WELD AT",)], "p string")
     texts = spark.createDataFrame([("A LONG WELD AT TEE",), ("PIPE",), (None,), ("",)], "t string")
     assert {r.p for r in linking.within_texts(parts, texts, "p", "t").collect()} == {"W", "WELD", "EL", "", "LONG WELD AT"}
-
-
-def test_propagation_goes_on_to_the_end(spark):
-    n = 25
-    pairs = [("L", f"a{i}", f"b{j}") for i in range(n) for j in (i, i + 1) if j < n]
-    got = graph.propagate_pairs(spark.createDataFrame(pairs, "g string, a string, b string"), ["g"], "a", "b").collect()
-    assert {(r.a, r.b) for r in got} == {(f"a{i}", f"b{i}") for i in range(n)} and max(r["round"] for r in got) == n // 2 + 1 or len(got) == n
-    with pytest.raises(RuntimeError):
-        graph.propagate_pairs(spark.createDataFrame(pairs, "g string, a string, b string"), ["g"], "a", "b", 3)
