@@ -29,7 +29,8 @@ def code_of(fields: Column) -> Column:
 def geometry(lines: DataFrame, file: str, line_no: str, raw: str, row: str) -> DataFrame:
     """(file, line_no, row, code, ax..bz, bore, length) of the geometry lines."""
     f = F.col("__f")
-    n = lambda i: F.get(f, F.lit(i)).try_cast("double")
+    # A single underscore between digits groups them.
+    n = lambda i: F.regexp_replace(F.get(f, F.lit(i)), "(?<=[0-9])_(?=[0-9])", "").try_cast("double")
     d = lines.select(F.col(file).alias("file"), F.col(line_no).alias("line_no"), F.col(row).alias("row"), split_fields(F.col(raw)).alias("__f"))
     d = d.where(F.size(f) >= 8).select(
         "file", "line_no", "row", code_of(f).alias("code"),
