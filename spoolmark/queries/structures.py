@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F, types as T
 
 from spoolmark.functions import geometry as geo, text as tx
-from spoolmark.operators import graph, linking, reports, search, sets, spatial
+from spoolmark.operators import graph, linking, propagation, reports, search, sets, spatial
 from spoolmark.queries.links import _KEY, IDF_SQL, _idf, _keyed
 from spoolmark.sources import pcf, records, sinks
 from spoolmark.sources.tables import table
@@ -370,6 +370,17 @@ def g11_page_path(spark, d):
     return graph.page_path(k.where("a < b"), pages, ["line_key"], "a", "b", "page")
 
 
+@query()
+def g12_rule_propagation(spark, d):
+    """Components and pipes of the graph against a renamed copy that lacks some edges, from a fifth of the pipes."""
+    ends = table(spark, d, "graph_edges").where("line_key is not null").select("line_key", "edge_id", "page", F.trim("from_node").alias("x"), F.trim("to_node").alias("y"))
+    both = ends.unionByName(ends.select("line_key", "edge_id", "page", F.col("y").alias("x"), F.col("x").alias("y"))).where("contains(x, ':C') and contains(y, ':P')")
+    arms = both.select("line_key", "edge_id", F.col("x").alias("frame"), F.regexp_replace("y", ":E[0-9]+$", "").alias("pipe"), F.concat(F.lit("c"), (F.col("page") % 3).cast("string")).alias("kind"), F.lit(None).cast("double").alias("dx"), F.lit(None).cast("double").alias("dy"))
+    copy = arms.where("edge_id % 17 != 0").withColumns({c: F.concat(F.lit("R"), c) for c in ("frame", "pipe")})
+    seeds = arms.where("pmod(xxhash64(pipe), 5) = 0").select("line_key", F.col("pipe").alias("a"), F.concat(F.lit("R"), "pipe").alias("b")).distinct()
+    return propagation.propagate(arms, copy, ["line_key"], pipes=seeds)
+
+
 _BEST = "c AS (SELECT DISTINCT line_key, idf_pipe, dxf_pipe FROM pipe_candidates WHERE idf_pipe IS NOT NULL AND dxf_pipe IS NOT NULL AND line_key IS NOT NULL AND score > 15 AND NOT isnan(score))"
 _ROUND = "SELECT line_key, idf_pipe, dxf_pipe FROM {c} WHERE (line_key, idf_pipe) IN (SELECT (line_key, idf_pipe) FROM {c} GROUP BY line_key, idf_pipe HAVING count(*) = 1) AND (line_key, dxf_pipe) IN (SELECT (line_key, dxf_pipe) FROM {c} GROUP BY line_key, dxf_pipe HAVING count(*) = 1)"
 _REST = "SELECT * FROM {c} WHERE (line_key, idf_pipe) NOT IN (SELECT (line_key, idf_pipe) FROM {u}) AND (line_key, dxf_pipe) NOT IN (SELECT (line_key, dxf_pipe) FROM {u})"
