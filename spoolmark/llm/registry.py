@@ -60,7 +60,24 @@ QUERIES = {
     "p9_found": p9_found, "p9_masked": p9_masked,
 }
 
+_FULL = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000"
+_HALF = "".join(map(chr, range(0x21, 0x7F))) + " "
+_Q = lambda text: text.replace("'", "''")
+# Of NFKC the SQL knows full-width signs only, which is what the tables hold.
+_WORDS = rf"""
+d AS (SELECT DISTINCT doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL), i AS (SELECT DISTINCT item_id AS id, item_text AS text FROM bench_items WHERE item_id IS NOT NULL AND item_text IS NOT NULL),
+both_ AS (SELECT 'd' AS side, * FROM d UNION ALL SELECT 'i', * FROM i),
+w AS (SELECT side, id, regexp_extract_all(regexp_replace(lower(translate(text, '{_Q(_FULL)}', '{_Q(_HALF)}')), '([\x{{4E00}}-\x{{9FFF}}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+') AS w FROM both_),
+g AS (SELECT side, id, unnest(range(len(w) - 12)) AS at, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) AS s FROM w WHERE len(w) >= 13),
+hit AS (SELECT b.id AS item_id, a.id AS doc_id, a.at AS doc_word, b.at AS item_word FROM g a JOIN g b ON a.side = 'd' AND b.side = 'i' AND a.s = b.s)
+"""
+
 SQL = {
+    "p7_found": f"WITH {_WORDS} SELECT DISTINCT item_id, doc_id FROM hit",
+    "p7_matches": f"""WITH {_WORDS}, r AS (SELECT *, doc_word - row_number() OVER (PARTITION BY item_id, doc_id, doc_word - item_word ORDER BY doc_word) AS run FROM hit),
+    m AS (SELECT item_id, doc_id, (count(*) + 12)::INT AS n_words, min(doc_word)::INT AS doc_word, min(item_word)::INT AS item_word FROM r GROUP BY item_id, doc_id, doc_word - item_word, run)
+    SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY n_words DESC, doc_word, item_word) = 1""",
+    "p7_clean_docs": f"WITH {_WORDS} SELECT doc_id, source, n_chars FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM hit)",
     "p3_found": """
     WITH RECURSIVE e AS (
       SELECT DISTINCT trim(from_node, ' ' || chr(9) || chr(10) || chr(13)) AS a, trim(to_node, ' ' || chr(9) || chr(10) || chr(13)) AS b FROM graph_edges
