@@ -610,11 +610,15 @@ def k1_drawings(spark, d):
     return pages.select("drawing_id", F.size(F.split("value", "<line ")).cast("long").alias("m")).select("drawing_id", (F.col("m") - 1).alias("n_elements"))
 
 
-@query()
+@query("""WITH s AS (SELECT drawing_id, list(struct_pack(envelope_id := envelope_id, graphic_ref := graphic_ref, box_left := box_left, box_bottom := box_bottom) ORDER BY envelope_id) AS l FROM (SELECT DISTINCT drawing_id, envelope_id, graphic_ref, box_left, box_bottom FROM psm_envelopes) GROUP BY 1),
+  t AS (SELECT drawing_id, list(struct_pack(point_id := point_id, uci := uci) ORDER BY point_id) AS l FROM (SELECT DISTINCT drawing_id, point_id, uci FROM point_targets) GROUP BY 1)
+  SELECT coalesce(s.drawing_id, t.drawing_id) AS drawing_id, coalesce(len(s.l), 0)::INT AS n_segments, coalesce(len(t.l), 0)::INT AS n_texts, coalesce(s.l::JSON::VARCHAR, '[]') AS segments, coalesce(t.l::JSON::VARCHAR, '[]') AS texts FROM s FULL JOIN t ON s.drawing_id = t.drawing_id""")
 def k2_traces(spark, d):
     s = table(spark, d, "psm_envelopes").dropDuplicates(["envelope_id"]).select("drawing_id", "envelope_id", "graphic_ref", "box_left", "box_bottom")
     t = table(spark, d, "point_targets").dropDuplicates(["point_id"]).select("drawing_id", "point_id", "uci")
-    return sinks.trace_pages(s, t, ["drawing_id"])
+    pages = sinks.trace_pages(s, t, ["drawing_id"])
+    text = lambda c: F.to_json(c, {"ignoreNullFields": "false"}).alias(c)
+    return pages.select("drawing_id", F.col("counts.segments").alias("n_segments"), F.col("counts.texts").alias("n_texts"), text("segments"), text("texts"))
 
 
 @query("SELECT count(*) AS n_rows, sum(n)::BIGINT AS total FROM (SELECT tag, count(*) AS n FROM dynamic_attributes GROUP BY 1)")
