@@ -194,36 +194,63 @@ class Index:
         return found
 
 
-NAMES = ("pipes", "components", "kind", "endpoint_annotations", "source_vector_segments", "support", "weld", "handle")
+NAMES = (
+    "pipes", "components", "kind", "endpoint_annotations", "source_vector_segments", "support", "weld", "handle",
+    "title", "handles", "endpoints", "point", "by", "rule", "gap", "centre", "outline", "welds", "subpaths", "anchor", "of",
+)
 _WANTED = {f'"{n}"'.encode(): n for n in NAMES}
 
 
-def page_items(text: str | None) -> list[tuple[str, str, str, str]]:
-    """(item_kind, item_id, parent_id, val) of one page text."""
-    if not text:
-        return []
-    try:
-        index = Index(text.encode())
-    except UnicodeEncodeError:
-        return []
-    if not index.ok or index.kind[0] != OPEN_OBJ:
-        return []
-    members, lists = index.members(_WANTED), index.elements()
-
-    def children(owner: int, name: str) -> list[tuple[int, int]]:
-        i = members.get(owner, {}).get(name)
-        if i is None or index.kind[i] != OPEN_ARR:
+class Page:
+    """The wanted members of a page's objects and the elements of its arrays; empty for a text that is no JSON object."""
+
+    def __init__(self, text: str | None):
+        self.members, self.lists, self.index = {}, {}, None
+        try:
+            index = Index(text.encode()) if text else None
+        except UnicodeEncodeError:
+            return
+        if index is not None and index.ok and index.kind[0] == OPEN_OBJ:
+            self.index, self.members, self.lists = index, index.members(_WANTED), index.elements()
+
+    def value(self, owner: int, name: str) -> int | None:
+        """Token of a member's value, none for null."""
+        i = self.members.get(owner, {}).get(name)
+        return None if i is None or self.index.word(i) == b"null" else i
+
+    def elements(self, i: int | None) -> list[tuple[int, int]]:
+        """(place, token) of the elements of an array that are not null."""
+        if i is None or self.index.kind[i] != OPEN_ARR:
             return []
-        return [(place, e) for place, e in enumerate(lists.get(i, ())) if index.word(e) != b"null"]
+        return [(place, e) for place, e in enumerate(self.lists.get(i, ())) if self.index.word(e) != b"null"]
+
+    def children(self, owner: int, name: str) -> list[tuple[int, int]]:
+        return self.elements(self.value(owner, name))
+
+    def text_of(self, owner: int, name: str) -> str:
+        i = self.value(owner, name)
+        return "" if i is None else self.index.scalar_text(i)
+
+    def flag(self, owner: int, name: str) -> bool:
+        i = self.value(owner, name)
+        return i is not None and self.index.word(i) == b"true"
 
-    def text_of(owner: int, name: str) -> str:
-        i = members.get(owner, {}).get(name)
-        return "" if i is None else index.scalar_text(i)
+    def number(self, i: int) -> float | None:
+        """A number, also one written as a string; none for anything else."""
+        text = self.index.scalar_text(i).encode() if self.index.kind[i] in (STRING, SCALAR) else b""
+        return float(text) if _NUMBER.fullmatch(text) else None
 
-    def flag(owner: int, name: str) -> bool:
-        i = members.get(owner, {}).get(name)
-        return i is not None and index.word(i) == b"true"
+    def point(self, i: int) -> tuple[float | None, float | None]:
+        """The first two elements of an array as numbers."""
+        own = self.lists.get(i, ()) if self.index.kind[i] == OPEN_ARR else ()
+        xy = [self.number(e) for e in own[:2]]
+        return tuple(xy + [None] * (2 - len(xy)))
 
+
+def page_items(text: str | None) -> list[tuple[str, str, str, str]]:
+    """(item_kind, item_id, parent_id, val) of one page text."""
+    page = Page(text)
+    children, text_of, flag = page.children, page.text_of, page.flag
     rows = []
     for place, pipe in children(0, "pipes"):
         own = f"P{place:03d}"
@@ -239,26 +266,102 @@ def page_items(text: str | None) -> list[tuple[str, str, str, str]]:
     return rows
 
 
+def page_values(text: str | None) -> list[tuple[str, str, int | None, int | None, float | None, float | None, str | None]]:
+    """(owner_id, field, place, part, x, y, val) of what the items of a page hold: handles, points, point lists, lists of them, titles and rules.
+
+    ``owner_id`` is the item's id; a value that stands alone has no place.
+    """
+    page = Page(text)
+    rows = []
+
+    def scalar(own: str, owner: int | None, name: str, field: str) -> None:
+        i = None if owner is None else page.value(owner, name)
+        if i is not None:
+            rows.append((own, field, None, None, None, None, page.index.scalar_text(i)))
+
+    def point(own: str, owner: int | None, name: str, field: str) -> None:
+        i = None if owner is None else page.value(owner, name)
+        if i is not None:
+            rows.append((own, field, None, None, *page.point(i), None))
+
+    def handles(own: str, owner: int) -> None:
+        rows.extend((own, "handles", k, None, None, None, page.index.scalar_text(e)) for k, e in page.children(owner, "handles"))
+
+    def points(own: str, owner: int, name: str) -> None:
+        rows.extend((own, name, k, None, *page.point(e), None) for k, e in page.children(owner, name))
+
+    for place, pipe in page.children(0, "pipes"):
+        own = f"P{place:03d}"
+        handles(own, pipe)
+        points(own, pipe, "endpoints")
+        scalar(own, pipe, "title", "title")
+        for at, e in page.children(pipe, "endpoint_annotations"):
+            by = page.value(e, "by")
+            point(f"{own}:E{at}", e, "point", "point")
+            scalar(f"{own}:E{at}", by, "rule", "by.rule")
+            scalar(f"{own}:E{at}", by, "gap", "by.gap")
+        for at, e in page.children(pipe, "source_vector_segments"):
+            points(f"{own}:V{at}", e, "endpoints")
+    for place, part in page.children(0, "components"):
+        own = f"C{place:03d}"
+        handles(own, part)
+        point(own, part, "centre", "centre")
+        points(own, part, "outline")
+        for name in ("welds", "subpaths"):
+            for k, line in page.children(part, name):
+                rows.extend((own, name, k, j, *page.point(e), None) for j, e in page.elements(line))
+        anchor = page.value(part, "anchor")
+        of = None if anchor is None else page.value(anchor, "of")
+        point(own, anchor, "point", "anchor.point")
+        scalar(own, of, "kind", "anchor.of.kind")
+        scalar(own, of, "handle", "anchor.of.handle")
+    return rows
+
+
 ITEMS = T.StructType(
     [T.StructField("page_id", T.LongType())] + [T.StructField(c, T.StringType()) for c in ("item_kind", "item_id", "parent_id", "val")]
 )
 
 
-def _flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for page, text in zip(pdf["page_id"].tolist(), pdf["page_json"].tolist()):
-            rows += [(page, *item) for item in page_items(text)]
-            if len(rows) >= 50_000:
-                yield pd.DataFrame(rows, columns=ITEMS.names)
-                rows = []
-        yield pd.DataFrame(rows, columns=ITEMS.names)
+VALUES = T.StructType(
+    [T.StructField("page_id", T.LongType()), T.StructField("owner_id", T.StringType()), T.StructField("field", T.StringType())]
+    + [T.StructField(c, T.IntegerType()) for c in ("place", "part")]
+    + [T.StructField(c, T.DoubleType()) for c in ("x", "y")]
+    + [T.StructField("val", T.StringType())]
+)
+PIECE_ROWS = 50_000
+
+
+def _each_page(schema: T.StructType, read):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows: list[tuple] = []
+            for page, text in zip(pdf["page_id"].tolist(), pdf["page_json"].tolist()):
+                rows += [(page, *item) for item in read(text)]
+                if len(rows) >= PIECE_ROWS:
+                    yield _frame(rows, schema)
+                    rows = []
+            yield _frame(rows, schema)
+
+    return run
+
+
+def _frame(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=schema.names).astype({f.name: "Int32" for f in schema if f.dataType == T.IntegerType()})
+
+
+def _texts(pages: DataFrame, page_id: str, page_json: str) -> DataFrame:
+    return pages.select(F.col(page_id).alias("page_id"), F.col(page_json).alias("page_json")).where(F.col("page_json").isNotNull())
 
 
 def flatten_pages(pages: DataFrame, page_id: str, page_json: str) -> DataFrame:
     """Flat rows of pipes, endpoint annotations, vector segments and components, each with its owner's id."""
-    texts = pages.select(F.col(page_id).alias("page_id"), F.col(page_json).alias("page_json")).where(F.col("page_json").isNotNull())
-    return texts.mapInPandas(_flatten, ITEMS).distinct()
+    return _texts(pages, page_id, page_json).mapInPandas(_each_page(ITEMS, page_items), ITEMS).distinct()
+
+
+def page_fields(pages: DataFrame, page_id: str, page_json: str) -> DataFrame:
+    """Flat rows of what the items hold (``page_values``), linked to ``flatten_pages`` by (page_id, owner_id = item_id)."""
+    return _texts(pages, page_id, page_json).mapInPandas(_each_page(VALUES, page_values), VALUES).distinct()
 
 
 def item_table(items: DataFrame, kind: str, value: str) -> DataFrame:

@@ -53,7 +53,26 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("page_id", "item_kind", "item_id", "parent_id", "val")
 
 
+def _page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.page_fields(table(spark, sf_dir, "dxf_pages"), "page_id", "page_json")
+
+
+def p6_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _page_fields(spark, sf_dir).where("field = 'handles'").select("page_id", "owner_id", "place", F.col("val").alias("handle"))
+
+
+def p6_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _page_fields(spark, sf_dir).where("field in ('endpoints', 'outline', 'welds', 'subpaths', 'centre', 'point', 'anchor.point')")
+    return own.select("page_id", "owner_id", "field", "place", "part", "x", "y")
+
+
+def p6_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _page_fields(spark, sf_dir).where("field in ('title', 'by.rule', 'by.gap', 'anchor.of.kind', 'anchor.of.handle')")
+    return own.select("page_id", "owner_id", "field", "val")
+
+
 QUERIES = {
+    "p6_handles": p6_handles, "p6_points": p6_points, "p6_details": p6_details,
     "p1_found": p1_found, "p1_records": p1_records, "p1_headers": p1_headers, "p2_found": p2_found, "p2_counts": p2_counts,
     "p4_found": p4_found, "p6_found": p6_found,
 }
@@ -102,7 +121,60 @@ WITH parents AS (
 )
 """
 
+_PAGES = """WITH pages AS (SELECT DISTINCT page_id, CASE WHEN json_valid(page_json) THEN page_json::JSON END AS j FROM dxf_pages),
+    page AS (SELECT page_id, j FROM pages WHERE json_type(j) = 'OBJECT'),
+    pipe AS (
+      SELECT page_id, 'P' || lpad((i - 1)::VARCHAR, greatest(3, len((i - 1)::VARCHAR))::INT, '0') AS id, p FROM (
+        SELECT page_id, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS p FROM (
+          SELECT page_id, CASE WHEN json_type(j -> 'pipes') = 'ARRAY' THEN (j -> 'pipes')::JSON[] END AS ps FROM page))
+      WHERE coalesce(json_type(p), 'NULL') <> 'NULL'
+    ), comp AS (
+      SELECT page_id, 'C' || lpad((i - 1)::VARCHAR, greatest(3, len((i - 1)::VARCHAR))::INT, '0') AS id, p FROM (
+        SELECT page_id, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS p FROM (
+          SELECT page_id, CASE WHEN json_type(j -> 'components') = 'ARRAY' THEN (j -> 'components')::JSON[] END AS ps FROM page))
+      WHERE coalesce(json_type(p), 'NULL') <> 'NULL'
+    ), ann AS (
+      SELECT page_id, id, i, p FROM (
+        SELECT page_id, id, unnest(range(len(ps))) AS i, unnest(ps) AS p FROM (
+          SELECT page_id, id, CASE WHEN json_type(p -> 'endpoint_annotations') = 'ARRAY' THEN (p -> 'endpoint_annotations')::JSON[] END AS ps FROM pipe))
+      WHERE coalesce(json_type(p), 'NULL') <> 'NULL'
+    ), seg AS (
+      SELECT page_id, id, i, p FROM (
+        SELECT page_id, id, unnest(range(len(ps))) AS i, unnest(ps) AS p FROM (
+          SELECT page_id, id, CASE WHEN json_type(p -> 'source_vector_segments') = 'ARRAY' THEN (p -> 'source_vector_segments')::JSON[] END AS ps FROM pipe))
+      WHERE coalesce(json_type(p), 'NULL') <> 'NULL'
+    ), owner AS (
+      SELECT page_id, id, p FROM pipe UNION ALL SELECT page_id, id, p FROM comp
+      UNION ALL SELECT page_id, id || ':E' || i, p FROM ann UNION ALL SELECT page_id, id || ':V' || i, p FROM seg
+    )"""
+
+
+def _list_sql(field: str, of: str) -> str:
+    """Elements of a list member of the owners whose id begins with a pattern."""
+    return f"""SELECT page_id, id, '{field}' AS field, place::INT AS place, e FROM (SELECT page_id, id, unnest(range(len(l))) AS place, unnest(l) AS e FROM (
+      SELECT page_id, id, CASE WHEN json_type(p -> '{field}') = 'ARRAY' THEN (p -> '{field}')::JSON[] END AS l FROM owner WHERE regexp_full_match(id, '{of}'))) WHERE coalesce(json_type(e), 'NULL') <> 'NULL'"""
+
+
+def _one_sql(field: str, path: str, of: str) -> str:
+    """A member of the owners, at a path."""
+    value = "p" + "".join(f" -> '{n}'" for n in path.split("."))
+    return f"SELECT page_id, id, '{field}' AS field, {value} AS e FROM owner WHERE regexp_full_match(id, '{of}') AND coalesce(json_type({value}), 'NULL') <> 'NULL'"
+
+
+_PIPE, _PART, _MARK, _SEGMENT = "P[0-9]+", "C[0-9]+", "P[0-9]+:E[0-9]+", "P[0-9]+:V[0-9]+"
+_XY = "CASE WHEN json_type(e) = 'ARRAY' AND json_type(e -> 0) NOT IN ('ARRAY', 'OBJECT') THEN try_cast(e ->> 0 AS DOUBLE) END AS x, CASE WHEN json_type(e) = 'ARRAY' AND json_type(e -> 1) NOT IN ('ARRAY', 'OBJECT') THEN try_cast(e ->> 1 AS DOUBLE) END AS y"
+_LISTS = " UNION ALL ".join([_list_sql("endpoints", _PIPE), _list_sql("endpoints", _SEGMENT), _list_sql("outline", _PART)])
+_LINES_OF = " UNION ALL ".join([_list_sql("welds", _PART), _list_sql("subpaths", _PART)])
+_ONES = " UNION ALL ".join([_one_sql("centre", "centre", _PART), _one_sql("point", "point", _MARK), _one_sql("anchor.point", "anchor.point", _PART)])
+_DETAILS = " UNION ALL ".join([_one_sql("title", "title", _PIPE), _one_sql("by.rule", "by.rule", _MARK), _one_sql("by.gap", "by.gap", _MARK), _one_sql("anchor.of.kind", "anchor.of.kind", _PART), _one_sql("anchor.of.handle", "anchor.of.handle", _PART)])
+
 SQL = {
+    "p6_handles": f"{_PAGES} SELECT page_id, id AS owner_id, place, coalesce(e ->> '$', '') AS handle FROM ({_list_sql('handles', _PIPE)} UNION ALL {_list_sql('handles', _PART)})",
+    "p6_points": f"""{_PAGES}, lines AS ({_LINES_OF}), inner_ AS (SELECT page_id, id, field, place, unnest(range(len(l)))::INT AS part, unnest(l) AS e FROM (SELECT *, CASE WHEN json_type(e) = 'ARRAY' THEN e::JSON[] END AS l FROM lines))
+    SELECT page_id, id AS owner_id, field, place, NULL::INT AS part, {_XY} FROM ({_LISTS})
+    UNION ALL SELECT page_id, id, field, place, part, {_XY} FROM inner_ WHERE coalesce(json_type(e), 'NULL') <> 'NULL'
+    UNION ALL SELECT page_id, id, field, NULL, NULL, {_XY} FROM ({_ONES})""",
+    "p6_details": f"{_PAGES} SELECT page_id, id AS owner_id, field, e ->> '$' AS val FROM ({_DETAILS})",
     "p1_found": _LINES + "SELECT row_id, reason FROM judged WHERE reason IS NOT NULL",
     "p1_records": _LINES
     + """SELECT row_id, idf_file, line_no, f[1]::INT AS code, f[2]::DOUBLE AS ax, f[3]::DOUBLE AS ay, f[4]::DOUBLE AS az,
