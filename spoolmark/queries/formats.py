@@ -88,7 +88,7 @@ def _containers(spark, d):
 
 _STORED = """a AS (SELECT DISTINCT drawing_id, page, attr_id, coalesce(tag, '') AS tag FROM dynamic_attributes WHERE drawing_id IS NOT NULL AND page IS NOT NULL),
   s AS (SELECT drawing_id, attr_id // 5000 AS part, page, 'BM' || string_agg(attr_id || ':' || tag, chr(10) ORDER BY attr_id, tag) AS contents, string_agg(attr_id::VARCHAR, chr(10) ORDER BY attr_id, tag) AS sheet FROM a GROUP BY 1, 2, 3),
-  p AS (SELECT drawing_id, page, rpad(contents, greatest(4096, strlen(contents))::INT, '.') AS contents, rpad(sheet, greatest(4096, strlen(sheet))::INT, '.') AS sheet FROM s)"""
+  p AS (SELECT drawing_id, part, page, rpad(contents, greatest(4096, strlen(contents))::INT, '.') AS contents, rpad(sheet, greatest(4096, strlen(sheet))::INT, '.') AS sheet FROM s)"""
 
 
 @query(f"WITH {_STORED} SELECT drawing_id, 'JSite' || page || '/CONTENTS' AS stream, sha256(contents) AS digest FROM p UNION ALL SELECT drawing_id, 'Sheet' || page, sha256(sheet) FROM p")
@@ -438,5 +438,122 @@ def y6_route_names(spark, d):
     return t.select("drawing_id", reports.route_name(F.col("k"), F.col("n")).alias("route"))
 
 
+@query(f"""WITH {_STORED} SELECT drawing_id, 'Sheet' || page AS stream, CASE WHEN page = first THEN strlen(sheet) + 56 ELSE strlen(sheet) END::INT AS n_bytes, page = first AS grown
+  FROM (SELECT *, min(page) OVER (PARTITION BY drawing_id, part) AS first FROM p)""")
+def k4_patched_streams(spark, d):
+    c = _containers(spark, d)
+    first = table(spark, d, "dynamic_attributes").where("drawing_id is not null and page is not null").groupBy(_path("drawing_id", "attr_id").alias("path")).agg(F.min("page").alias("page"))
+    more = records.pack_line((1, 2, 3, 4), (0.1, 0.1, 0.2, 0.2))
+    patched = c.join(first, "path").select("path", compound.appended(F.col("content"), F.concat(F.lit("Sheet"), F.col("page").cast("string")), F.lit(bytearray(more))).alias("content"))
+    s = compound.streams(patched).where("stream like 'Sheet%'")
+    return s.select(_owner().alias("drawing_id"), "stream", F.length("data").alias("n_bytes"), F.endswith("data", F.lit(bytearray(more))).alias("grown"))
+
+
+@query("""SELECT weld_id, left(coalesce(description, ''), 200) AS title, strftime(recorded_at, '%Y-%m-%dT%H:%M:%S') AS create_time FROM (SELECT DISTINCT weld_id, description, recorded_at FROM weld_blocks) WHERE recorded_at IS NOT NULL""".replace("left(coalesce(description, ''), 200)", "coalesce(description, '')"))
+def y20_summary_properties(spark, d):
+    w = table(spark, d, "weld_blocks").where("recorded_at is not null").select("weld_id", F.coalesce("description", F.lit("")).alias("title"), F.expr("unix_micros(cast(recorded_at as timestamp))").alias("at")).distinct()
+
+    def write(batches):
+        for pdf in batches:
+            rows = [(str(r.weld_id), "Summary", compound.write_summary({"title": r.title, "author": "-", "create_time": int(r.at)})) for r in pdf.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=_STREAMS.names)
+
+    m = w.mapInPandas(write, _STREAMS).select("path", compound.summary("data").alias("m"))
+    return m.select(F.col("path").cast("long").alias("weld_id"), F.col("m")["title"].alias("title"), F.col("m")["create_time"].alias("create_time"))
+
+
+_CELLS = f"c AS (SELECT drawing_id, envelope_id // 5000 AS part, count(DISTINCT floor(box_bottom / 16801.0 * 34) * 48 + floor(box_left / 16801.0 * 48)) AS n FROM ({_ENVELOPES} AND box_left BETWEEN 0 AND 16800 AND box_bottom BETWEEN 0 AND 16800) GROUP BY 1, 2)"
+
+
+def _images(spark, d):
+    """One image per part of a drawing: black cells where an envelope begins."""
+    import numpy as np
+
+    from spoolmark.sources import raster
+
+    e = _envelopes(spark, d).where("box_left between 0 and 16800 and box_bottom between 0 and 16800").withColumn("path", _path("drawing_id", "envelope_id"))
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        grey = np.full((raster.GRID_HEIGHT, raster.GRID_WIDTH), 255)
+        grey[np.floor(pdf["box_bottom"] / 16801.0 * 34).astype(int), np.floor(pdf["box_left"] / 16801.0 * 48).astype(int)] = 0
+        return pd.DataFrame([(pdf["path"].iloc[0], raster.write_png(np.kron(grey, np.ones((3, 2)))))], columns=["path", "content"])
+
+    return e.select("path", "box_left", "box_bottom").groupBy("path").applyInPandas(draw, "path string, content binary")
+
+
+@query(f"WITH {_CELLS} SELECT drawing_id, n::DOUBLE AS ink FROM c")
+def s28_raster_scan(spark, d):
+    from spoolmark.sources import raster
+
+    g = _images(spark, d).select("path", raster.ink_grid("content").alias("grid"))
+    return g.select(_owner().alias("drawing_id"), F.round(F.aggregate("grid", F.lit(0.0), lambda s, x: s + x), 6).alias("ink"))
+
+
+@query(f"WITH {_CELLS} SELECT drawing_id, 48 * 2 + 1 AS width, 34 AS height, (2 * n)::DOUBLE AS ink FROM c")
+def k7_boards(spark, d):
+    from spoolmark.sources import raster
+
+    g = _images(spark, d).select("path", raster.ink_grid("content").alias("grid"))
+
+    def measure(batches):
+        for pdf in batches:
+            rows = []
+            for path, body in zip(pdf["path"], pdf["board"]):
+                grey = raster.read_png(bytes(body))
+                rows.append((path, grey.shape[1], grey.shape[0], float((grey < 128).sum())))
+            yield pd.DataFrame(rows, columns=["path", "width", "height", "ink"])
+
+    b = g.select("path", raster.board("grid", "grid").alias("board")).mapInPandas(measure, "path string, width int, height int, ink double")
+    return b.select(_owner().alias("drawing_id"), "width", "height", "ink")
+
+
+@query("SELECT line_key, count(DISTINCT page_id)::INT AS n_pages FROM dxf_pages WHERE line_key IS NOT NULL GROUP BY 1")
+def s29_page_probe(spark, d):
+    from spoolmark.sources import raster
+
+    p = table(spark, d, "dxf_pages").where("line_key is not null").select("line_key", "page_id").distinct()
+    page = F.concat(F.lit("<< /Type /Page /Id "), F.col("page_id").cast("string"), F.lit(" >>\n"))
+    files = p.groupBy("line_key").agg(F.encode(F.concat(F.lit("%PDF-1.4\n<< /Type /Pages >>\n"), F.array_join(F.collect_list(page), "")), "UTF-8").alias("content"))
+    return files.select("line_key", raster.pdf_pages("content").alias("n_pages"))
+
+
+@query(f"""SELECT drawing_id, point_id, CASE WHEN point_id % 4 = 0 THEN 'scale' ELSE 'revision' END AS field, round(center_x, 6) AS x FROM ({_POINTS}) WHERE point_id % 4 < 2""")
+def s23_template_fields(spark, d):
+    def text(r) -> str:
+        return ("SCALE 1:1", f"REV {r.point_id}", "note", f"X{r.point_id}")[r.point_id % 4]
+
+    pack = lambda r: records.pack_text((r.point_id, 2, 3, 4), text(r), (r.center_x, r.center_y, 1.0, 0.0)) + b"\x00" * 4
+    found = records.scan(_packed(_points(spark, d), "drawing_id", "point_id", "Sheet221", pack), "text")
+    literals = spark.createDataFrame([("scale", "SCALE 1:1", None), ("revision", None, "^REV [0-9]+$")], "field string, literal string, pattern string")
+    keyed = found.withColumn("stream", F.concat_ws(":", "stream", F.col("child_ref").cast("string")))
+    t = records.template_fields(keyed, literals)
+    return t.select(_owner().alias("drawing_id"), F.split("stream", ":")[1].cast("long").alias("point_id"), "field", F.round("x", 6).alias("x"))
+
+
+@query(f"""SELECT drawing_id, envelope_id, CASE WHEN envelope_id % 5 = 0 THEN 3 ELSE 4 END::BIGINT AS n_lines, envelope_id % 5 <> 0 AS closed FROM ({_ENVELOPES} AND box_left >= 0 AND box_bottom >= 0 AND box_left < box_right AND box_bottom < box_top AND box_right <= 16800 AND box_top <= 16800)""")
+def x11_closed_frames(spark, d):
+    e = _envelopes(spark, d).where("box_left >= 0 and box_bottom >= 0 and box_left < box_right and box_bottom < box_top and box_right <= 16800 and box_top <= 16800")
+
+    def pack(r) -> bytes:
+        l, b, t, u = (v / records.PAGE_UNITS for v in (r.box_left, r.box_bottom, r.box_right, r.box_top))
+        sides = [(l, b, t, b), (t, b, t, u), (t, u, l, u), (l, u, l, b)]
+        return b"".join(records.pack_line((r.envelope_id, 1, 2, 3), s) for s in sides[: 3 if r.envelope_id % 5 == 0 else 4])
+
+    lines = records.scan(_packed(e, "drawing_id", "envelope_id", "Sheet1", pack), "line")
+    v = records.closed_frames(lines, ["path", "child_ref"])
+    return v.select(_owner().alias("drawing_id"), F.col("child_ref").alias("envelope_id"), "n_lines", "closed")
+
+
+@query("""WITH c AS (SELECT DISTINCT composite_id, drawing_id, children FROM composites WHERE drawing_id IS NOT NULL AND len(children) > 0), k AS (SELECT composite_id, drawing_id, unnest(range(len(children))) AS place, unnest(children) AS c FROM c)
+  SELECT composite_id AS page_id, CASE WHEN c.prim_type % 2 = 0 THEN 'pipe' ELSE 'component' END AS item_kind, 'k' || c.prim_type AS val, count(*) AS n FROM k WHERE c.prim_type IS NOT NULL GROUP BY 1, 2, 3""")
+def s14_semantic_export(spark, d):
+    from spoolmark.operators import nested
+
+    k = table(spark, d, "composites").where("drawing_id is not null and size(children) > 0").select("composite_id", "children").distinct().select(F.col("composite_id").alias("page_id"), F.posexplode("children").alias("place", "c")).where("c.prim_type is not null")
+    items = k.select("page_id", "place", F.col("c.prim_type").alias("t"), F.concat(F.lit("k"), F.col("c.prim_type").cast("string")).alias("kind"), F.array(F.col("c.child_ref").cast("string")).alias("handles"), F.array(F.array("c.box_left", "c.box_bottom"), F.array("c.box_right", "c.box_top")).alias("endpoints"))
+    pages = dxf.semantic_pages(items.where("t % 2 = 0").drop("t"), items.where("t % 2 != 0").drop("t", "endpoints"), ["page_id"])
+    return nested.flatten_pages(pages, "page_id", "page_json").groupBy("page_id", "item_kind", "val").agg(F.count("*").alias("n"))
+
+
 QUERIES = {k: f for k, (f, _) in _ALL.items()}
 SQL = {k: s for k, (_, s) in _ALL.items() if s}

@@ -176,3 +176,76 @@ def sheets(all_streams: DataFrame, template: bool = False) -> DataFrame:
     """Physical sheets: streams named Sheet and a number, longer than 1,024 bytes; the template sheet 221 only on request."""
     keep = F.col("stream").rlike("^Sheet[0-9]+$") & (F.length("data") > 1024)
     return all_streams.where(keep if template else keep & (F.col("stream") != "Sheet221"))
+
+
+@F.pandas_udf(T.BinaryType())
+def appended(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """(container, stream name, records) -> the container with the records at the end of the stream, all other streams unchanged.
+
+    A container without the stream, or a broken one, gives null.
+    """
+    for content, stream, records in parts:
+        out = []
+        for body, name, more in zip(content, stream, records):
+            try:
+                own = read_streams(bytes(body)) if body is not None else {}
+            except (BrokenContainer, struct.error):
+                own = {}
+            out.append(write_container({**own, name: own[name] + bytes(more or b"")}) if name in own else None)
+        yield pd.Series(out, dtype=object)
+
+
+#: Property numbers and types of a summary stream.
+SUMMARY = {2: "title", 3: "subject", 4: "author", 5: "keywords", 6: "comments", 7: "template", 8: "last_saved_by", 9: "revision_number", 12: "create_time", 13: "last_saved_time", 18: "creating_application"}
+_SHORT, _INT, _TEXT, _TIME = 2, 3, 30, 64
+_EPOCH_1601 = 116_444_736_000_000_000
+
+
+def read_summary(data: bytes) -> dict[str, str] | None:
+    """Properties of a summary stream as text, times as ISO-8601; none for bytes that are no property set."""
+    from datetime import datetime, timedelta, timezone
+
+    try:
+        if struct.unpack_from("<H", data)[0] != 0xFFFE:
+            return None
+        at = struct.unpack_from("<I", data, 44)[0]
+        found = {}
+        for k in range(struct.unpack_from("<I", data, at + 4)[0]):
+            number, offset = struct.unpack_from("<II", data, at + 8 + 8 * k)
+            kind = struct.unpack_from("<I", data, at + offset)[0]
+            own, name = at + offset + 4, SUMMARY.get(number)
+            if name is None:
+                continue
+            if kind == _TEXT:
+                size = struct.unpack_from("<I", data, own)[0]
+                found[name] = data[own + 4 : own + 4 + size].split(b"\x00")[0].decode("utf-8", "replace")
+            elif kind == _TIME:
+                ticks = struct.unpack_from("<Q", data, own)[0]
+                found[name] = (datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=(ticks - _EPOCH_1601) // 10)).strftime("%Y-%m-%dT%H:%M:%S")
+            elif kind in (_SHORT, _INT):
+                found[name] = str(struct.unpack_from("<h" if kind == _SHORT else "<i", data, own)[0])
+        return found
+    except (struct.error, OverflowError):
+        return None
+
+
+def write_summary(properties: dict[str, str | int]) -> bytes:
+    """A summary stream: texts as they are, integers as times in microseconds since 1970."""
+    numbers = {name: number for number, name in SUMMARY.items()}
+    values, table = b"", b""
+    for name, value in properties.items():
+        offset = 8 + 8 * len(properties) + len(values)
+        table += struct.pack("<II", numbers[name], offset)
+        if isinstance(value, int):
+            values += struct.pack("<IQ", _TIME, value * 10 + _EPOCH_1601)
+        else:
+            raw = value.encode() + b"\x00"
+            values += struct.pack("<II", _TEXT, len(raw)) + raw.ljust(-(-len(raw) // 4) * 4, b"\x00")
+    section = struct.pack("<II", 8 + len(table) + len(values), len(properties)) + table + values
+    return struct.pack("<HHI", 0xFFFE, 0, 0) + b"\x00" * 16 + struct.pack("<I", 1) + b"\x00" * 16 + struct.pack("<I", 48) + section
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def summary(streams: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in streams:
+        yield pd.Series([None if b is None else read_summary(bytes(b)) for b in batch], dtype=object)

@@ -82,3 +82,20 @@ def paired_labels(labels: DataFrame, reach: float = 8.0) -> DataFrame:
     b = a.join(side.select("path", F.col("handle").alias("id_b"), F.col("is_note").alias("nb")), ["path", "id_b"]).where("na != nb")
     pairs_ = b.select("path", F.when(F.col("na"), F.col("id_a")).otherwise(F.col("id_b")).alias("note"), F.when(F.col("na"), F.col("id_b")).otherwise(F.col("id_a")).alias("page_note"))
     return unique_pairs(pairs_, ["path"], "note", "page_note")
+
+
+def semantic_pages(pipes: DataFrame, components: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., page_json): classified items as one semantic page per group, the form that nested pages are read in.
+
+    ``pipes`` has (by..., place, kind, handles, endpoints), ``components``
+    (by..., place, kind, handles); the items stand in the order of their
+    places.  A group with items of one sort only has an empty list of the other.
+    """
+    listed = lambda d, *c: d.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", *c))), lambda x: F.struct(*[x[n].alias(n) for n in c])).alias("items"))
+    p = listed(pipes, "kind", "handles", "endpoints").withColumnRenamed("items", "pipes")
+    kinds = components.groupBy(*by, "kind").agg(F.count("*").alias("n")).groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("component_counts"))
+    c = listed(components, "kind", "handles").withColumnRenamed("items", "components").join(kinds, by)
+    page = p.join(c, by, "full")
+    count = F.coalesce(F.size("pipes"), F.lit(0))
+    body = F.struct(F.greatest(count, F.lit(0)).alias("pipe_count"), "component_counts", F.coalesce("components", F.array()).alias("components"), F.coalesce("pipes", F.array()).alias("pipes"))
+    return page.select(*by, F.to_json(body).alias("page_json"))

@@ -426,3 +426,29 @@ def version_history(streams: DataFrame) -> DataFrame:
     at = F.when(whole, F.sequence(F.lit(0), F.greatest((F.size("parts") / 4).cast("int") - 1, F.lit(0)))).otherwise(F.array(F.lit(None).cast("int")))
     rows = d.select("path", "stream", F.when(whole, "whole").otherwise("unvalidated").alias("status"), "parts", F.explode(at).alias("place"))
     return rows.select("path", "stream", "status", "place", *[F.get("parts", F.col("place") * 4 + k).alias(n) for k, n in enumerate(("module", "version", "mode", "changed_at"))])
+
+
+def template_fields(texts: DataFrame, literals: DataFrame) -> DataFrame:
+    """Texts that are a template's own: (path, stream, field, text, x, y), by an equal literal or its pattern.
+
+    ``literals`` (field, literal, pattern) is the user's table of the template;
+    a text that several rows name counts once for each.
+    """
+    t = texts.select("path", "stream", "text", "x", "y")
+    equal = t.join(literals.where("literal is not null").select("field", "literal"), F.col("text") == F.col("literal")).select("path", "stream", "field", "text", "x", "y")
+    patterns = [(r["field"], r["pattern"]) for r in literals.where("pattern is not null").select("field", "pattern").collect()]
+    named = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(f)) for f, p in patterns])) if patterns else F.array().cast("array<string>")
+    return equal.unionByName(t.select("path", "stream", F.explode(named).alias("field"), "text", "x", "y")).distinct()
+
+
+def closed_frames(lines: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., n_lines, closed, inside): whether the lines of a group form closed rings inside the page.
+
+    Every end, to six digits, is shared by exactly two lines of the group.
+    """
+    six = lambda c: F.round(c, 6)
+    ends = lines.select(*by, F.explode(F.array(F.struct(six("x1").alias("x"), six("y1").alias("y")), F.struct(six("x2").alias("x"), six("y2").alias("y")))).alias("p"))
+    met = ends.groupBy(*by, "p").agg(F.count("*").alias("n"))
+    in_page = F.col("p.x").between(0, 1) & F.col("p.y").between(0, 1)
+    rings = met.groupBy(*by).agg(F.bool_and(F.col("n") == 2).alias("closed"), F.bool_and(in_page).alias("inside"))
+    return lines.groupBy(*by).agg(F.count("*").alias("n_lines")).join(rings, by)
