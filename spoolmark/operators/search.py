@@ -280,13 +280,14 @@ def poses(source: DataFrame, target: DataFrame, by: str, tolerance: float, keep:
     return source.groupBy(by).cogroup(target.groupBy(by)).applyInPandas(solve, schema)
 
 
-def common_subgraph(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
+def aligned_landmarks(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
     """Largest order-preserving match of two landmark sequences: (by, pairs, score, truncated).
 
     ``left`` and ``right`` (by, place, id, kind, links).  A pair of one kind
     scores 3 when it has as many links on both sides and -3 otherwise, a
     skipped landmark costs 2.  Null kinds match nothing.  The whole table is
-    filled, so ``truncated`` is never true.  Matches that cross are not sought.
+    filled, so ``truncated`` is never true.  Matches that cross are
+    not sought here but by ``skeleton_matches``.
     """
     schema = _schema(left.schema[by], ("pairs", _S), ("score", _I), ("truncated", _B))
 
@@ -366,3 +367,140 @@ def promote(audit: DataFrame, stable: DataFrame, handles: str, status: str) -> D
     joined = good.join(known, "__set").drop("__set")
     n = F.count("*").over(Window.partitionBy("stable_id"))
     return joined.withColumn("__n", n).where("__n = 1").drop("__n")
+
+
+#: What a skipped landmark costs, what a relation counts that the other side shares or lacks, and the bound of the geometry's share.
+SKIP, RELATION, GEOMETRY = 2.0, 3.0, 3.0
+#: The eight symmetries of the plane as matrices (xx, xy, yx, yy), by name.
+SYMMETRIES = {
+    "identity": (1, 0, 0, 1), "flip_x": (-1, 0, 0, 1), "flip_y": (1, 0, 0, -1), "flip_xy": (-1, 0, 0, -1),
+    "swap": (0, 1, 1, 0), "swap_flip_x": (0, -1, 1, 0), "swap_flip_y": (0, 1, -1, 0), "swap_flip_xy": (0, -1, -1, 0),
+}
+
+
+def local_gain(kind_a, degree_a, kind_b, degree_b) -> float | None:
+    """What a pair of landmarks of one kind counts: more with equal degrees; none for other or unknown kinds."""
+    if kind_a is None or kind_a != kind_b:
+        return None
+    return 3.0 if degree_a == degree_b else 1.0
+
+
+def axis_votes(pairs: list[tuple[tuple[float, float], tuple[float, float]]]) -> tuple[float, str | None]:
+    """The symmetry under which directions between matched landmarks agree best, with the sum of their cosines."""
+    best = (0.0, None)
+    for name, (a, b, c, d) in SYMMETRIES.items():
+        total = 0.0
+        for (p, q), (r, s) in itertools.combinations(pairs, 2):
+            u, v = (r[0] - p[0], r[1] - p[1]), (s[0] - q[0], s[1] - q[1])
+            w = (a * u[0] + b * u[1], c * u[0] + d * u[1])
+            size = math.hypot(*w) * math.hypot(*v)
+            total += (w[0] * v[0] + w[1] * v[1]) / size if size else 0.0
+        if best[1] is None or (total, name) > best:
+            best = (total, name)
+    return best
+
+
+def match_skeletons(left: list[tuple], right: list[tuple], left_links: set[frozenset], right_links: set[frozenset], keep: int, budget: int) -> tuple[list[tuple[float, float, str, dict]], bool]:
+    """The ``keep`` best mappings (score, topology, symmetry, {left: right}) of landmarks (id, kind, degree, x, y), and whether the search came to its end.
+
+    Every landmark of the left is mapped to one of its kind or skipped; the
+    search is exact, and a branch is left when even its best completion with
+    the best geometry lies below the mappings kept.
+    """
+    options = {}
+    for i, kind, degree, *_ in left:
+        own = [(local_gain(kind, degree, k, g), j) for j, k, g, *_ in right]
+        options[i] = sorted(((s, j) for s, j in own if s is not None), key=lambda x: (-x[0], x[1]))
+    order = sorted(options, key=lambda i: (len(options[i]), i))
+    at = {i: k for k, i in enumerate(order)}
+    # Relations of a landmark to those before it in the order.
+    before = {i: [j for link in left_links if i in link and len(link) == 2 for j in link - {i} if at.get(j, len(at)) < at[i]] for i in order}
+    rest = [0.0] * (len(order) + 1)
+    for k in range(len(order) - 1, -1, -1):
+        i = order[k]
+        rest[k] = rest[k + 1] + max(-SKIP, (options[i][0][0] if options[i] else -SKIP) + RELATION * len(before[i]))
+    where_l, where_r = {i: (x, y) for i, _, _, x, y in left}, {j: (x, y) for j, _, _, x, y in right}
+    kept: list[tuple[float, float, str, dict]] = []
+    visits, mapping, used = 0, {}, set()
+
+    def settle(score: float) -> None:
+        own = [(where_l[i], where_r[j]) for i, j in mapping.items()]
+        votes, name = axis_votes([p for p in own if None not in (*p[0], *p[1])])
+        kept.append((score + min(GEOMETRY, max(-GEOMETRY, votes)), score, name or "identity", dict(mapping)))
+        kept.sort(key=lambda r: (-round(r[0], 9), sorted(r[3].items())))
+        del kept[keep:]
+
+    # (depth, next option, score): option -1 skips the landmark, which is tried last.
+    stack = [[0, 0, 0.0]]
+    while stack:
+        visits += 1
+        if visits > budget:
+            return kept, False
+        k, option, score = stack[-1]
+        if k == len(order):
+            if mapping and not (len(kept) == keep and score + GEOMETRY < kept[-1][0] - 1e-9):
+                visits += len(mapping) ** 2
+                settle(score)
+            stack.pop()
+            continue
+        i = order[k]
+        if option == 0 and len(kept) == keep and score + rest[k] + GEOMETRY < kept[-1][0] - 1e-9 or option > len(options[i]):
+            if option > 0 and i in mapping:
+                used.discard(mapping.pop(i))
+            stack.pop()
+            continue
+        if i in mapping:
+            used.discard(mapping.pop(i))
+        stack[-1][1] = option + 1
+        if option == len(options[i]):
+            stack.append([k + 1, 0, score - SKIP])
+            continue
+        gain, j = options[i][option]
+        if j in used:
+            continue
+        told = sum(RELATION if frozenset((j, mapping[o])) in right_links else -RELATION for o in before[i] if o in mapping)
+        mapping[i] = j
+        used.add(j)
+        stack.append([k + 1, 0, score + gain + told])
+    return kept, True
+
+
+def skeleton_matches(left: DataFrame, right: DataFrame, left_links: DataFrame, right_links: DataFrame, by: str, keep: int = 20, budget: int = 20_000) -> DataFrame:
+    """(by, rank, score, topology, symmetry, pairs, margin, status) of the best common subgraphs of two landmark graphs per group.
+
+    ``left`` and ``right`` have (by, id, kind, x, y), the links (by, a, b); the
+    degree of a landmark is the number of its links.  A group whose symmetric
+    landmarks need more than ``budget`` steps (a step tries one landmark, or
+    compares two pairs' directions) gives one row ``unresolved`` without pairs:
+    it is never forced.
+    """
+    schema = _schema(left.schema[by], ("rank", _I), ("score", _D), ("topology", _D), ("symmetry", _S), ("pairs", _S), ("margin", _D), ("status", _S))
+    def packed(d: DataFrame, side: str, node: bool) -> DataFrame:
+        own = [F.lit(side).alias("side"), *[(F.col(c) if node else F.lit(None)).cast("string").alias(c) for c in ("id", "kind")], *[(F.col(c) if node else F.lit(None)).cast("double").alias(c) for c in ("x", "y")], *[(F.lit(None) if node else F.col(c)).cast("string").alias(c) for c in ("a", "b")]]
+        return d.select(by, *own).where("id is not null" if node else "a is not null and b is not null and a != b").distinct()
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        def graph(side: str) -> tuple[list[tuple], set[frozenset]]:
+            n, e = pdf[pdf["side"] == side], pdf[pdf["side"] == side + "_link"]
+            links = {frozenset((a, b)) for a, b in zip(e["a"], e["b"])}
+            degree: dict[str, int] = {}
+            for link in links:
+                for x in link:
+                    degree[x] = degree.get(x, 0) + 1
+            real = lambda v: None if v is None or not math.isfinite(v) else float(v)
+            nodes = [(i, k, degree.get(i, 0), real(x), real(y)) for i, k, x, y in n.sort_values("id")[["id", "kind", "x", "y"]].drop_duplicates("id").itertuples(index=False)]
+            return nodes, links
+
+        (a, la), (b, lb) = graph("left"), graph("right")
+        found, whole = match_skeletons(a, b, la, lb, keep, budget)
+        group = pdf[by].iloc[0]
+        if not whole:
+            return pd.DataFrame([(group, 1, None, None, None, None, None, "unresolved")], columns=schema.names)
+        rows = []
+        for k, (score, topology, name, mapping) in enumerate(found):
+            margin = round(score - found[k + 1][0], 3) if k + 1 < len(found) else None
+            rows.append((group, k + 1, round(score, 3), round(topology, 3), name, ";".join(f"{i}={j}" for i, j in sorted(mapping.items())), margin, "complete"))
+        return pd.DataFrame(rows, columns=schema.names)
+
+    both = packed(left, "left", True).unionByName(packed(right, "right", True)).unionByName(packed(left_links, "left_link", False)).unionByName(packed(right_links, "right_link", False))
+    return both.groupBy(by).applyInPandas(solve, schema)

@@ -435,9 +435,24 @@ def x2_direction_assignment(spark, d):
 
 @query()
 def x3_common_subgraph(spark, d):
+    """Components of a page, linked where a pipe joins two of them, against a renamed copy that lacks some components."""
+    e = table(spark, d, "graph_edges").where("line_key is not null and page is not null").select(F.concat_ws("-", "line_key", F.col("page").cast("string")).alias("sheet"), F.trim("from_node").alias("x"), F.trim("to_node").alias("y"))
+    touch = e.union(e.select("sheet", "y", "x")).where("contains(x, ':C') and contains(y, ':P')").select("sheet", F.col("x").alias("c"), F.regexp_replace("y", ":E[0-9]+$", "").alias("pipe")).distinct()
+    number = F.regexp_extract("c", ":C([0-9]+)", 1).try_cast("int")
+    nodes = touch.select("sheet", "c").distinct().select("sheet", F.col("c").alias("id"), F.concat(F.lit("k"), (number % 3).cast("string")).alias("kind"), (number % 7).cast("double").alias("x"), (number % 5).cast("double").alias("y"))
+    # A pipe touches few components; each is linked to the first one of its pipe.
+    first = touch.groupBy("sheet", "pipe").agg(F.min("c").alias("a"))
+    links = touch.join(first, ["sheet", "pipe"]).where("a != c").select("sheet", "a", F.col("c").alias("b")).distinct()
+    copy = nodes.where("pmod(xxhash64(id), 6) > 0").select("sheet", F.concat(F.lit("R"), "id").alias("id"), "kind", (-F.col("y")).alias("x"), F.col("x").alias("y"))
+    copied = links.select("sheet", F.concat(F.lit("R"), "a").alias("a"), F.concat(F.lit("R"), "b").alias("b"))
+    return search.skeleton_matches(nodes, copy, links, copied, "sheet")
+
+
+@query()
+def x3_aligned_landmarks(spark, d):
     g = _finite_idf(spark, d).where("code in (35, 36, 41, 42, 55, 120) and bore < 1e6").select("file", F.col("line_no").alias("place"), F.col("row").alias("id"), F.col("code").cast("string").alias("kind"), F.round("bore").try_cast("int").alias("links"))
     odd, even = g.where("place % 2 = 1"), g.where("place % 2 = 0")
-    return search.common_subgraph(odd, even, "file")
+    return search.aligned_landmarks(odd, even, "file")
 
 
 @query()

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from spoolmark.operators import search
 
@@ -40,7 +41,7 @@ def test_long_sequences_are_aligned_whole(spark):
         for side in (left, right):
             side += [(f"g{g}", k, k, rng.choice(["a", "b", None]), rng.choice([1, 2, None])) for k in range(rng.randrange(1, 9))]
     schema = "file string, place int, id long, kind string, links int"
-    got = {r.file: r for r in search.common_subgraph(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "file").collect()}
+    got = {r.file: r for r in search.aligned_landmarks(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "file").collect()}
     assert got["long"].score == 60 * 3 - 2 * 1_500 and not got["long"].truncated
     assert got["long"].pairs == ";".join(f"{k}={k}" for k in range(1_500, 1_560))
 
@@ -67,3 +68,57 @@ def test_short_segments_seed_poses(spark):
     target = [("f", i, -y1 + 10, x1, -y2 + 10, x2) for i, (x1, y1, x2, y2) in enumerate(short)] + [("f", 20 + i, *at(9)) for i in range(14)]
     got = search.poses(spark.createDataFrame(source, schema), spark.createDataFrame(target, schema), "file", 0.5).collect()
     assert len(got) == 12 and (got[0].score, got[0].n_matched, got[0].scale, got[0].turn, got[0].mirrored) == (220.0, 20, 1.0, 90.0, False)
+
+
+def best_mappings(left, right, links, other):
+    """Every mapping, scored."""
+    found = []
+
+    def visit(k, mapping, score):
+        if k == len(left):
+            if mapping:
+                told = 0
+                for a, b in (tuple(sorted(x)) for x in links):
+                    if a in mapping and b in mapping:
+                        told += 3 if frozenset((mapping[a], mapping[b])) in other else -3
+                at = lambda nodes, i: next((x, y) for n, _, _, x, y in nodes if n == i)
+                pairs = [(at(left, i), at(right, j)) for i, j in mapping.items()]
+                votes, _ = search.axis_votes([p for p in pairs if None not in (*p[0], *p[1])])
+                found.append((round(score + told + max(-3, min(3, votes)), 6), sorted(mapping.items())))
+            return
+        i, kind, degree, *_ = left[k]
+        visit(k + 1, mapping, score - 2)
+        for j, other_kind, other_degree, *_ in right:
+            gain = search.local_gain(kind, degree, other_kind, other_degree)
+            if gain is not None and j not in mapping.values():
+                visit(k + 1, {**mapping, i: j}, score + gain)
+
+    visit(0, {}, 0.0)
+    return sorted(found, key=lambda x: (-x[0], x[1]))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_skeletons_agree_with_all_mappings(seed):
+    rng = random.Random(seed)
+
+    def graph(prefix, n):
+        ids = [f"{prefix}{k}" for k in range(n)]
+        links = {frozenset(rng.sample(ids, 2)) for _ in range(n + 1)}
+        return [(i, rng.choice(["a", "b", None]), sum(i in x for x in links), rng.choice([None, *range(5)]), rng.randrange(5)) for i in ids], links
+
+    (left, la), (right, lb) = graph("l", 5), graph("r", 5)
+    got, whole = search.match_skeletons(left, right, la, lb, 6, 10**6)
+    want = best_mappings(left, right, la, lb)[:6]
+    assert whole and [(round(s, 6), sorted(m.items())) for s, _, _, m in got] == want
+    assert search.match_skeletons(left, right, la, lb, 6, 3)[1] is False or not want
+
+
+def test_skeleton_table(spark):
+    nodes, links = "g string, id string, kind string, x double, y double, pairs string", "g string, a string, b string"
+    l = spark.createDataFrame([("s", "1", "k", 0.0, 0.0, "c"), ("s", "2", "k", 1.0, 0.0, "c"), ("s", "3", "m", 0.0, 1.0, "c"), ("s", None, "m", 0.0, 1.0, "c"), ("e", "1", None, None, None, "c")], nodes)
+    r = spark.createDataFrame([("s", "x", "k", 0.0, 0.0, "c"), ("s", "y", "k", 0.0, 1.0, "c"), ("s", "z", "m", -1.0, float("nan"), "c")], nodes)
+    ll, rl = spark.createDataFrame([("s", "1", "3"), ("s", "2", "2")], links), spark.createDataFrame([("s", "x", "z")], links)
+    got = search.skeleton_matches(l, r, ll, rl, "g").where("rank = 1").collect()
+    assert [(x.g, x.pairs, x.topology, x.status) for x in got] == [("s", "1=x;2=y;3=z", 12.0, "complete")]
+    few = search.skeleton_matches(l, r, ll, rl, "g", budget=2).collect()
+    assert {(x.g, x.status) for x in few} >= {("s", "unresolved")}
