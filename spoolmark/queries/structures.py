@@ -191,8 +191,8 @@ def fs1_digit_family(spark, d):
     return table(spark, d, "dxf_pages").where("dxf_name is not null").groupBy(tx.digit_family(F.col("dxf_name")).alias("family")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, coalesce(nullif(left(trim(regexp_replace(left(text, 120), '[^A-Za-z0-9._-]+', '-', 'g'), '.-'), 80), ''), 'project') AS slug, upper(trim(left(text, 40))) LIKE 'LINE%' OR upper(trim(left(text, 40))) LIKE 'SHEET%' AS labelled,
-  replace(replace(replace(replace(replace(left(text, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM documents WHERE text IS NOT NULL""")
+@query("""SELECT doc_id, coalesce(nullif(left(trim(regexp_replace(text, '[^A-Za-z0-9._-]+', '-', 'g'), '.-'), 80), ''), 'project') AS slug, upper(trim(text)) LIKE 'LINE%' OR upper(trim(text)) LIKE 'SHEET%' AS labelled,
+  replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM documents WHERE text IS NOT NULL""")
 def fs4_slug_and_escape(spark, d):
     t = F.col("text")
     return table(spark, d, "documents").where("text is not null").select("doc_id", tx.slug(t).alias("slug"), tx.starts_with_any(t, ["LINE", "SHEET"]).alias("labelled"), tx.html_escape(t).alias("escaped"))
@@ -348,9 +348,12 @@ def g10_simple_paths(spark, d):
     return p.select("line_key", *[F.get("path", F.lit(i)).alias(c) for i, c in enumerate("abcd")])
 
 
-@query(f"""WITH {_PAGE_EDGES.replace("AND kind = 'in_page_exact_endpoint'", "")}, m AS (SELECT DISTINCT line_key, x AS node FROM b WHERE contains(x, ':C')), h1 AS (SELECT m.line_key, m.node AS source, b.y AS node FROM m JOIN b ON b.line_key = m.line_key AND b.x = m.node),
-  h2 AS (SELECT h.line_key, source, b.y AS node FROM h1 h JOIN b ON b.line_key = h.line_key AND b.x = h.node WHERE NOT contains(h.node, ':C') AND b.y <> source),
-  f AS (SELECT line_key, source, node AS target, 1 AS hops FROM h1 WHERE contains(node, ':C') UNION SELECT line_key, source, node, 2 FROM h2 WHERE contains(node, ':C')) SELECT line_key, source, target, min(hops)::INT AS hops FROM f GROUP BY 1, 2, 3""")
+@query(f"""WITH {_PAGE_EDGES.replace("AND kind = 'in_page_exact_endpoint'", "")}, r AS (
+    WITH RECURSIVE walk AS (
+      SELECT b.line_key, b.x AS source, b.y AS node, 1 AS hops FROM b WHERE contains(b.x, ':C')
+      UNION SELECT w.line_key, w.source, b.y, w.hops + 1 FROM walk w JOIN b ON b.line_key = w.line_key AND b.x = w.node WHERE NOT contains(w.node, ':C') AND w.hops < 100
+    ) SELECT * FROM walk)
+  SELECT line_key, source, node AS target, min(hops)::INT AS hops FROM r WHERE contains(node, ':C') AND node <> source GROUP BY 1, 2, 3""")
 def g8_landmark_reach(spark, d):
     e = _page_edges(spark, d, "true")
     marks = e.select("line_key", F.col("x").alias("node")).union(e.select("line_key", "y")).where("contains(node, ':C')")
