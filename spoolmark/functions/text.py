@@ -132,6 +132,29 @@ def free_text_anchor(text: Column, box: list[Column], anchor: list[Column], dire
     height, width = top - bottom, right - left
     # Bounds of the anchor's place beside its envelope, and of a container, in page units.
     beside = (left - anchor[0]).between(-260, -40) & (bottom - anchor[1]).between(-280, -50)
-    container = (height > 320) | (width > height * F.greatest(F.lit(2), F.length(text)) * 2.2)
+    container = is_container(width, height, F.length(text))
     upright = (F.abs(direction[1]) <= 0.1) & (F.abs(direction[0] - 1) <= 0.1)
     return F.coalesce(mapped & ~adjusted & (anchor[0] < cutoff) & upright & ~text.rlike(labels) & ~container & beside, F.lit(False))
+
+
+def text_category(text: Column) -> Column:
+    """The kind of a text by its first sign: number, extract, log, table, blank, else prose; null for null."""
+    kinds = F.when(text.rlike(r"\A[0-9 .-]+\z"), "number").when(text.rlike("(WELD|PIPE|ELBOW)\n"), "extract").when(text.rlike(r"\[[0-9]{4}-[0-9]{2}-[0-9]{2}"), "log")
+    return F.when(text.isNotNull(), kinds.when(text.rlike(r"\|.*\|"), "table").when(F.trim(text) == "", "blank").otherwise("prose"))
+
+
+def evidence_basis(kind: Column, score: Column, least: float = 10.0) -> Column:
+    """The strongest basis that evidence gives: direct, derived, candidate (a score above ``least``), else unresolved."""
+    scored = (score > least) & ~F.isnan(score)
+    return F.when(kind.like("independent%"), "direct").when(kind == "matched_frame_incidence", "derived").when(scored, "candidate").otherwise("unresolved")
+
+
+def frame_category(kind: Column) -> Column:
+    """Frames by the kind of their edges: endpoint, crossing, else null."""
+    return F.when(kind == "in_page_exact_endpoint", "endpoint").when(kind.like("cross_page%"), "crossing")
+
+
+def is_container(width: Column, height: Column, n_chars: Column | int = 2) -> Column:
+    """Whether a box is too large to be that of one text: higher than 320 units, or wider than its characters need."""
+    chars = F.greatest(F.lit(2), n_chars if isinstance(n_chars, Column) else F.lit(n_chars))
+    return (height > 320) | (width > height * chars * 2.2)

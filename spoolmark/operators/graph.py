@@ -5,6 +5,8 @@ Ambiguity yields no row: a step that could go two ways is not taken.
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 import numpy as np
@@ -228,6 +230,11 @@ def leader_trace(segments: DataFrame, anchors: DataFrame, by: str, ident: str, s
         size = np.hypot(seg[:, 2] - seg[:, 0], seg[:, 3] - seg[:, 1]) if len(seg) else np.zeros(0)
         both = np.concatenate([seg[:, :2], seg[:, 2:]]) if len(seg) else np.zeros((0, 2))
         n = len(seg)
+        # Ends by cells as wide as the join distance: those near an end lie in its cell and the eight around it.
+        cells: dict[tuple[int, int], list[int]] = {}
+        place = np.floor(both / join).astype(np.int64)
+        for i, (u, v) in enumerate(place.tolist()):
+            cells.setdefault((u, v), []).append(i)
         for ident_, px, py in a.sort_values(ident)[[ident, "px", "py"]].itertuples(index=False):
             start = np.hypot(both[:, 0] - px, both[:, 1] - py)
             heap = [(float(start[i]), int(i)) for i in np.flatnonzero(start <= seed)]
@@ -241,9 +248,10 @@ def leader_trace(segments: DataFrame, anchors: DataFrame, by: str, ident: str, s
                 other = i + n if i < n else i - n
                 if cost + size[i % n] <= budget:
                     heapq.heappush(heap, (cost + float(size[i % n]), other))
-                near = np.flatnonzero(np.hypot(both[:, 0] - both[i, 0], both[:, 1] - both[i, 1]) <= join)
-                for j in near.tolist():
-                    if j not in done:
+                u, v = place[i]
+                around = [j for du in (-1, 0, 1) for dv in (-1, 0, 1) for j in cells.get((u + du, v + dv), ())]
+                for j in sorted(around):
+                    if j not in done and math.hypot(both[j, 0] - both[i, 0], both[j, 1] - both[i, 1]) <= join:
                         heapq.heappush(heap, (cost, j))
             if done:
                 far = max(done.items(), key=lambda x: (x[1], -x[0]))

@@ -133,24 +133,20 @@ def s22_text_scan(spark, d):
 @query("""SELECT doc_id, CASE WHEN regexp_matches(text, '^[0-9 .-]+$') THEN 'number' WHEN regexp_matches(text, '(WELD|PIPE|ELBOW)\\n') THEN 'extract' WHEN regexp_matches(text, '\\[[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'log'
   WHEN regexp_matches(text, '\\|.*\\|') THEN 'table' WHEN trim(text) = '' THEN 'blank' ELSE 'prose' END AS category FROM documents WHERE text IS NOT NULL""".replace("\\\\", "\\"))
 def pred5_text_category(spark, d):
-    t = F.col("text")
-    c = F.when(t.rlike(r"\A[0-9 .-]+\z"), "number").when(t.rlike("(WELD|PIPE|ELBOW)\n"), "extract").when(t.rlike(r"\[[0-9]{4}-[0-9]{2}-[0-9]{2}"), "log").when(t.rlike(r"\|.*\|"), "table").when(F.trim(t) == "", "blank").otherwise("prose")
-    return table(spark, d, "documents").where("text is not null").select("doc_id", c.alias("category"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", tx.text_category(F.col("text")).alias("category"))
 
 
 @query("""SELECT candidate_id, CASE WHEN evidence_kind LIKE 'independent%' THEN 'direct' WHEN evidence_kind = 'matched_frame_incidence' THEN 'derived' WHEN score > 10 AND NOT isnan(score) THEN 'candidate' ELSE 'unresolved' END AS basis
   FROM (SELECT DISTINCT candidate_id, evidence_kind, score FROM pipe_candidates)""")
 def pred4_evidence_basis(spark, d):
-    k = F.col("evidence_kind")
-    basis = F.when(k.like("independent%"), "direct").when(k == "matched_frame_incidence", "derived").when((F.col("score") > 10) & ~F.isnan("score"), "candidate").otherwise("unresolved")
-    return table(spark, d, "pipe_candidates").select("candidate_id", "evidence_kind", "score").distinct().select("candidate_id", basis.alias("basis"))
+    c = table(spark, d, "pipe_candidates").select("candidate_id", "evidence_kind", "score").distinct()
+    return c.select("candidate_id", tx.evidence_basis(F.col("evidence_kind"), F.col("score")).alias("basis"))
 
 
 @query("""WITH k AS (SELECT DISTINCT edge_id, CASE WHEN kind = 'in_page_exact_endpoint' THEN 'endpoint' WHEN kind LIKE 'cross_page%' THEN 'crossing' END AS category FROM graph_edges)
   SELECT a.category, count(*) AS n_pairs FROM k a JOIN k b ON a.category = b.category AND b.edge_id = a.edge_id + 1 GROUP BY 1""")
 def pred6_frame_category(spark, d):
-    c = F.when(F.col("kind") == "in_page_exact_endpoint", "endpoint").when(F.col("kind").like("cross_page%"), "crossing")
-    k = table(spark, d, "graph_edges").select("edge_id", c.alias("category")).distinct()
+    k = table(spark, d, "graph_edges").select("edge_id", tx.frame_category(F.col("kind")).alias("category")).distinct()
     nxt = k.select((F.col("edge_id") - 1).alias("edge_id"), F.col("category").alias("next"))
     return k.join(nxt, "edge_id").where(F.col("category") == F.col("next")).groupBy("category").agg(F.count("*").alias("n_pairs"))
 
@@ -159,7 +155,7 @@ def pred6_frame_category(spark, d):
 def pred7_containers(spark, d):
     w, h = F.col("box_right") - F.col("box_left"), F.col("box_top") - F.col("box_bottom")
     e = table(spark, d, "psm_envelopes").select("envelope_id", w.alias("width"), h.alias("height")).distinct()
-    return e.where((F.col("height") > 320) | (F.col("width") > F.col("height") * 2 * 2.2))
+    return e.where(tx.is_container(F.col("width"), F.col("height")))
 
 
 _FM = "(SELECT DISTINCT envelope_id, box_left::DOUBLE AS l, box_bottom::DOUBLE AS b, box_right::DOUBLE AS r, box_top::DOUBLE AS t, opaque_tag FROM psm_envelopes)"
@@ -642,9 +638,8 @@ def k2_traces(spark, d):
 @query("SELECT count(*) AS n_rows, sum(n)::BIGINT AS total FROM (SELECT tag, count(*) AS n FROM dynamic_attributes GROUP BY 1)")
 def k6_report(spark, d):
     counts = table(spark, d, "dynamic_attributes").groupBy("tag").agg(F.count("*").alias("n"))
-    r = sinks.report(counts, "Tags", F.sum("n"))
-    doc = F.from_json("json", "title string, total long, rows array<struct<tag string, n long>>")
-    return r.select(doc.alias("j")).select(F.size("j.rows").cast("long").alias("n_rows"), F.col("j.total").alias("total"))
+    lines = sinks.report(counts, "Tags").where("section = 1")
+    return lines.select(F.from_json("json", "tag string, n long").alias("j")).agg(F.count("*").alias("n_rows"), F.sum("j.n").alias("total"))
 
 
 QUERIES = {k: f for k, (f, _) in _ALL.items()}

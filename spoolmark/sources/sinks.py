@@ -6,7 +6,7 @@ rows.  One document is one page or file, ordered inside its own aggregate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from spoolmark.functions.text import html_escape
 
@@ -33,16 +33,23 @@ def trace_pages(segments: DataFrame, texts: DataFrame, by: list[str]) -> DataFra
     return j.withColumn("counts", F.struct(F.size("segments").alias("segments"), F.size("texts").alias("texts")))
 
 
-def report(rows: DataFrame, title: str, total: Column) -> DataFrame:
-    """One row (json, markdown) of a small aggregate's rows; meant for report tables, which are bounded by their keys."""
-    one = F.to_json(F.struct(*rows.columns))
+def report(rows: DataFrame, title: str) -> DataFrame:
+    """(section, json, markdown): the lines of a report, one per row, after a head with section 0; nothing is gathered into one row.
+
+    Written in the order of (section, json) they are a JSON-lines and a
+    Markdown document.
+    """
     cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]), F.lit(" |"))
-    head = f"# {title}\n\n| {' | '.join(rows.columns)} |\n|{'---|' * len(rows.columns)}\n"
-    both = rows.agg(F.array_sort(F.collect_list(one)).alias("j"), F.array_sort(F.collect_list(cells)).alias("m"), total.alias("total"))
-    return both.select(
-        F.concat(F.lit(f'{{"title":"{title}","total":'), F.col("total").cast("string"), F.lit(',"rows":['), F.array_join("j", ","), F.lit("]}")).alias("json"),
-        F.concat(F.lit(head), F.array_join("m", "\n")).alias("markdown"),
-    )
+    body = rows.select(F.lit(1).alias("section"), F.to_json(F.struct(*rows.columns)).alias("json"), cells.alias("markdown"))
+    head = f"# {title}\n\n| {' | '.join(rows.columns)} |\n|{'---|' * len(rows.columns)}"
+    first = rows.sparkSession.range(1).select(F.lit(0).alias("section"), F.to_json(F.struct(F.lit(title).alias("title"))).alias("json"), F.lit(head).alias("markdown"))
+    return first.unionByName(body)
+
+
+def write_report(lines: DataFrame, location: str) -> None:
+    """Both documents of a report, each in the order of its lines."""
+    for form in ("json", "markdown"):
+        lines.orderBy("section", "json").select(F.col(form).alias("value")).write.mode("overwrite").text(f"{location}/{form}")
 
 
 def write_csv(rows: DataFrame, location: str) -> None:

@@ -125,3 +125,8 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
     sinks.write_json(e, str(tmp_path / "json"), ["page"])
     assert spark.read.json(str(tmp_path / "json")).count() == 2
+
+    lines = sinks.report(e.select("page", "label"), "Labels")
+    sinks.write_report(lines, str(tmp_path / "report"))
+    whole = [r.value for r in spark.read.text(str(tmp_path / "report" / "markdown")).collect()]
+    assert "# Labels" in whole and "| 1 | a<b |" in whole
