@@ -7,6 +7,8 @@ neighbourhood, a small-star rewrite does so for the smaller neighbours; both
 are joins of the edges with a map-side combined minimum per node.  They
 alternate until neither changes an edge, which each rewrite counts while it is
 written, and then every node points at the smallest node of its component.
+Once no node has two smaller neighbours, which a large star leaves so, a small
+star is known to change nothing and is not computed.
 
 A node that a third of all edges touch gets its minimum from partial minima of
 all tasks, and the join that hands the minimum out is a plain shuffled join
@@ -71,11 +73,12 @@ def group_ids(edges: DataFrame, a: str, b: str) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         large, moved = _written(large_star(edges), "large")
         release(edges)
-        if not moved and not forked:
-            edges = large
+        edges = large
+        if forked:
+            edges, forked = _written(small_star(large), "small")
+            release(large)
+        elif not moved:
             break
-        edges, forked = _written(small_star(large), "small")
-        release(large)
     else:
         raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
     grouped = nodes.join(edges.withColumnRenamed("u", "id"), "id", "left").select("name", F.coalesce("v", "id").alias("root"))
