@@ -25,51 +25,70 @@ def _copied(by: Sequence[str]) -> list[Column]:
     return [F.col(b).alias(f"__{b}") for b in by]
 
 
-def _frequencies(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """(by..., __v, __c): how often each value occurs in its group, combined before the shuffle."""
-    valued = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
-    return valued.groupBy(*by, "__v").agg(F.count("*").alias("__c"))
+#: Half the width of the rank bracket around the middle, and the accuracy of the sketch that proposes it.
+BRACKET, ACCURACY = 0.002, 2_000
 
 
-def _middles(freq: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by..., n, lower, upper): rows and the two middle values (equal for an odd count) of each group of frequencies.
+def _values(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    return rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
+
+
+def _middles(values: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by..., n, lower, upper): rows and the two middle values (equal for an odd count) of each group of ``values`` (by..., __v).
+
+    A mergeable sketch proposes a bracket of values around the middle; all
+    smaller values of a group become one count, larger ones are left out, and
+    the few values inside are ranked exactly.  Should a bracket miss the middle,
+    which the sketch's error bound rules out, all values are ranked.
+    """
+    keys = list(by) or ["__all"]
+    v = values if by else values.withColumn("__all", F.lit(0))
+    sketch = v.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx("__v", [0.5 - BRACKET, 0.5 + BRACKET], ACCURACY).alias("__q"))
+    sketch = cut(sketch, "sketch").select(*_copied(keys), F.col("__n"), F.get("__q", F.lit(0)).alias("__lo"), F.get("__q", F.lit(1)).alias("__hi"))
+    near = v.join(sketch, _same(keys)).where(F.col("__v") <= F.col("__hi"))
+    freq = near.groupBy(*keys, F.when(F.col("__v") >= F.col("__lo"), F.col("__v")).alias("__v"), "__n").agg(F.count("*").alias("__c"))
+    found = cut(_ranked(freq, keys), "middles")
+    if found.where("lower is null or upper is null").limit(1).count():
+        whole = v.groupBy(*keys, "__v").agg(F.count("*").alias("__c")).withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys)))
+        found = _ranked(whole, keys)
+    return found if by else found.drop("__all")
+
+
+def _ranked(freq: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., n, lower, upper) from frequencies (keys..., __v, __c) of groups of __n rows; a null value stands below all others.
 
     Frequencies are cut into ranges of (group, value), so a group of any size is
     spread over tasks.  Counts per range tell which range holds a middle place;
     only the values of those ranges are ranked.
     """
-    keys = list(by) or ["__all"]
-    f = freq if by else freq.withColumn("__all", F.lit(0))
-    placed = cut(f.repartitionByRange(*keys, "__v").select(*keys, "__v", "__c", F.spark_partition_id().alias("__p")), "ranges")
-    sums = placed.groupBy(*keys, "__p").agg(F.sum("__c").alias("__s"))
-    group = Window.partitionBy(*keys)  # one row per range that holds a part of the group
-    before = F.sum("__s").over(group.orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__s")
-    offsets = sums.select(*keys, "__p", "__s", before.alias("__before"), F.sum("__s").over(group).alias("n"))
+    placed = cut(freq.repartitionByRange(*keys, "__v").select(*keys, "__v", "__c", "__n", F.spark_partition_id().alias("__p")), "ranges")
+    sums = placed.groupBy(*keys, "__p", "__n").agg(F.sum("__c").alias("__s"))
+    # One row per range that holds a part of the group.
+    before = F.sum("__s").over(Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__s")
+    offsets = sums.select(*keys, "__p", "__s", before.alias("__before"), F.col("__n").alias("n"))
     low, high = F.expr("(n - 1) div 2"), F.expr("n div 2")
     holds = ((low >= F.col("__before")) & (low < F.col("__before") + F.col("__s"))) | ((high >= F.col("__before")) & (high < F.col("__before") + F.col("__s")))
     wanted = offsets.where(holds).select(*_copied(keys), F.col("__p").alias("__q"), "__before", "n")
     near = placed.join(wanted, _same(keys) & (F.col("__p") == F.col("__q")))
     up_to = F.col("__before") + F.sum("__c").over(Window.partitionBy(*keys, "__p").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     at = near.withColumn("__u", up_to)
-    found = at.groupBy(*keys).agg(
-        F.first("n").alias("n"), F.min(F.when(F.col("__u") > low, F.col("__v"))).alias("lower"), F.min(F.when(F.col("__u") > high, F.col("__v"))).alias("upper")
-    )
-    return found if by else found.drop("__all")
+    pick = lambda place: F.min_by("__v", F.when(F.col("__u") > place, F.col("__u")))
+    return at.groupBy(*keys).agg(F.first("n").alias("n"), pick(low).alias("lower"), pick(high).alias("upper"))
 
 
 def median_mad(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Median and median absolute deviation of each group, exact, with the group's count.
 
-    Both are taken from value frequencies by ``_middles``; the deviations need
+    Both are found by ``_middles``; the deviations need
     the medians first, whose table has one row per group.  A group without a
     value has n = 0 and null medians.
     """
-    freq = cut(_frequencies(rows, by, value), "frequencies")
+    values = _values(rows, by, value)
     half = (F.col("lower") + F.col("upper")) / 2
-    med = cut(_middles(freq, by).select(*by, "n", half.alias("med")), "medians")
+    med = _middles(values, by).select(*by, "n", half.alias("med"))
     keys = med.select(*_copied(by), F.col("med").alias("__med"))
-    joined = freq.join(keys, _same(by)) if by else freq.crossJoin(F.broadcast(keys))  # one row when there are no keys
-    apart = joined.select(*by, F.abs(F.col("__v") - F.col("__med")).alias("__v"), "__c").groupBy(*by, "__v").agg(F.sum("__c").alias("__c"))
+    joined = values.join(keys, _same(by)) if by else values.crossJoin(F.broadcast(keys))  # one row when there are no keys
+    apart = joined.select(*by, F.abs(F.col("__v") - F.col("__med")).alias("__v"))
     mad = _middles(apart, by).select(*_copied(by), half.alias("mad"))
     both = med.join(mad, _same(by)) if by else med.crossJoin(F.broadcast(mad))
     both = both.select(*by, "n", "med", "mad")
@@ -93,13 +112,13 @@ def outliers(rows: DataFrame, by: Sequence[str], value: str, factor: float = 4.0
 
 def upper_median(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """The element at place n/2 of the sorted values, from 0: the upper of the two middle ones for an even count."""
-    return _middles(_frequencies(rows, by, value), by).select(*by, F.col("upper").alias("upper_median"), "n")
+    return _middles(_values(rows, by, value), by).select(*by, F.col("upper").alias("upper_median"), "n")
 
 
 def pooled_medians(rows: DataFrame, by: Sequence[str], value: str, style: Sequence[str]) -> DataFrame:
     """Median per style over the medians of its groups (``style`` columns within ``by``): every group counts once, whatever its size."""
-    per_group = _middles(_frequencies(rows, by, value), by).select(*by, ((F.col("lower") + F.col("upper")) / 2).alias("__m"))
-    pooled = _middles(_frequencies(per_group, style, "__m"), style)
+    per_group = _middles(_values(rows, by, value), by).select(*by, ((F.col("lower") + F.col("upper")) / 2).alias("__m"))
+    pooled = _middles(_values(per_group, style, "__m"), style)
     return pooled.select(*style, F.col("n").alias("n_groups"), ((F.col("lower") + F.col("upper")) / 2).alias("med"))
 
 
