@@ -51,10 +51,39 @@ Das Konzert beginnt um acht, danach gibt es Suppe.
 图书馆今天下午关门,明天照常开放。
 """
 
+#: A second set, written after the sources and the training were fixed and measured once.
+SECOND = """
+The violin was tuned by [person:Ludmila Harrington] before the concert.
+Every spring [person:Desmond Achterberg] counts the storks on the marsh.
+A stranger named [person:Yevgenia Sorokina] returned the lost wallet.
+Please forward the receipt to [email:marten.vos@kestrelpost.net] tomorrow.
+The umbrella was left by [person:P. Castellanos] in carriage four.
+Two neighbours, [person:Aurelio Benedetti] and [person:Margit Szabo], share the garden.
+Her employer reported number [identity:417-82-5036] to the tax office.
+Visitors park behind [address:62 Thistledown Road, Penmarsh] during winter.
+The hotline [phone:(704) 555-0163] is open until nine.
+On the envelope stood [address:PO Box 88, Coldwater].
+Yesterday's winner, [person:Tobias Lindholm], donated everything.
+The lighthouse keeper, [person:Orla Fitzsimmons], paints at dawn.
+Could you remind [person:Rashida Farouk] about the keys?
+Die Geige reparierte [person:Gottfried Habermann] in seiner Werkstatt.
+Morgen besucht [person:Annegret Stolle] ihre Schwester.
+Das Päckchen liegt bei [person:Veit Rosenbusch] im Keller.
+Bitte unter [phone:+49 351 8847210] nachfragen.
+Das Büro zieht in die [address:Kastanienallee 17, 01127 Dresden].
+校长[person:秦志远]宣布了放假安排。
+画家[person:莫小兰]住在老城区。
+请联系[person:康文博]领取包裹。
+裁缝[person:邢国富]的店铺在街角,电话[phone:13688127743]。
+The wooden bridge crosses a narrow stream near old willows.
+Blue Lantern Market opens every Saturday morning.
+Die Ausstellung zeigt alte Uhren und bemalte Teller.
+"""
+
 
-def texts() -> list[tuple[str, set[tuple[str, int, int]]]]:
+def texts(marked: str = MARKED) -> list[tuple[str, set[tuple[str, int, int]]]]:
     out = []
-    for line in MARKED.strip().split("\n"):
+    for line in marked.strip().split("\n"):
         text, places = "", set()
         for k, piece in enumerate(re.split(r"\[(\w+:[^\]]*)\]", line)):
             if k % 2:
