@@ -10,8 +10,10 @@ shuffled; only the pairs found are.  Suffixes that hold a word no item has
 within their first ``MIN_WORDS`` words cannot agree with any item and are left
 out of the array.
 
-The test items are sent to all tasks in blocks of at most ``BLOCK_CHARS``
-characters, so what is broadcast is bounded whatever the size of the test set.
+The test items are indexed once, in blocks of at most ``BLOCK_CHARS`` characters,
+and sent to all tasks, at most ``PASS_BLOCKS`` blocks at a time, so what is
+broadcast is bounded whatever the size of the test set.  A task reads its texts
+once for all blocks of a pass; a test set of more blocks takes more passes.
 
 Defined results: null, empty and short texts on either side match nothing; a
 document occurs once for each item it carries, with its longest match (ties:
@@ -33,7 +35,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 MIN_WORDS = 13
 SHARD_WORDS = 2_000_000
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
+PASS_BLOCKS = 8
 
 #: A word is one character U+4E00 to U+9FFF or a run of other letters and digits.
 WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
@@ -71,15 +74,15 @@ class Items:
             owner += [number] * (len(own) + 1)
             place += range(len(own) + 1)
         # A run of separators at the end lets windows be read without bounds checks.
-        self.stream = np.array(stream + [-2] * min_words, np.int64)
-        self.owner, self.place = np.array(owner + [0] * min_words), np.array(place + [0] * min_words)
-        n = len(self.stream) - min_words
-        if n > 0 and self.ids:
-            windows = np.lib.stride_tricks.sliding_window_view(self.stream, min_words)[:n]
-            self.starts = np.flatnonzero((windows >= 0).all(axis=1))
-            self.heads = windows[self.starts]
-        else:
-            self.starts, self.heads = np.zeros(0, np.int64), np.zeros((0, min_words), np.int64)
+        self.min_words = min_words
+        self.stream = np.array(stream + [-2] * min_words, np.int32)
+        self.owner, self.place = np.array(owner + [0] * min_words, np.int32), np.array(place + [0] * min_words, np.int32)
+        whole = np.concatenate([[0], np.cumsum(self.stream >= 0)])
+        self.starts = np.flatnonzero(whole[min_words:] - whole[:-min_words] == min_words)
+
+    def heads(self) -> np.ndarray:
+        """The first words of every suffix that is searched for; made anew for each use, as they are many."""
+        return np.lib.stride_tricks.sliding_window_view(self.stream, self.min_words)[self.starts].astype(np.int64)
 
 
 def suffix_array(stream: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
@@ -130,8 +133,9 @@ def search_shard(docs: list[int], texts: list[np.ndarray], items: Items, min_wor
     if not len(starts) or not len(items.starts):
         return empty
     array = suffix_array(stream, starts, min_words)
-    lo = _bound(stream, array, items.heads, False)
-    hi = _bound(stream, array, items.heads, True)
+    heads = items.heads()
+    lo = _bound(stream, array, heads, False)
+    hi = _bound(stream, array, heads, True)
     hit = np.flatnonzero(hi > lo)
     best: list[pd.DataFrame] = []
     for chunk in np.array_split(hit, max(1, int((hi - lo)[hit].sum() // 2_000_000))):
@@ -179,34 +183,45 @@ def _blocks(bench: DataFrame, item_id: str, item_text: str, block_chars: int) ->
 
 def find_leaks(
     docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text",
-    min_words: int = MIN_WORDS, shard_words: int = SHARD_WORDS, block_chars: int = BLOCK_CHARS,
+    min_words: int = MIN_WORDS, shard_words: int = SHARD_WORDS, block_chars: int = BLOCK_CHARS, pass_blocks: int = PASS_BLOCKS,
 ) -> DataFrame:
     """(item_id, doc_id, n_words, doc_word, item_word) of the longest match of every leaked pair."""
     spark = docs.sparkSession
     corpus = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
 
-    def searched(block: list[tuple[int, str]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
+    def searched(blocks: list[Items]) -> DataFrame:
+        sent = [spark.sparkContext.broadcast(b) for b in blocks]
+
+        def shard(ids: list[int], own: list[np.ndarray], known: dict[str, int]) -> Iterator[pd.DataFrame]:
+            for block in sent:
+                items = block.value
+                # Words of the shard by their numbers in the block, -1 for those it lacks.
+                number = np.array([items.vocabulary.get(w, -1) for w in known] or [-1], np.int64)
+                yield search_shard(ids, [number[t] for t in own], items, min_words)
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            items = Items(sent.value, min_words)
-            get = items.vocabulary.get
-            ids, texts, size = [], [], 0
+            ids, own, known, size = [], [], {}, 0
             for pdf in batches:
                 for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
-                    own = np.array([get(w, -1) for w in words(t)], np.int64)
                     ids.append(d)
-                    texts.append(own)
-                    size += len(own) + 1
+                    own.append(np.array([known.setdefault(w, len(known)) for w in words(t)], np.int32))
+                    size += len(own[-1]) + 1
                     if size >= shard_words:
-                        yield search_shard(ids, texts, items, min_words)
-                        ids, texts, size = [], [], 0
+                        yield from shard(ids, own, known)
+                        ids, own, known, size = [], [], {}, 0
             if ids:
-                yield search_shard(ids, texts, items, min_words)
+                yield from shard(ids, own, known)
 
         return corpus.mapInPandas(search, FOUND)
 
-    found = [searched(block) for block in _blocks(bench, item_id, item_text, block_chars)]
+    found, held = [], []
+    for block in _blocks(bench, item_id, item_text, block_chars):
+        held.append(Items(block, min_words))
+        if len(held) == pass_blocks:
+            found.append(searched(held))
+            held = []
+    if held:
+        found.append(searched(held))
     if not found:
         return spark.createDataFrame([], FOUND)
     order = F.struct(-F.col("n_words"), "doc_word", "item_word")

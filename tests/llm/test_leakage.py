@@ -38,7 +38,7 @@ def test_agrees_with_brute_force(spark):
     docs += [(200, docs[5][1]), (201, None), (202, ""), (203, "a" * 200_000), (204, bench[1][1] * 50)]
     d = spark.createDataFrame([(i, t, "clash") for i, t in docs + docs[:3]], DOCS).repartition(3)
     b = spark.createDataFrame(bench + bench[:2], BENCH)
-    for kwargs in ({}, {"shard_words": 100}, {"block_chars": 60}):
+    for kwargs in ({}, {"shard_words": 100}, {"block_chars": 60}, {"block_chars": 60, "pass_blocks": 2, "shard_words": 100}):
         got = {(r.item_id, r.doc_id): (r.n_words, r.doc_word, r.item_word) for r in leakage.find_leaks(d, b, min_words=5, **kwargs).collect()}
         assert got == brute(docs, bench, 5)
     leaked = {doc for _, doc in got}
