@@ -28,6 +28,9 @@ def cover(candidates: DataFrame, universe: DataFrame, by: str, beam: int = 4000,
     objective is the score less 1000 for each place missed or covered twice.
     Status: ``partial``, ``weak`` (score below 50), ``ambiguous`` (next exact
     cover less than 10 behind), else ``unique``; ``no_candidate`` without pages.
+    Equal coverages are merged page by page, which loses nothing; only where
+    more than ``beam`` different ones are left, or a page has more than
+    ``per_page`` candidates, the least are dropped, and ``truncated`` tells.
     """
     schema = _schema(candidates.schema[by], ("status", _S), ("objective", _D), ("score", _D), ("margin", _D), ("ranges", _S), ("truncated", _B))
 
@@ -36,21 +39,28 @@ def cover(candidates: DataFrame, universe: DataFrame, by: str, beam: int = 4000,
             return pd.DataFrame([(key[0], "no_candidate", None, None, None, None, False)], columns=schema.names)
         n = int(u["n"].iloc[0])
         full = (1 << n) - 1
-        states: list[tuple[float, int, int, tuple]] = [(0.0, 0, 0, ())]
+        # Choices that cover the same places, and the same ones twice, have one future: the two best of them suffice for best and margin.
+        layer: dict[tuple[int, int], list[tuple[float, tuple]]] = {(0, 0): [(0.0, ())]}
         cut_any = False
-        for page, g in c.sort_values(["page", "score", "first", "last"], ascending=[True, False, True, True]).groupby("page", sort=True):
-            grown = []
-            choices = [
-                (s, ((1 << (int(last) - int(first) + 1)) - 1) << (int(first) - 1), (int(page), int(first), int(last)))
-                for first, last, s in g[["first", "last", "score"]].head(per_page).itertuples(index=False)
-            ]
-            for score, covered, twice, picks in states:
-                for s, bits, pick in choices:
-                    grown.append((score + s, covered | bits, twice | (covered & bits), (*picks, pick)))
-            grown.sort(key=lambda x: (-x[0] + 1000 * x[2].bit_count(), -x[1].bit_count(), x[3]))
-            cut_any |= len(grown) > beam
-            states = grown[:beam]
-        ranked = sorted(((s - 1000 * ((full & ~cv).bit_count() + tw.bit_count()), s, cv, tw, p) for s, cv, tw, p in states), key=lambda x: (-x[0], -x[1], x[4]))
+        best_first = lambda x: (-x[0], x[1])
+        for page, g in c.groupby("page", sort=True):
+            own = sorted(zip(-g["score"], g["first"], g["last"]))
+            cut_any |= len(own) > per_page
+            following: dict[tuple[int, int], list[tuple[float, tuple]]] = {}
+            for loss, first, last in own[:per_page]:
+                bits = ((1 << int(last - first + 1)) - 1) << int(first - 1)
+                for (once, twice), kept in layer.items():
+                    more = [(score - loss, (*picks, (int(page), int(first), int(last)))) for score, picks in kept]
+                    following.setdefault((once | bits, twice | once & bits), []).extend(more)
+            layer = {key: sorted(kept, key=best_first)[:2] for key, kept in following.items()}
+            if len(layer) > beam:
+                cut_any = True
+                worth = sorted(layer, key=lambda k: (1000 * k[1].bit_count() - layer[k][0][0], -k[0].bit_count(), layer[k][0][1]))
+                layer = {key: layer[key] for key in worth[:beam]}
+        ranked = sorted(
+            ((score - 1000 * ((full & ~once).bit_count() + twice.bit_count()), score, once, twice, picks) for (once, twice), kept in layer.items() for score, picks in kept),
+            key=lambda x: (-x[0], -x[1], x[4]),
+        )
         objective, score, covered, twice, picks = ranked[0]
         exact = [x for x in ranked if x[2] & full == full and not x[3]]
         margin = exact[0][1] - exact[1][1] if len(exact) > 1 else None
