@@ -180,6 +180,10 @@ SQL = {
     + """SELECT row_id, idf_file, line_no, f[1]::INT AS code, f[2]::DOUBLE AS ax, f[3]::DOUBLE AS ay, f[4]::DOUBLE AS az,
       f[5]::DOUBLE AS bx, f[6]::DOUBLE AS by, f[7]::DOUBLE AS bz, f[8]::DOUBLE AS bore, f[9] AS uci, f[10] AS tail
     FROM judged WHERE reason IS NULL AND (line_no NOT BETWEEN 1 AND 10)""",
+    "p1_headers": _LINES + "SELECT row_id, idf_file, line_no, "
+    + ", ".join(f"try_cast(f[{i + 1}] AS BIGINT) AS s{i:02d}" for i in range(rejects.HEADER_FIELDS))
+    + """, CASE WHEN list_bool_and(list_transform(f, lambda x: try_cast(x AS BIGINT) IS NOT NULL)) THEN NULL ELSE array_to_string(f, chr(9)) END AS corrupt_raw
+    FROM judged WHERE reason IS NULL AND line_no BETWEEN 1 AND 10""",
     "p2_found": _ORPHANS + "SELECT DISTINCT * FROM orphans",
     "p2_counts": _ORPHANS + "SELECT src_table, ref_month, verdict, count(*) AS n_orphans FROM (SELECT DISTINCT * FROM orphans) GROUP BY ALL",
     "p4_found": """
