@@ -17,12 +17,14 @@ import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 PAGE_UNITS = 16_800
 BOX_LIMIT = 16_800
 _L, _D, _S, _I = T.LongType(), T.DoubleType(), T.StringType(), T.IntegerType()
+_ARROW = {T.LongType: pa.int64(), T.DoubleType: pa.float64(), T.StringType: pa.string(), T.IntegerType: pa.int32()}
 
 
 def _u16(b: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -45,14 +47,34 @@ def _find(data: bytes, mark: bytes, room: int) -> np.ndarray:
     return at[at + room <= len(data)]
 
 
+def _found(data: bytes, ends: np.ndarray, mark: bytes, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of a signature in streams that lie one behind the other up to ``ends``, and the stream of each; it and its ``room`` lie in one stream."""
+    at = np.array([m.start() for m in re.finditer(b"(?=" + re.escape(mark) + b")", data)], np.int64)
+    owner = np.searchsorted(ends, at, side="right")
+    whole = at + room <= ends[owner]
+    return at[whole], owner[whole]
+
+
+def _within(at: np.ndarray, owner: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return at - np.concatenate(([0], ends))[owner]
+
+
+def _alone(many: Callable, data: bytes) -> list[tuple]:
+    """Records of one stream by a scanner of many."""
+    return list(zip(*[c.tolist() for c in many(data, np.array([len(data)]))[1]])) if data else []
+
+
+def many_lines(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    b, (at, owner) = np.frombuffer(data, np.uint8), _found(data, ends, b"\x18\x00\x32\x00\x00\x00", 56)
+    xy = np.stack([_f64(b, at + 24 + 8 * k) for k in range(4)])
+    ok = ((xy >= -0.03) & (xy <= 1.05)).all(axis=0)
+    at, owner, xy = at[ok], owner[ok], xy[:, ok]
+    return owner, [_within(at, owner, ends), *[_u32(b, at + k) for k in (6, 10, 14, 20)], *xy]
+
+
 def scan_lines(data: bytes) -> list[tuple]:
     """18/32 two-point lines: (offset, child_ref, graphic_ref, layer_ref, style_ref, x1, y1, x2, y2), coordinates in -0.03..1.05."""
-    b, at = np.frombuffer(data, np.uint8), _find(data, b"\x18\x00\x32\x00\x00\x00", 56)
-    xy = np.stack([_f64(b, at + 24 + 8 * k) for k in range(4)], axis=1) if len(at) else np.zeros((0, 4))
-    ok = ((xy >= -0.03) & (xy <= 1.05)).all(axis=1)
-    at, xy = at[ok], xy[ok]
-    refs = [_u32(b, at + k).tolist() for k in (6, 10, 14, 20)]
-    return list(zip(at.tolist(), *refs, *xy.T.tolist()))
+    return _alone(many_lines, data)
 
 
 def scan_two_points(data: bytes) -> list[tuple]:
@@ -78,16 +100,21 @@ def scan_two_points(data: bytes) -> list[tuple]:
     return list(unique.values())
 
 
+def many_composites(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    b, (at, owner) = np.frombuffer(data, np.uint8), _found(data, ends, b"\x7b\x00", 34)
+    length, count = _u32(b, at + 2), _u32(b, at + 22)
+    ok = (count >= 1) & (count <= 100) & (length == 32 + 14 * count) & (at + 6 + length <= ends[owner])
+    at, owner, count = at[ok], owner[ok], count[ok]
+    each = np.repeat(np.arange(len(at)), count)
+    place = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+    at, owner = at[each], owner[each]
+    child = at + 34 + 14 * place
+    return owner, [_within(at, owner, ends), _u32(b, at + 6), _u32(b, at + 10), place, _u32(b, child), *[_u16(b, child + 4 + 2 * k) for k in range(5)]]
+
+
 def scan_composites(data: bytes) -> list[tuple]:
     """7B composites: (offset, parent_ref, sheet_ref, place, child_ref, left, bottom, right, top, prim_type), one row per child."""
-    rows = []
-    for o in _find(data, b"\x7b\x00", 34).tolist():
-        length, count = struct.unpack_from("<I", data, o + 2)[0], struct.unpack_from("<I", data, o + 22)[0]
-        if not 1 <= count <= 100 or length != 32 + 14 * count or o + 6 + length > len(data):
-            continue
-        parent, sheet = struct.unpack_from("<II", data, o + 6)
-        rows += [(o, parent, sheet, k, *struct.unpack_from("<I5H", data, o + 34 + 14 * k)) for k in range(count)]
-    return rows
+    return _alone(many_composites, data)
 
 
 def scan_arcs(data: bytes) -> list[tuple]:
@@ -102,24 +129,31 @@ def scan_arcs(data: bytes) -> list[tuple]:
     return list(zip(at.tolist(), *[_u32(b, at + k).tolist() for k in (6, 10, 14, 20)], *v.T.tolist(), sweep.tolist()))
 
 
+def many_circles(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    b, (at, owner) = np.frombuffer(data, np.uint8), _found(data, ends, b"\x59\x00\x2b\x00\x00\x00", 48)
+    v = np.stack([_f64(b, at + 24 + 8 * k) for k in range(3)])
+    ok = np.isfinite(v).all(axis=0)
+    at, owner, v = at[ok], owner[ok], v[:, ok]
+    return owner, [_within(at, owner, ends), *[_u32(b, at + k) for k in (6, 10, 14, 20)], *v]
+
+
 def scan_circles(data: bytes) -> list[tuple]:
     """59/2B circles: (offset, primitive_ref, graphic_ref, layer_ref, style_ref, cx, cy, radius)."""
-    b, at = np.frombuffer(data, np.uint8), _find(data, b"\x59\x00\x2b\x00\x00\x00", 48)
-    v = np.stack([_f64(b, at + 24 + 8 * k) for k in range(3)], axis=1) if len(at) else np.zeros((0, 3))
-    ok = np.isfinite(v).all(axis=1)
-    at, v = at[ok], v[ok]
-    return list(zip(at.tolist(), *[_u32(b, at + k).tolist() for k in (6, 10, 14, 20)], *v.T.tolist()))
+    return _alone(many_circles, data)
+
+
+def many_companions(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    b, (at, owner) = np.frombuffer(data, np.uint8), _found(data, ends, b"\x13\x00\x63\x00\x00\x00", 105)
+    v = np.stack([_f64(b, at + 35 + 8 * k) for k in range(3)])
+    with np.errstate(invalid="ignore", over="ignore"):
+        ok = (v[2] > 0) & (v[2] < 0.1) & np.isfinite(v[0] + v[1])
+    at, owner, v = at[ok], owner[ok], v[:, ok]
+    return owner, [_within(at, owner, ends), _u32(b, at + 6), _u32(b, at + 10), *v]
 
 
 def scan_companions(data: bytes) -> list[tuple]:
     """13/63 circle companions of 99 bytes: (offset, primitive_ref, graphic_ref, cx, cy, radius), radius in (0, 0.1)."""
-    rows = []
-    for o in _find(data, b"\x13\x00\x63\x00\x00\x00", 105).tolist():
-        primitive, graphic = struct.unpack_from("<II", data, o + 6)
-        cx, cy, r = struct.unpack_from("<3d", data, o + 35)
-        if 0 < r < 0.1 and math.isfinite(cx + cy):
-            rows.append((o, primitive, graphic, cx, cy, r))
-    return rows
+    return _alone(many_companions, data)
 
 
 def scan_texts(data: bytes) -> list[tuple]:
@@ -270,24 +304,47 @@ FAMILIES: dict[str, tuple[Callable[[bytes], list[tuple]], list[T.StructField]]]
 }
 
 
+#: Scanners of many streams at once: (data, ends) -> stream of each record, columns.
+MANY: dict[str, Callable[[bytes, np.ndarray], tuple[np.ndarray, list[np.ndarray]]]] = {"line": many_lines, "composite": many_composites, "circle": many_circles, "companion": many_companions}
+#: About so many bytes of streams are scanned and handed over at a time.
+SLICE_BYTES = 4 << 20
+
+
 def scan(streams: DataFrame, family: str) -> DataFrame:
-    """Records of a family in ``streams(path, stream, data)``, each with its path and stream."""
+    """Records of a family in ``streams(path, stream, data)``, each with its path and stream.
+
+    Streams are scanned and handed over many at a time, as a call or a frame for each would cost more than its records.
+    """
     scanner, fields = FAMILIES[family]
     schema = T.StructType([T.StructField("path", _S), T.StructField("stream", _S), *fields])
-    names = schema.names
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, stream, data in zip(pdf["path"], pdf["stream"], pdf["data"]):
-                rows = [(path, stream, *r) for r in scanner(bytes(data))] if data is not None and len(data) else []
-                if rows:
-                    out = pd.DataFrame(rows, columns=names)
-                    for f in fields:
-                        if f.dataType in (_L, _I):
-                            out[f.name] = out[f.name].astype("Int64" if f.dataType == _L else "Int32")
-                    yield out
-
-    return streams.select("path", "stream", "data").where("data is not null").mapInPandas(run, schema)
+    many = MANY.get(family)
+    kinds = [_ARROW[type(f.dataType)] for f in fields]
+
+    def records_of(bodies: list[bytes]) -> tuple[list | np.ndarray, list]:
+        if many:
+            return many(b"".join(bodies), np.cumsum([len(x) for x in bodies]))
+        owner, rows = [], []
+        for k, data in enumerate(bodies):
+            own = scanner(data) if data else []
+            owner += [k] * len(own)
+            rows += own
+        return owner, list(zip(*rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            path, stream, data = (batch.column(k) for k in range(3))
+            sizes = np.cumsum(pc.binary_length(data).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < len(sizes):
+                before = sizes[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, side="right")))
+                owner, columns = records_of(data.slice(at, end - at).to_pylist())
+                if len(owner):
+                    place = pa.array(np.asarray(owner, np.int64) + at)
+                    yield pa.RecordBatch.from_arrays([path.take(place), stream.take(place), *[pa.array(c, kind) for c, kind in zip(columns, kinds)]], names=schema.names)
+                at = end
+
+    return streams.select("path", "stream", "data").where("data is not null").mapInArrow(run, schema)
 
 
 def circles(streams: DataFrame) -> DataFrame:

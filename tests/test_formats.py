@@ -95,3 +95,43 @@ def test_containers_are_handed_over_in_slices(spark):
         with pytest.raises(compound.BrokenContainer):
             compound.read_streams(bytes(broken))
     assert compound.with_records(blob, "a", b"zz") is not None and compound.with_records(blob, "c", b"") is None and compound.with_records(b"bad", "a", b"") is None
+
+
+def _moved(spark, tmp_path, name, **ids):
+    """A folder with the rows of a table of the smallest data, its ids moved."""
+    t = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    t.withColumns({c: F.col(c) + by for c, by in ids.items()}).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def _as_sql(spark, d, name, tables):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    c = duckdb.connect()
+    for t in tables:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
+    made = entry.queries()[name](spark, d)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    got, want = sorted(tuple(r) for r in made.collect()), sorted(c.execute(entry.oracle_sql()[name]).fetchall())
+    assert got == want and got
+    return plan
+
+
+def test_many_streams_are_scanned_at_once(spark):
+    line = records.pack_line((7, 1, 2, 3), (0.1, 0.1, 0.2, 0.2))
+    composite = records.pack_composite(1, 2, [(7, 1, 2, 3, 4, 2), (8, 0, 0, 1, 1, 9)])
+    circle = records.pack_circle((4, 9, 2, 3), (0.5, 0.25, 0.01))
+    # Records cut between two streams count in neither.
+    bodies = [b"", line, b"x" + line + composite, line[:20], line[20:], composite[:40], composite[40:], circle[:60], circle[60:], circle * 2, b""]
+    s = spark.createDataFrame([(f"p{k}", "s", bytearray(x)) for k, x in enumerate(bodies)] + [("null", "s", None)], "path string, stream string, data binary").coalesce(1)
+    for family, scanner in (("line", records.scan_lines), ("composite", records.scan_composites), ("circle", records.scan_circles), ("companion", records.scan_companions)):
+        want = [(f"p{k}", "s", *r) for k, x in enumerate(bodies) for r in scanner(x)]
+        assert [tuple(r) for r in records.scan(s, family).collect()] == want and want
+    assert [r[0] for r in records.scan_composites(b"x" + line + composite)] == [57, 57] and records.scan_composites(composite)[1][3:5] == (1, 8)
+
+
+def test_lines_of_many_parts_and_wide_ids(spark, tmp_path):
+    d = _moved(spark, tmp_path, "psm_envelopes", envelope_id=2**33 + 5)
+    assert "FlatMapGroupsInPandas" not in _as_sql(spark, d, "s18_drawn_lines", ["psm_envelopes"])
