@@ -15,6 +15,8 @@ import math
 import re
 import struct
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -506,6 +508,8 @@ def closed_frames(lines: DataFrame, by: list[str]) -> DataFrame:
     six = lambda c: F.round(c, 6)
     ends = lines.select(*by, F.explode(F.array(F.struct(six("x1").alias("x"), six("y1").alias("y")), F.struct(six("x2").alias("x"), six("y2").alias("y")))).alias("p"))
     met = ends.groupBy(*by, "p").agg(F.count("*").alias("n"))
+    named = reduce(and_, [F.col(c).isNotNull() for c in by])
     in_page = F.col("p.x").between(0, 1) & F.col("p.y").between(0, 1)
-    rings = met.groupBy(*by).agg(F.bool_and(F.col("n") == 2).alias("closed"), F.bool_and(in_page).alias("inside"))
-    return lines.groupBy(*by).agg(F.count("*").alias("n_lines")).join(rings, by)
+    # A line has two ends, so the lines are counted by them and not read again.
+    n_lines = F.expr("sum(n) div 2").alias("n_lines")
+    return met.where(named).groupBy(*by).agg(n_lines, F.bool_and(F.col("n") == 2).alias("closed"), F.bool_and(in_page).alias("inside"))

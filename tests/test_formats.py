@@ -141,3 +141,13 @@ def test_circles_of_wide_ids(spark, tmp_path):
     # Twice an id from 2**31 on has no room in a reference of 32 bits.
     for k, by in enumerate((2**31 - 700, 2**32 - 700, 2**33 + 7)):
         assert "FlatMapGroupsInPandas" not in _as_sql(spark, _moved(spark, tmp_path / str(k), "point_targets", point_id=by), "s21_circle_scan", ["point_targets"])
+
+
+def test_closed_frames_in_one_pass(spark, tmp_path):
+    square = [(0.1, 0.1, 0.2, 0.1), (0.2, 0.1, 0.2, 0.2), (0.2, 0.2, 0.1, 0.2), (0.1, 0.2, 0.1, 0.1)]
+    rows = [("a", *s) for s in square] + [("b", *s) for s in square[:3]] + [("c", 1.1, 0.5, 1.1, 0.5)] + [(None, *s) for s in square]
+    lines = spark.createDataFrame(rows, "g string, x1 double, y1 double, x2 double, y2 double")
+    v = records.closed_frames(lines, ["g"])
+    assert v.columns == ["g", "n_lines", "closed", "inside"] and sorted(tuple(r) for r in v.collect()) == [("a", 4, True, True), ("b", 3, False, True), ("c", 1, True, False)]
+    plan = _as_sql(spark, _moved(spark, tmp_path, "psm_envelopes", envelope_id=2**33 + 5), "x11_closed_frames", ["psm_envelopes"])
+    assert "Join" not in plan and "FlatMapGroupsInPandas" not in plan
