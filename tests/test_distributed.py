@@ -55,3 +55,26 @@ def test_margin_and_containment(spark):
     parts = spark.createDataFrame([("W",), ("WELD",), ("EL",), ("zzz",), (None,), ("",), ("LONG WELD AT",)], "p string")
     texts = spark.createDataFrame([("A LONG WELD AT TEE",), ("PIPE",), (None,), ("",)], "t string")
     assert {r.p for r in linking.within_texts(parts, texts, "p", "t").collect()} == {"W", "WELD", "EL", "", "LONG WELD AT"}
+
+
+def test_tolerance_pairs_against_all_pairs(spark):
+    rng = random.Random(5)
+    values = [rng.choice([rng.uniform(-0.3, 0.3), rng.uniform(4.5, 5.6), rng.uniform(-5.2, -4.8), rng.uniform(900, 1000), 5.0, 4.9, 4.95, 5 / 0.98, 0.1, 0.0, 1e9 / 0.98, 1e9, 0.1 / 0.98]) for _ in range(600)]
+    rows = [(rng.choice(["x", "y"]), rng.randint(0, 500), v) for v in values] + [("x", 1, None), (None, 1, 5.0), (None, 2, 5.0)]
+    want = sorted((p[0], p[1], q[1]) for p in rows for q in rows if p[0] and p[0] == q[0] and p[1] < q[1] and None not in (p[2], q[2]) and abs(p[2] - q[2]) <= max(0.1, 0.02 * max(abs(p[2]), abs(q[2]))))
+    got = linking.tolerance_pairs(spark.createDataFrame(rows, "k string, i int, v double"), ["k"], "i", "v", 0.1, 0.02)
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_tolerance_pairs_makes_few_candidates_in_vain(spark):
+    rows = spark.range(2000).select(F.lit("x").alias("k"), F.col("id").alias("i"), (900 + F.col("id") * 37 % 1000 / 10).alias("v"))
+    n = linking.tolerance_pairs(rows, ["k"], "i", "v", 0.1, 0.02)
+    found = n.count()
+    plan = n._jdf.queryExecution().optimizedPlan()
+    # The join without its condition on the values: as many rows as it has to look at.
+    a, b = plan.children().apply(0).children().apply(0), plan.children().apply(0).children().apply(1)
+    from pyspark.sql import DataFrame
+
+    side = lambda p: DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, p), spark).groupBy("__cell").count()
+    seen = side(a).withColumnRenamed("count", "n").join(side(b), "__cell").agg(F.sum(F.col("n") * F.col("count"))).first()[0]
+    assert found < seen < 1.6 * found
